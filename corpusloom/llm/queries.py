@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, langid, packing, simhash, suffix_dedup
+from corpusloom.llm import ann_forest, chat, langid, media, packing, quality, sentencepiece_scan, simhash, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,54 @@ def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "continued", "continues")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Pieces of all documents, and whether they decode to the text."""
+    path = model or public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("want", F.xxhash64(F.translate(F.coalesce("text", F.lit("")), sentencepiece_scan.MARK, " ")))
+    done = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, path, keep=["want"]), path)
+    return done.select(
+        "doc_id",
+        (F.length("ids") / 2).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.col("score").cast("long").alias("score"),
+        F.length("decoded").cast("long").alias("n_chars"),
+        (F.xxhash64("decoded") == F.col("want")).alias("lossless"),
+    )
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of each hundredth vector among all."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann_forest.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the url of every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as media, found again through its page, and read back."""
+    stored = media.store(table(spark, sf_dir, "documents"), "doc_id", "text")
+    items = media.interleave(stored.select("doc_id", "n_bytes", "html"), ["doc_id", "n_bytes"]).where("kind = 'media'")
+    found = media.resolve(items, media.media_features(stored.select("media")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+
+
+def good_labels(labels: DataFrame) -> DataFrame:
+    return labels.where("quality IS NOT NULL").select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acceptable documents with importance weights; `sampled` marks the Gumbel top half."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, good_labels(table(spark, sf_dir, "labels")))
+    return quality.resample(docs, model, share=0.5)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and their components at 4 bits or fewer."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -85,6 +133,11 @@ FROM turns GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_ann": op3_ann,
+    "op4_url_filter": op4_url_filter,
+    "op5_media": op5_media,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
     "op9_chat": op9_chat,
