@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 20_000
 TREES = 8
 #: Rows that a leaf should hold; and those beyond which a leaf is dealt out to several groups.
-LEAF_ROWS, GROUP_ROWS = 512, 8192
-SEARCH_ROWS = 16_384
+LEAF_ROWS, GROUP_ROWS = 1024, 8192
+#: Rows that the leaves of one query should hold, trees together (a row counts once a tree).
+#: Vectors without structure need many: see the README's table of recall.
+SEARCH_ROWS = 49_152
 
 
 @dataclass
@@ -41,8 +43,7 @@ def usable(vec: Column) -> Column:
 
 
 def fit(rows: DataFrame, n: int, trees: int = TREES, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, seed: int = 42) -> Forest:
-    """rows: id, vec (usable, one length), n of them. Splits at the median projection of the
-    sample on the line through two of its points."""
+    """rows: id, vec (usable, one length), n of them."""
     pick = rows if n <= sample_rows else rows.where(F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
     x = np.array([r[0] for r in pick.select("vec").collect()], np.float64)
     dim = x.shape[1] if len(x) else 1
@@ -57,15 +58,9 @@ def fit(rows: DataFrame, n: int, trees: int = TREES, sample_rows: int = SAMPLE_R
             after = []
             for k, part in enumerate(parts):
                 node = (1 << level) - 1 + k
-                w = np.zeros(dim)
-                if len(part) > 1:
-                    a, b = rng.choice(part, 2, replace=False)
-                    w = x[a] - x[b]
-                if not w.any():
-                    w = rng.normal(size=dim)
-                normals[t, node] = w / np.linalg.norm(w)
-                side = x[part] @ normals[t, node]
-                cuts[t, node] = np.median(side) if len(part) else 0.0
+                w, cut = _plane(x[part], rng)
+                normals[t, node], cuts[t, node] = w, cut
+                side = x[part] @ w
                 after += [part[side <= cuts[t, node]], part[side > cuts[t, node]]]
             parts = after
         counts[t] = [len(p) for p in parts]
@@ -73,6 +68,31 @@ def fit(rows: DataFrame, n: int, trees: int = TREES, sample_rows: int = SAMPLE_R
     return Forest(depth, normals, cuts, expected, np.maximum(1, np.ceil(expected / GROUP_ROWS)).astype(np.int64))
 
 
+def _plane(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """A random plane that follows the data: normal to the line through the centres of two
+    groups grown from two random points, halfway between them; if that leaves one side with
+    under a tenth, at the median. Equal points get a random direction."""
+    w = np.zeros(x.shape[1])
+    if len(x) > 1:
+        some = x[rng.choice(len(x), min(len(x), 400), replace=False)]
+        a, b = some[0], some[1]
+        for _ in range(6):
+            near_a = ((some - a) ** 2).sum(axis=1) < ((some - b) ** 2).sum(axis=1)
+            if near_a.all() or not near_a.any():
+                break
+            a, b = some[near_a].mean(axis=0), some[~near_a].mean(axis=0)
+        w = a - b
+    if not w.any():
+        w = rng.normal(size=x.shape[1])
+        w /= np.linalg.norm(w)
+        return w, float(np.median(x @ w)) if len(x) else 0.0
+    w = w / np.linalg.norm(w)
+    side, cut = x @ w, float((a + b) @ w / 2)
+    if not 0.1 <= (side > cut).mean() <= 0.9:
+        cut = float(np.median(side))
+    return w, cut
+
+
 def leaves(forest: Forest, x: np.ndarray) -> np.ndarray:
     """rows x trees: the leaf of each row in each tree."""
     trees = len(forest.normals)

@@ -1,6 +1,6 @@
 """Quality by importance resampling.
 
-Two generative models of hashed n-grams (words and word pairs), one of a target sample and
+Two generative models of hashed n-grams (words, their first bytes, marks), one of a target sample and
 one of all raw text, give each document the log of their likelihood ratio; documents are
 sampled without replacement by Gumbel top-k. Model sizes are fixed; counts are taken in the
 tasks over whole texts and summed by bucket.
@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, slices, text_bytes
 
-BITS = 18
+BITS = 20
 BUCKETS = 1 << BITS
 #: Labelled documents that the limit is set on, and target documents counted; about so many.
 TRAIN_ROWS, TARGET_ROWS = 20_000, 100_000
 #: Log-ratios above this are no evidence.
-FLOOR = -1.5
+FLOOR = -1.0
+#: Expected target counts that weigh as much as those seen.
+PRIOR = 3.0
+#: Lengths of first bytes of words.
+PREFIXES = (4, 5, 6)
 
 _WORD = np.zeros(256, np.uint8)  # folded byte of a word, 0 between words
 _WORD[128:] = np.arange(128, 256)
@@ -40,32 +44,42 @@ _MARK[33:127] = 1
 _MARK[_WORD > 0] = 0
 
 
-def word_features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document) of each word and word pair of texts given as bytes and offsets.
+def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, document) of each n-gram of texts given as bytes and offsets, once a document:
+    words come in bursts, and one text that repeats a word says no more than one that has it.
 
-    Words are runs of ASCII letters, digits (all equal) and bytes over 127, A-Z lower-cased;
-    each ASCII mark is a word. Pairs don't cross documents.
+    Words are runs of ASCII letters, digits (all equal) and bytes over 127, A-Z lower-cased.
+    N-grams are each word, its first bytes (PREFIXES; where it is longer), each ASCII mark,
+    and one for a word that repeats the one before it. None crosses documents.
     """
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = _WORD[raw]
+    w, place = _WORD[raw], np.arange(n)
     inside = w > 0
-    edge = np.zeros(n, bool)
-    edge[off[:-1][off[:-1] < n]] = True
-    before = np.concatenate(([False], inside[:-1])) & ~edge
-    start = np.flatnonzero(inside & ~before | (_MARK[raw] > 0))
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # a word's hash: the sum of its bytes times powers by place, mixed
-    at = np.arange(n) - np.maximum.accumulate(np.where(inside & ~before, np.arange(n), 0))
-    value = np.where(inside, w.astype(np.uint64) * _POWERS[np.minimum(at, 63)], raw.astype(np.uint64) * (_MARK[raw] > 0) * np.uint64(0x1F35C9D7))
-    h = _mix(np.add.reduceat(value, start))
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    first = inside & ~(np.concatenate(([False], inside[:-1])) & ~edge[:-1])
+    final = inside & ~(np.concatenate((inside[1:], [False])) & ~edge[1:])
+    start, end = np.flatnonzero(first), np.flatnonzero(final) + 1
+    at = place - np.maximum.accumulate(np.where(first, place, 0))
+    value = np.where(inside, w.astype(np.uint64) * _POWERS[np.minimum(at, 63)], np.uint64(0))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
     doc = np.searchsorted(off, start, side="right") - 1
-    pair = _mix(h[:-1] * np.uint64(3) + h[1:] * np.uint64(0x9E3779B97F4A7C15))
-    whole = doc[1:] == doc[:-1]
-    shift = np.uint64(64 - BITS)
-    return np.concatenate((h >> shift, pair[whole] >> shift)).astype(np.int64), np.concatenate((doc, doc[1:][whole]))
+    word = _mix(total[end] - total[start])
+    found, docs = [word], [doc]
+    for k in PREFIXES:
+        long = end - start > k
+        found.append(_mix((total[start[long] + k] - total[start[long]]) ^ np.uint64(0x1234567 * k)))
+        docs.append(doc[long])
+    again = np.flatnonzero((word[1:] == word[:-1]) & (doc[1:] == doc[:-1])) + 1
+    found.append(_mix(np.full(len(again), 0x5DEECE66D, np.uint64)))
+    docs.append(doc[again])
+    marks = np.flatnonzero(_MARK[raw])
+    found.append(_mix(raw[marks].astype(np.uint64) * np.uint64(0x1F35C9D7)))
+    docs.append(np.searchsorted(off, marks, side="right") - 1)
+    pairs = np.unique(np.concatenate(docs) << BITS | (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64))
+    return pairs & (BUCKETS - 1), pairs >> BITS
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -84,7 +98,7 @@ def count_features(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for b in batches:
             raw, off = text_bytes(b.column(0))
             for i, j in slices(off):
-                f, _ = word_features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                f, _ = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 total += np.bincount(f, minlength=BUCKETS)
         if total.any():
             at = np.flatnonzero(total)
@@ -106,7 +120,8 @@ class RatioModel:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, target_rows: int = TARGET_ROWS) -> RatioModel:
     """labels: (id, good boolean). Target: good documents, about target_rows of them, chosen
     by a hash of the id; raw: all documents. The limit is the one that errs least on about
-    train_rows labelled documents, a lost good one counting ten times. Without good
+    train_rows labelled documents (three tenths of them at most) that aren't in the target,
+    a lost good one counting ten times. Without good
     documents nothing is unacceptable."""
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("good").alias("good"))
@@ -116,12 +131,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not good:
         return RatioModel(np.zeros(BUCKETS, np.float32), -np.inf)
     share = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 30))
-    some = known.where(F.col("good") & (share < int((1 << 30) * min(1.0, target_rows / good))))
+    apart = int((1 << 30) * (1 - min(0.3, train_rows / max(1, total))))
+    some = known.where(F.col("good") & (share < int(apart * min(1.0, target_rows / good))))
     t = count_features(text.join(some.select("id"), "id", "left_semi"))
     r = count_features(text)
-    ratio = np.log((t + 0.5) / (t.sum() + 0.5 * BUCKETS)) - np.log((r + 1.0) / (r.sum() + 1.0 * BUCKETS))
+    expected = r * (t.sum() / max(1, r.sum()))
+    ratio = np.log(t + PRIOR) - np.log(expected + PRIOR)
     model = RatioModel(ratio.astype(np.float32), -np.inf)
-    few = known.where(share >= int((1 << 30) * max(0.0, 1 - train_rows / max(1, total))))
+    few = known.where(share >= apart)
     scored = score(text.join(few, "id"), model, "id", "text", ["good"]).select("good", "worst").toArrow()  # about train_rows pairs
     worst, ok = scored.column("worst").to_numpy(), scored.column("good").to_numpy(zero_copy_only=False).astype(bool)
     by = np.argsort(worst, kind="stable")
@@ -148,7 +165,7 @@ def score(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col:
         raw, off = text_bytes(pa.array(texts, pa.string()))
         weight, worst = np.zeros(len(texts)), np.zeros(len(texts))
         for i, j in slices(off):
-            f, d = word_features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            f, d = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             r = shared.value.log_ratio[f]
             weight[i:j] = np.bincount(d, r, j - i)
             low = r < FLOOR
@@ -189,16 +206,19 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
     return values[k - 1]
 
 
-def resample(docs: DataFrame, model: RatioModel, k: int | None = None, share: float | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Acceptable documents: (id, log_weight, worst, gumbel_key, sampled).
+def resample(docs: DataFrame, model: RatioModel, k: int | None = None, share: float | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
+    """Acceptable documents: (id, log_weight, worst, gumbel_key, sampled); with `extra`, the
+    columns named there come along.
 
     sampled marks the k (or share of the acceptable, or with neither all) largest
     log_weight + Gumbel noise: a sample without replacement by importance weight. Equal keys
     (repeated rows) are sampled together. k of 0 or less samples none.
     """
-    scored = materialize(score(docs, model, id_col, text_col).where("accepted").drop("accepted").withColumn("gumbel_key", gumbel_key(F.col("log_weight"), F.col(id_col), seed)), "quality")
+    keep = [c for c in extra or [] if c != id_col]
+    scored = score(docs, model, id_col, text_col, keep).where("accepted").drop("accepted").withColumn("gumbel_key", gumbel_key(F.col("log_weight"), F.col(id_col), seed))
     if k is None and share is None:
         return scored.withColumn("sampled", F.lit(True))
+    scored = materialize(scored, "quality")
     k = int(share * scored.count()) if k is None else k
     least = kth_largest(scored, "gumbel_key", k)
     every = k > 0 and least is None

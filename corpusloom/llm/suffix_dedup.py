@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, slices, text_bytes
@@ -344,3 +344,28 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     joined = docs.withColumn("_key", key).join(ranges, "_key", "left")
     return joined.select(*cols, keep(F.col(text_col).cast("string").cast("binary"), "_ranges").alias("_r")).select(*cols, F.col("_r.kept").alias("_kept"), F.col("_r.spans").alias("_spans"), F.col("_r.size").alias("_size"))
+
+
+def whole_characters(text: Column, spans: Column) -> Column:
+    """text without the characters that the byte spans cover whole."""
+
+    @F.pandas_udf("string")
+    def cut(texts, ranges):
+        out = []
+        for t, rs in zip(texts, ranges, strict=True):
+            if t is None or rs is None or not len(rs):
+                out.append(t)
+                continue
+            raw, at, kept = t.encode(), 0, []
+            for r in rs:
+                a, b = r["from"], r["to"]
+                while a < b and raw[a] & 0xC0 == 0x80:
+                    a += 1
+                while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+                    b -= 1
+                kept.append(raw[at:a])
+                at = b
+            out.append(b"".join([*kept, raw[at:]]).decode())
+        return pd.Series(out, dtype=object)
+
+    return cut(text, spans)
