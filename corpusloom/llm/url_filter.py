@@ -125,14 +125,13 @@ class Judge:
     lexicon: Lexicon
     weight: dict[str, float]  # log-odds for blocking
     prior: float
-    rest: float  # of a token never seen
 
     def score(self, host: str, path: str) -> float:
-        return self.prior + sum(self.weight.get(t, self.rest) for t in tokens(self.lexicon, host, path))
+        return self.prior + sum(self.weight.get(t, 0.0) for t in tokens(self.lexicon, host, path))
 
 
 def fit_judge(urls: DataFrame, lexicon: Lexicon, most: int = MODEL_TOKENS) -> Judge:
-    """urls: host, path, verdict (of a rule). Tokens are counted in the tasks and summed; the
+    """urls: host, path, verdict (of a rule); tokens never seen are no evidence. Tokens are counted in the tasks and summed; the
     `most` frequent ones are kept. Without labelled urls the seeds alone speak."""
     shared = urls.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -162,8 +161,7 @@ def fit_judge(urls: DataFrame, lexicon: Lexicon, most: int = MODEL_TOKENS) -> Ju
             have.setdefault(mark + s, [0, 0])[0] += SEED_COUNT
     block, allow = (np.array([x[i] for x in have.values()], np.float64) + 0.5 for i in (0, 1))
     odds = np.log(block / (block.sum() + 0.5)) - np.log(allow / (allow.sum() + 0.5))
-    rest = math.log(0.5 / (block.sum() + 0.5)) - math.log(0.5 / (allow.sum() + 0.5))
-    return Judge(lexicon, dict(zip(have, odds.tolist(), strict=True)), math.log((docs[0] + 1) / (docs[1] + 1)), max(-1.0, min(1.0, rest)))
+    return Judge(lexicon, dict(zip(have, odds.tolist(), strict=True)), math.log((docs[0] + 1) / (docs[1] + 1)))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", html_col: str = "html") -> DataFrame:
