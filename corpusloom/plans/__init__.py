@@ -1,0 +1 @@
+"""Schemas and plans made of several operators."""

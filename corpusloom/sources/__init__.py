@@ -1,0 +1 @@
+"""Readers that give tables of a declared schema."""

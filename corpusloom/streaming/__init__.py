@@ -1,0 +1 @@
+"""Ordered chunk streams."""
