@@ -20,6 +20,7 @@ searched for all boundary states.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,9 @@ from corpusloom.llm.common import materialize
 
 MARK = "▁"
 CHUNK, BLOCK = 32_768, 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: Words up to this length are searched together.
+LONG = 40
 NONE = float("-inf")
 _MODELS: dict[str, Vocabulary] = {}
 
@@ -56,6 +59,13 @@ class Vocabulary:
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("pieces may hold the word mark only at their start")
         self.joined = set("".join(p for p in self.pieces if len(p) > 1))
+        self.trie: dict = {}  # by character; "" holds the score of the piece that ends there
+        for p, (_, score) in self.pieces.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = score
+        self._flatten()
         self.bytes = [b""] * n
         for p, (i, _) in self.pieces.items():
             self.bytes[i] = p.replace(MARK, " ").encode()
@@ -65,25 +75,95 @@ class Vocabulary:
         self.words_of = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
         self.words: dict[str, tuple[bytes, float]] = {}
 
+    def _flatten(self) -> None:
+        """The trie as sorted (node, character) keys, for searching many words at once."""
+        keys, child, self.node_id, self.node_score = [], [], [-1], [NONE]
+        ids = {0: self.trie}
+        names = {0: ""}
+        for number in range(1 << 30):
+            if number not in ids:
+                break
+            node, name = ids.pop(number), names.pop(number)
+            if "" in node:
+                self.node_id[number], self.node_score[number] = self.pieces[name][0], node[""]
+            for c, below in node.items():
+                if c:
+                    new = len(self.node_id)
+                    self.node_id.append(-1)
+                    self.node_score.append(NONE)
+                    ids[new], names[new] = below, name + c
+                    keys.append(number << 21 | ord(c))
+                    child.append(new)
+        by = np.argsort(keys)
+        self.keys, self.child = np.array(keys, np.int64)[by], np.array(child, np.int32)[by]
+        self.node_id, self.node_score = np.array(self.node_id, np.int32), np.array(self.node_score)
+
+    def many_words(self, words: list[str]) -> list[tuple[bytes, float]]:
+        """As word(), for words of up to LONG characters at once."""
+        n, size = len(words), np.array([len(w) for w in words])
+        width = int(size.max())
+        codes = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, width).astype(np.int64)
+        best, back, piece = np.full((n, width + 1), NONE), np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
+        best[:, 0] = 0.0
+        last = len(self.keys) - 1
+        for i in range(width):
+            rows = np.flatnonzero((size > i) & (best[:, i] > NONE))
+            here, node, alone = best[rows, i], np.zeros(len(rows), np.int64), rows
+            j = i
+            while len(rows):
+                key = node << 21 | codes[rows, j]
+                at = np.minimum(np.searchsorted(self.keys, key), last)
+                ok = (self.keys[at] == key) & (size[rows] > j)
+                rows, here, node = rows[ok], here[ok], self.child[at[ok]].astype(np.int64)
+                j += 1
+                score = here + self.node_score[node]
+                if j == i + 1:
+                    alone = np.setdiff1d(alone, rows[score > NONE], assume_unique=True)
+                up = score > best[rows, j] if len(rows) else ok[:0]
+                best[rows[up], j], back[rows[up], j], piece[rows[up], j] = score[up], i, self.node_id[node[up]]
+                if j == width:
+                    break
+            score = best[alone, i] + self.unknown
+            up = score > best[alone, i + 1]
+            best[alone[up], i + 1], back[alone[up], i + 1], piece[alone[up], i + 1] = score[up], i, -1
+        out, total = np.zeros((n, width), np.int32), best[np.arange(n), size]
+        count, at = np.zeros(n, np.int64), size.copy()
+        rows = np.flatnonzero(at > 0)
+        while len(rows):
+            out[rows, count[rows]] = piece[rows, at[rows]]
+            count[rows] += 1
+            at[rows] = back[rows, at[rows]]
+            rows = rows[at[rows] > 0]
+        odd = set(np.flatnonzero((out < 0).any(axis=1)).tolist())
+        flat = out.astype("<u2")[:, ::-1].tobytes()
+        return [self.word(words[k]) if k in odd else (flat[2 * ((k + 1) * width - c) : 2 * (k + 1) * width], t) for k, (c, t) in enumerate(zip(count.tolist(), total.tolist(), strict=True))]
+
     def search(self, text: str, start: dict[int, float], end: int) -> tuple[list[float], list[int]]:
         """Best scores at each place up to `end`, and where the piece that ends there began
         (-1: before the text). start: scores of places reached from before."""
         n = min(len(text), end)
         best, back = [NONE] * (n + 1), [-1] * (n + 1)
-        get, longest, unknown = self.pieces.get, self.longest, self.unknown
+        trie, unknown = self.trie, self.unknown
         for s, v in start.items():
             if s <= n:
                 best[s] = v
-        for j in range(1, n + 1):
-            top, at = best[j], back[j]
-            for i in range(max(0, j - longest), j):
-                if best[i] == NONE:
-                    continue
-                p = get(text[i:j])
-                c = p[1] if p else unknown if j - i == 1 else None
-                if c is not None and best[i] + c > top:
-                    top, at = best[i] + c, i
-            best[j], back[j] = top, at
+        # starts in order and only better scores taken, so ties keep the earliest start
+        for i in range(n):
+            here = best[i]
+            if here == NONE:
+                continue
+            node, j = trie, i
+            while j < n:
+                node = node.get(text[j])
+                if node is None:
+                    break
+                j += 1
+                c = node.get("")
+                if c is not None and here + c > best[j]:
+                    best[j], back[j] = here + c, i
+            if text[i] not in trie or "" not in trie[text[i]]:
+                if here + unknown > best[i + 1]:
+                    best[i + 1], back[i + 1] = here + unknown, i
         return best, back
 
     def ids(self, piece: str) -> list[int]:
@@ -100,16 +180,36 @@ class Vocabulary:
 
     def word(self, w: str) -> tuple[bytes, float]:
         best, back = self.search(w, {0: 0.0}, len(w))
-        return np.array(self.trace(w, back, len(w))[1], "<u2").tobytes(), best[-1]
+        return array("H", self.trace(w, back, len(w))[1]).tobytes(), best[-1]
+
+    def learn(self, words: list[str]) -> None:
+        """Remember words that aren't known, short ones together."""
+        words.sort(key=len)
+        short = [w for w in words if len(w) <= LONG]
+        for i in range(0, len(short), 4096):
+            part = short[i : i + 4096]
+            self.words.update(zip(part, self.many_words(part), strict=True))
+        for w in words[len(short) :]:
+            self.words[w] = self.word(w)
+
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, float]]:
+        """As encode_marked, for several texts; their words are looked up together."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        cut = [self.words_of.findall(t) for t in texts]
+        self.learn(list({w for ws in cut for w in ws}.difference(self.words)))
+        get = self.words.__getitem__
+        out = []
+        for ws in cut:
+            found = list(map(get, ws))
+            out.append((b"".join([x[0] for x in found]), sum([x[1] for x in found])))
+        return out
 
     def encode_marked(self, text: str) -> tuple[bytes, float]:
         """Ids (little-endian uint16) and score of marked text from word to word."""
         ws = self.words_of.findall(text)
         known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(ws).difference(known):
-            known[w] = self.word(w)
+        self.learn([w for w in set(ws) if w not in known])
         found = [known[w] for w in ws]
         return b"".join([x[0] for x in found]), sum([x[1] for x in found])
 
@@ -213,7 +313,7 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 c = b.slice(i, 512)
-                found = [v.encode_marked(mark(x or "")) for x in c.column(c.num_columns - 1).to_pylist()]
+                found = v.encode_many([mark(x or "") for x in c.column(c.num_columns - 1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*c.columns[:-1], pa.array([x[0] for x in found], pa.binary()), pa.array([float(x[1]) for x in found], pa.float64())], names=[*c.schema.names[:-1], "ids", "score"])
 
     small = named.where(F.coalesce(F.length("_text"), F.lit(0)) < chunk).mapInArrow(short, f"{kind}, ids binary, score double")

@@ -49,6 +49,13 @@ def test_matches_all_splits():
         assert v.decode(raw) == t == model.decode(want)
 
 
+def test_many_words_match_one_by_one():
+    v = S.vocabulary(PATH)
+    words = sorted({w for t in texts(7, 300) + ["größe 日本語 \x00 a\x00b 😀😀"] for w in v.words_of.findall(S.mark(t)) if len(w) <= S.LONG})
+    assert v.many_words(words) == [v.word(w) for w in words]
+    assert v.encode_many([S.mark(" ".join(words))]) == [v.encode_marked(S.mark(" ".join(words)))]
+
+
 @pytest.mark.parametrize("chunk", [64, 100])
 def test_chunks_match_whole(spark, chunk):
     v = S.vocabulary(PATH)
