@@ -41,17 +41,19 @@ def funnel(levels: list[DataFrame], group: list[str], key: str, parent: str, sco
     return out
 
 
-def budget_take(df: DataFrame, group: list[str], order: list[Column], text: str, budget: int, least: int = 500, marker: str = "\n\n[... truncated]") -> DataFrame:
-    """Rows in order until the texts fill the budget of characters. The first that doesn't
-    fit is cut to what is left, with a marker, if more than `least` are left; then no more."""
+def budget_take(df: DataFrame, group: list[str], order: list[Column], text: str, budget: int, head: str | None = None, least: int = 500, marker: str = "\n[...truncated...]") -> DataFrame:
+    """Rows in order until heads and texts fill the budget of characters. The first that
+    doesn't fit is cut so that it fills the budget with its head and a marker, if more than
+    `least` of it are left; then no more. Empty texts are passed over."""
     w = Window.partitionBy(*group).orderBy(*order)
-    n = F.length(text)
+    above = F.length(head) if head else F.lit(0)
+    n = above + F.length(text)
     before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # the first overflow ends the list, so a later short text can't slip in
     over = F.max(F.when(before + n > budget, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    held = df.withColumns({"_before": before, "_over": F.coalesce(over, F.lit(0))}).where("_over = 0")
+    held = df.where(F.length(text) > 0).withColumns({"_before": before, "_over": F.coalesce(over, F.lit(0))}).where("_over = 0")
     fits = F.col("_before") + n <= budget
-    left = budget - F.col("_before")
+    left = budget - F.col("_before") - above - len(marker)
     return held.where(fits | (left > least)).withColumn(text, F.when(fits, F.col(text)).otherwise(F.concat(F.substring(text, F.lit(1), left.cast("int")), F.lit(marker)))).drop("_before", "_over")
 
 

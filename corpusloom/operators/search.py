@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names of concepts and other names for them.
+CONCEPT_ALIASES = {
+    "z-transform": ["z transform", "zt", "z-domain", "z domain"],
+    "laplace transform": ["laplace", "s-domain", "s domain", "lt"],
+    "fourier transform": ["fourier", "ft", "dft", "fft", "frequency domain"],
+    "transfer function": ["tf", "h(s)", "h(z)", "g(s)", "g(z)"],
+    "state space": ["state-space", "state space representation", "state variable"],
+    "pid controller": ["pid", "proportional integral derivative"],
+    "bode plot": ["bode diagram", "frequency response"],
+    "nyquist": ["nyquist criterion", "nyquist plot", "nyquist stability"],
+    "root locus": ["root-locus", "rl"],
+}
 #: Keywords beyond this are joined without a broadcast hint; the planner decides then.
 BROADCAST_KEYWORDS = 10_000
 
 
+def concept_aliases(spark: SparkSession) -> DataFrame:
+    """(canonical, alias) of the known concepts."""
+    return spark.createDataFrame([(c, a) for c, xs in CONCEPT_ALIASES.items() for a in xs], "canonical string, alias string")
+
+
 def expand_keywords(keywords: DataFrame, aliases: DataFrame) -> DataFrame:
     """(keyword): lower-cased keywords, the aliases of those that are canonical names, and for
     those that are aliases the canonical name and its other aliases; each once.

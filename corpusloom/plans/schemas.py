@@ -37,7 +37,11 @@ ADDED: list[tuple[str, str, str, object]] = [
 PIPELINE_STATES = ("uploaded", "toc_extracted", "awaiting_verification", "extracting", "partially_extracted", "fully_extracted", "error")
 QUALIFYING_STATES = ("toc_extracted", "awaiting_verification", "extracting", "partially_extracted", "fully_extracted")
 RELATIONSHIPS = ("derives_from", "proves", "prerequisite_of", "uses", "generalizes", "specializes", "contradicts", "defines", "equivalent_form", "variant_of", "contains")
-NODE_LEVELS = ("chapter", "section", "concept")
+NODE_LEVELS = ("chapter", "section", "subsection")
+NODE_TYPES = ("theorem", "definition", "equation", "lemma", "corollary", "axiom", "proof", "identity", "formula", "law", "principle", "theory", "hypothesis", "observation", "constant", "property", "method", "technique", "algorithm", "procedure", "criterion", "model", "approximation", "rule", "condition", "relation", "concept", "result", "example", "variable", "parameter")
+JOB_STATES = ("pending", "processing", "completed", "failed")
+EXTRACTION_STATES = ("pending", "selected", "extracting", "extracted", "deferred", "error")
+CONTENT_TYPES = ("table", "figure", "equation", "text")
 
 
 def empty(spark: SparkSession, table: str) -> DataFrame:

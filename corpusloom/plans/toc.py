@@ -10,7 +10,7 @@ from corpusloom.operators.interval import holds_child, lead_intervals
 from corpusloom.operators.islands import backfill_positive
 
 # Titles that aren't chapters.
-META_TITLES = ("contents", "table of contents", "preface", "foreword", "acknowledgments", "acknowledgements", "index", "bibliography", "references", "glossary", "about the author", "cover", "title page", "copyright", "dedication")
+META_TITLES = ("contents", "preface", "index", "bibliography", "list of contributors", "foreword", "acknowledgments", "acknowledgements", "about the authors", "about the author", "about the editor", "about the editors", "appendix", "glossary", "table of contents")
 SECTION_NUMBER = r"(?U)^\d+\.\d+"
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CATEGORIES = {"lecture": "lectures", "assignment": "assignments", "exam": "exams", "textbook": "textbooks", "notes": "notes", "syllabus": "syllabi", "other": "other"}
+# Folders of the kinds of material.
+CATEGORIES = {"lecture_slides": "lectures", "tutorial_questions": "tutorials", "tutorial_solutions": "tutorials/solutions", "past_exam_papers": "exams", "lab_manual": "labs", "reference_notes": "notes", "other": "other"}
 
 
 def folder_of(category: Column) -> Column:
@@ -15,44 +16,42 @@ def folder_of(category: Column) -> Column:
 
 
 def description_md(d: Column) -> Column:
-    """A chapter description (struct) as Markdown; what `description_from_lines` reads."""
-    concept = lambda c: F.concat(F.lit("- ["), c["classification"], F.lit("] "), c["name"], F.when(F.size(c["aliases"]) > 0, F.concat(F.lit(" (aliases: "), F.array_join(c["aliases"], ", "), F.lit(")"))).otherwise(""), F.lit(": "), c["description"])
-    bullets = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x)), "\n")
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("# "), d["chapter_title"]),
-        F.concat(F.lit("**Source:** "), d["source_textbook"]),
-        F.concat(F.lit("**Chapter:** "), d["chapter_number"]),
-        F.concat(F.lit("**Pages:** "), d["page_range"]["start"].cast("string"), F.lit("-"), d["page_range"]["end"].cast("string")),
-        F.lit("\n## Summary"), d["summary"],
-        F.lit("\n## Key Concepts"), F.array_join(F.transform(d["key_concepts"], concept), "\n"),
-        F.lit("\n## Prerequisites"), bullets(d["prerequisites"]),
-        F.lit("\n## Mathematical Content"), bullets(d["mathematical_content"]),
-    )
+    """A chapter description (struct) as Markdown; what `description_from_md` reads."""
+    aliases = lambda c: F.when(F.size(c["aliases"]) > 0, F.concat(F.lit(" (aliases: "), F.array_join(c["aliases"], ", "), F.lit(")"))).otherwise("")
+    concept = lambda c: F.concat(F.lit("- ["), c["classification"], F.lit("] "), c["name"], aliases(c), F.lit("\n  "), c["description"], F.lit("\n"))
+    items = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")
+    parts = [
+        F.lit("# "), d["chapter_title"], F.lit("\n\n**Source**: "), d["source_textbook"], F.lit("\n**Chapter**: "), d["chapter_number"],
+        F.lit("\n**Pages**: "), d["page_range"]["start"].cast("string"), F.lit("-"), d["page_range"]["end"].cast("string"),
+        F.lit("\n\n## Summary\n\n"), d["summary"], F.lit("\n\n## Key Concepts\n\n"), F.array_join(F.transform(d["key_concepts"], concept), ""),
+        F.lit("\n## Prerequisites\n\n"), items(d["prerequisites"]), F.lit("\n## Mathematical Content\n\n"), items(d["mathematical_content"]),
+        F.lit("\n## Figures\n\n**Has Figures**: "), F.when(d["has_figures"], "Yes").otherwise("No"), F.lit("\n"), items(d["figure_descriptions"]),
+    ]
+    return F.concat(*parts)
 
 
 def description_from_md(text: Column) -> Column:
-    """The record in a description: title, number, pages, summary, concepts, prerequisites."""
-    lines = F.split(text, "\n")
-    field = lambda name: F.regexp_extract(text, rf"(?m)^\*\*{name}:\*\* (.*)$", 1)
-    section = lambda name: F.regexp_extract(text, rf"(?s)(?:^|\n)## {name}\n(.*?)(?:\n\n## |\z)", 1)
-    bullets = lambda name: F.transform(F.filter(F.split(section(name), "\n"), lambda x: x.startswith("- ")), lambda x: F.substring(x, F.lit(3), F.length(x)))
-    shape = r"^\[([A-Z]+)\] (.*?)(?: \(aliases: ([^)]*)\))?: (.*)$"
-    concept = lambda x: F.struct(
-        F.regexp_extract(x, shape, 2).alias("name"),
-        F.when(F.regexp_extract(x, shape, 3) == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_extract(x, shape, 3), ", ")).alias("aliases"),
-        F.regexp_extract(x, shape, 1).alias("classification"),
-        F.regexp_extract(x, shape, 4).alias("description"),
-    )
+    """The record in a description. A concept's description is the indented line after it."""
+    field = lambda name: F.trim(F.regexp_extract(text, rf"(?m)^\*\*{name}\*\*:(.*)$", 1))
+    section = lambda name: F.regexp_extract(text, rf"(?s)(?:^|\n)## {name}\n(.*?)(?:\n## |\z)", 1)
+    items = lambda name: F.transform(F.filter(F.split(section(name), "\n"), lambda x: x.startswith("- ")), lambda x: F.trim(F.substring(x, F.lit(3), F.length(x))))
+    shape = r"(?m)^- \[(EXPLAINS|USES)\] (.+?)(?:\s+\(aliases: (.+?)\))?$(?:\n {2}(.*)$)?"
+    group = lambda n: F.regexp_extract_all(section("Key Concepts"), F.lit(shape), n)
+    rows = F.arrays_zip(group(1).alias("c"), group(2).alias("n"), group(3).alias("a"), group(4).alias("d"))
+    split = lambda a: F.when(F.coalesce(a, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(a, ","), lambda x: F.trim(x)))
+    concept = lambda r: F.struct(F.trim(r["n"]).alias("name"), split(r["a"]).alias("aliases"), r["c"].alias("classification"), F.trim(F.coalesce(r["d"], F.lit(""))).alias("description"))
+    summary = F.array_join(F.filter(F.split(section("Summary"), "\n"), lambda x: (F.rtrim(x) != "") & ~x.startswith("#")), " ")
     return F.struct(
         field("Source").alias("source_textbook"),
         field("Chapter").alias("chapter_number"),
-        F.substring(lines[0], 3, 2147483647).alias("chapter_title"),
-        F.struct(F.regexp_extract(field("Pages"), r"^(\d+)-", 1).try_cast("int").alias("start"), F.regexp_extract(field("Pages"), r"-(\d+)$", 1).try_cast("int").alias("end")).alias("page_range"),
-        section("Summary").alias("summary"),
-        F.transform(bullets("Key Concepts"), concept).alias("key_concepts"),
-        bullets("Prerequisites").alias("prerequisites"),
-        bullets("Mathematical Content").alias("mathematical_content"),
+        F.trim(F.regexp_extract(text, r"(?m)^# (.*)$", 1)).alias("chapter_title"),
+        F.struct(F.regexp_extract(field("Pages"), r"^(\d+)\s*-", 1).try_cast("int").alias("start"), F.regexp_extract(field("Pages"), r"-\s*(\d+)$", 1).try_cast("int").alias("end")).alias("page_range"),
+        F.trim(summary).alias("summary"),
+        F.transform(rows, concept).alias("key_concepts"),
+        items("Prerequisites").alias("prerequisites"),
+        items("Mathematical Content").alias("mathematical_content"),
+        F.contains(field("Has Figures"), F.lit("Yes")).alias("has_figures"),
+        items("Figures").alias("figure_descriptions"),
     )
 
 

@@ -121,7 +121,7 @@ def test_threshold_or_top(spark):
 def test_budget(spark):
     df = spark.createDataFrame([("q", 1, "a" * 90_000), ("q", 2, "b" * 90_000), ("q", 3, "c")], "q string, id int, text string")
     got = rank.budget_take(df, ["q"], [F.col("id")], "text", 100_000).orderBy("id").collect()
-    assert [r["id"] for r in got] == [1, 2] and sum(len(r["text"]) for r in got) <= 100_200 and got[1]["text"].endswith("truncated]")
+    assert [r["id"] for r in got] == [1, 2] and sum(len(r["text"]) for r in got) <= 100_200 and got[1]["text"].endswith("truncated...]")
     tight = rank.budget_take(df, ["q"], [F.col("id")], "text", 90_100).collect()
     assert [r["id"] for r in tight] == [1]
 
@@ -209,7 +209,7 @@ def test_migrations_twice(spark):
 
 @pytest.mark.parametrize(
     "eq,want",
-    [(r"\omega_{c}", {"omega_c"}), (r"T_{s}", {"T_s"}), (r"$$\omega_{c} = \sqrt{g/y}$$", {"omega_c", "g", "y"}), (r"\frac{\partial f}{\partial x}", {"f", "x"}), (None, set()), (r"\vec{v} + e^{x} \sin(\theta)", {"v", "x", "theta"})],
+    [(r"\omega_{c}", {"omega_c"}), (r"T_{s}", {"T_s"}), (r"x_{\omega} y^{2} T_s \mathbf{A \alpha}", {"x_omega", "y", "T", "s", "A", "alpha"}), (r"$$\omega_{c} = \sqrt{g/y}$$", {"omega_c", "g", "y"}), (r"\frac{\partial f}{\partial x}", {"f", "x"}), (None, set()), (r"\vec{v} + e^{x} \sin(\theta)", {"v", "theta"})],
 )
 def test_variables(spark, eq, want):
     got = one(spark, eq, T.parse_equation)
@@ -236,8 +236,8 @@ def test_paragraph_chunks(spark, text):
 
 
 def test_markdown_round_trip(spark, tmp_path):
-    d = {"source_textbook": "Book", "chapter_number": "3", "chapter_title": "Z", "page_range": (1, 9), "summary": "About Z.", "key_concepts": [("z", ["zt", "z domain"], "EXPLAINS", "main"), ("f", [], "USES", "aux")], "prerequisites": ["a", "b", "c"], "mathematical_content": []}
-    kind = "d struct<source_textbook: string, chapter_number: string, chapter_title: string, page_range: struct<start: int, end: int>, summary: string, key_concepts: array<struct<name: string, aliases: array<string>, classification: string, description: string>>, prerequisites: array<string>, mathematical_content: array<string>>"
+    d = {"source_textbook": "Book", "chapter_number": "3", "chapter_title": "Z", "page_range": (1, 9), "summary": "About Z.", "key_concepts": [("z", ["zt", "z domain"], "EXPLAINS", "main"), ("f", [], "USES", "aux")], "prerequisites": ["a", "b", "c"], "mathematical_content": [], "has_figures": True, "figure_descriptions": ["one"]}
+    kind = "d struct<source_textbook: string, chapter_number: string, chapter_title: string, page_range: struct<start: int, end: int>, summary: string, key_concepts: array<struct<name: string, aliases: array<string>, classification: string, description: string>>, prerequisites: array<string>, mathematical_content: array<string>, has_figures: boolean, figure_descriptions: array<string>>"
     df = spark.createDataFrame([(d,)], kind)
     (tmp_path / "tb_1").mkdir()
     (tmp_path / "tb_1" / "chapter_3.md").write_text(df.select(sinks.description_md(F.col("d"))).first()[0])
