@@ -102,15 +102,18 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def bucket_links(rows: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray], np.ndarray]], extra: list[str] = ()) -> DataFrame:
+def bucket_links(rows: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray], np.ndarray]], about: DataFrame | None = None) -> DataFrame:
     """Links (a, b) among rows that share a bucket.
 
-    rows: bucket long, node long, and the columns that prepare() reads; it gets a frame and
-    returns a function that gets two arrays of row numbers and says which pairs are links.
-    A bucket of more than BLOCK rows is compared as pairs of blocks, each a group of its own.
+    rows: bucket long, node long; about: what prepare() reads besides, one row a node, joined
+    to rows only where a bucket has company. prepare() gets a frame and returns a function
+    that gets two arrays of row numbers and says which pairs are links. A bucket of more than BLOCK rows is compared as pairs of blocks, each a group of its own.
     """
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = rows.join(sizes, "bucket")
+    extra = [c for c in about.columns if c != "node"] if about is not None else []
+    if about is not None:
+        sized = sized.join(about, "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = sized.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
@@ -266,7 +269,8 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     texts = rows.groupBy("content").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("marks").alias("marks"))
     width = 4 * BAND_ROWS
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("marks", 1 + width * i, width)) for i in range(BANDS)))
-    cand = texts.select(F.col("content").alias("node"), "fp", "marks", F.explode(bands).alias("bucket"))
+    cand = texts.select(F.col("content").alias("node"), F.explode(bands).alias("bucket"))
+    about = texts.select(F.col("content").alias("node"), "fp", "marks")
 
     def prepare(f: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
         x = f["fp"].to_numpy().view(np.uint64)
@@ -283,7 +287,7 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
 
         return verify
 
-    comp = components(bucket_links(cand, prepare, ["fp", "marks"]), "near-copies-links")
+    comp = components(bucket_links(cand, prepare, about), "near-copies-links")
     named = texts.select("content", "first").join(comp, F.col("content") == F.col("node"), "left").select("content", F.coalesce("root", "content").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.select("id", "content").join(named.join(least, "root").select("content", "component_id"), "content").select(F.col("id").alias(id_col), "component_id")
