@@ -124,12 +124,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     letter = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
 
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def score(texts, has):
-        import pandas as pd
-
-        m, raw, off = shared.value, *text_bytes(pa.array(texts, pa.string()))
-        known = has.to_numpy(bool)
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def score(texts: pa.Array, has: pa.Array) -> pa.Array:
+        m, raw, off = shared.value, *text_bytes(texts)
+        known = has.to_numpy(zero_copy_only=False).astype(bool)
         pred, best = np.full(len(texts), "und", object), np.zeros(len(texts))
         if m.languages and len(texts):
             ll = log_likelihoods(m, raw, off)
@@ -137,6 +135,6 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             post = 1 / np.exp(np.clip(ll - ll.max(axis=1, keepdims=True), -700, 0)).sum(axis=1)
             pred[known] = np.array(m.languages, object)[top[known]]
             best[known] = post[known]
-        return pd.DataFrame({"lang_pred": pred, "score": best})
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(best)], ["lang_pred", "score"])
 
     return docs.select(*keep, score(F.col(text_col).cast("string"), letter).alias("_p")).select(*keep, "_p.lang_pred", "_p.score")
