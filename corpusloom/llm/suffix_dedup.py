@@ -3,8 +3,11 @@
 Two equal strings of `length` bytes hold the same anchor at the same place: the leftmost of
 the smallest 16-byte hashes inside them. So each run of string starts that share an anchor
 becomes one row with the anchor's hash and a hash of the run's bytes (its context); rows
-are collapsed inside tasks, then meet by anchor. Equal contexts repeat as a whole. Where an
-anchor has several contexts, one copy of each goes, with its bytes, to a block of text:
+are collapsed inside tasks, then meet by ranges of anchor and context, so that an anchor
+with very many contexts spreads over tasks. Equal contexts repeat as a whole. Where an
+anchor has several contexts, one copy of each goes, with its bytes, to a block of text
+(contexts of hot anchors first fall into pieces of PIECE starts that meet by the bytes that
+the piece's strings share: a piece has few different forms, however many documents hold it):
 a breadth-first backward extension on the block's Burrows-Wheeler transform derives the
 common prefixes of neighbouring suffixes by increasing value and stops at `length`; the
 intervals still unbroken hold the strings that repeat. All but the earliest are removed.
@@ -26,6 +29,8 @@ from corpusloom.llm.common import materialize, slices, text_bytes
 GRAM = 16
 #: Bytes of contexts that one transform covers.
 BLOCK_BYTES = 1 << 20
+#: Contexts of an anchor beyond which it is hot, and starts in a piece of a hot one's context.
+HOT, PIECE = 512, 4
 
 
 def anchors(x: np.ndarray, length: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -52,26 +57,26 @@ def anchors(x: np.ndarray, length: int = 100) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document number, first start, last start, anchor hash, context hash) of each run of
-    starts with one anchor, in the documents given as bytes and offsets."""
+    """(document number, first start, last start, anchor hash, context hash, anchor's place)
+    of each run of starts with one anchor, in the documents given as bytes and offsets."""
     sizes = np.diff(off)
     if len(raw) < length:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return z, z, z, z, z, z
     h, at = anchors(raw, length)
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
     ok = np.arange(len(at)) + length <= off[doc + 1]
     p = np.flatnonzero(ok)
     if not len(p):
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return z, z, z, z, z, z
     a = at[p]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)))
     first, last = p[new], np.concatenate((p[np.flatnonzero(new)[1:] - 1], p[-1:]))
     hashed, view = xxhash.xxh3_64_intdigest, memoryview(raw.tobytes())
     ctx = np.array([hashed(view[s:e]) for s, e in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64).view(np.int64)
     d = doc[first]
-    return d, first - off[d], last - off[d], h[a[new]].view(np.int64), ctx
+    return d, first - off[d], last - off[d], h[a[new]].view(np.int64), ctx, a[new] - off[d]
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +203,7 @@ def removals(docs: DataFrame, length: int = 100) -> DataFrame:
     """(id, from, to): byte ranges to remove. docs: id long, text string; repeated ids count
     as one document (a string at the same place isn't earlier)."""
     raw_docs = docs.select("id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    names = ["g", "anchor", "ctx", "id", "first", "last"]
+    names = ["g", "anchor", "ctx", "id", "first", "last", "at"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,9 +211,9 @@ def removals(docs: DataFrame, length: int = 100) -> DataFrame:
             ids = b.column(0).to_numpy()
             parts = []
             for i, j in slices(off):
-                d, first, last, anchor, ctx = runs(raw[off[i] : off[j]], off[i : j + 1] - off[i], length)
-                parts.append((ids[i + d], first, last, anchor, ctx))
-            key, first, last, anchor, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
+                d, first, last, anchor, ctx, at = runs(raw[off[i] : off[j]], off[i : j + 1] - off[i], length)
+                parts.append((ids[i + d], first, last, anchor, ctx, at))
+            key, first, last, anchor, ctx, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             # within the batch: a context that also lies earlier repeats as a whole; it needs no
             # meeting and travels to where nothing is hot
             by = np.lexsort((first, key, ctx, anchor))
@@ -222,55 +227,68 @@ def removals(docs: DataFrame, length: int = 100) -> DataFrame:
             g = np.where(dup, (ctx ^ (first * 0x9E3779B9)), anchor)
             for s in range(0, int(k.sum()), 100_000):
                 w = np.flatnonzero(k)[s : s + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(g[w]), pa.array(np.where(dup, 0, anchor)[w]), pa.array(np.where(dup, 0, ctx)[w]), pa.array(key[w]), pa.array(first[w].astype(np.int32)), pa.array(last[w].astype(np.int32)), pa.array(dup[w])], names=[*names, "dup"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[w]), pa.array(np.where(dup, 0, anchor)[w]), pa.array(np.where(dup, 0, ctx)[w]), pa.array(key[w]), pa.array(first[w].astype(np.int32)), pa.array(last[w].astype(np.int32)), pa.array(at[w].astype(np.int32)), pa.array(dup[w])], names=[*names, "dup"])
 
-    found = raw_docs.mapInArrow(find, "g long, anchor long, ctx long, id long, first int, last int, dup boolean")
-    met = found.repartition("g").sortWithinPartitions("g", "anchor", "ctx", "id", "first")
+    found = raw_docs.mapInArrow(find, "g long, anchor long, ctx long, id long, first int, last int, at int, dup boolean")
+    met = found.repartitionByRange("g", "ctx").sortWithinPartitions("g", "anchor", "ctx", "id", "first")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole repeats leave as ranges; contexts that meet others under their anchor as needs."""
+        """Whole repeats leave as ranges; contexts that meet others under their anchor as needs.
+        The first and the last anchor of a range may have more contexts next door: they count
+        as hot."""
         rest: pa.Table | None = None
+        edge = None
         for b in batches:
             t = pa.Table.from_batches([b])
             t = t if rest is None else pa.concat_tables([rest, t])
             g = t.column(0).to_numpy()
             if not len(g):
                 continue
+            edge = g[0] if edge is None else edge
             cut = int(np.searchsorted(g, g[-1]))
             if not np.all(g[:-1] <= g[1:]):
                 raise ValueError("rows must come sorted")
             rest = t.slice(cut)
             if cut:
-                yield from settle(t.slice(0, cut))
+                yield from settle(t.slice(0, cut), edge)
         if rest is not None:
-            yield from settle(rest)
+            yield from settle(rest, rest.column(0)[0].as_py())
 
-    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def settle(t: pa.Table, edge: int) -> Iterator[pa.RecordBatch]:
         g, anchor, ctx, key, first, last = (t.column(i).to_numpy() for i in range(6))
-        dup = t.column(6).to_numpy(zero_copy_only=False)
+        at, dup = t.column(6).to_numpy(), t.column(7).to_numpy(zero_copy_only=False)
         n = len(g)
         group = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (g[1:] != g[:-1]) | dup[1:] | dup[:-1]))
         fresh = np.concatenate(([True], group[1:] | (ctx[1:] != ctx[:-1])))
         head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         whole = dup | ~fresh & ((key != key[head]) | (first != first[head]))
         number = np.cumsum(group) - 1
-        several = np.bincount(number, weights=fresh)[number] > 1
-        need = fresh & several & ~dup
+        forms = np.bincount(number, weights=fresh)[number]
+        hot = (forms > HOT) | (g == edge)
+        need = fresh & ((forms > 1) | hot) & ~dup
         keep = np.flatnonzero(whole | need)
         for s in range(0, len(keep), 100_000):
             w = keep[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(need[w]), pa.array(anchor[w]), pa.array(key[w]), pa.array(first[w]), pa.array(last[w])], names=["need", "anchor", "id", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(need[w]), pa.array(anchor[w]), pa.array(key[w]), pa.array(first[w]), pa.array(last[w]), pa.array(at[w]), pa.array(hot[w])], names=["need", "anchor", "id", "first", "last", "at", "hot"])
 
-    told = materialize(met.mapInArrow(meet, "need boolean, anchor long, id long, first int, last int"), "suffix-runs")
+    told = materialize(met.mapInArrow(meet, "need boolean, anchor long, id long, first int, last int, at int, hot boolean"), "suffix-runs")
     whole = told.where("not need").select("id", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
-    needs = told.where("need").groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
-    texts = (
-        raw_docs.join(needs, "id")
-        .select("id", "raw", F.explode("runs").alias("r"))
-        .select("r.anchor", "id", "r.first", F.substring("raw", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + length).alias("bytes"))
-        .repartition("anchor")
-        .sortWithinPartitions("anchor")
-    )
+    needs = told.where("need").groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "hot")).alias("runs"))
+    # strings of a hot anchor's context by their start's place against the anchor; cold ones whole
+    r = F.col("r")
+    q = lambda p: F.floor((p - r["at"]) / PIECE).cast("int")
+    pieces = F.when(r["hot"], F.sequence(q(r["first"]), q(r["last"]))).otherwise(F.array(F.lit(None).cast("int")))
+    cut = raw_docs.join(needs, "id").select("id", "raw", F.explode("runs").alias("r")).select("id", "raw", "r", F.explode(pieces).alias("q"))
+    start = r["at"] + F.col("q") * PIECE
+    first = F.coalesce(F.greatest(r["first"], start), r["first"])
+    last = F.coalesce(F.least(r["last"], start + (PIECE - 1)), r["last"])
+    shared = F.xxhash64(r["anchor"], F.col("q"), F.substring("raw", start + PIECE, F.lit(length - PIECE + 1)))
+    part = F.substring("raw", first + 1, last - first + length)
+    texts = materialize(cut.select(F.coalesce(F.when(r["hot"], shared), r["anchor"]).alias("anchor"), r["hot"].alias("hot"), F.xxhash64(first - r["at"], part).alias("form"), "id", first.alias("first"), last.alias("last"), part.alias("bytes")), "suffix-texts")
+    forms = texts.where("hot").groupBy("anchor", "form").agg(F.min(F.struct("id", "first")).alias("m"), F.max_by("bytes", F.lit(1)).alias("bytes"))
+    again = texts.where("hot").select("anchor", "form", "id", "first", "last").join(forms.select("anchor", "form", "m"), ["anchor", "form"]).where("id <> m.id OR first <> m.first")
+    whole = whole.unionByName(again.select("id", F.col("first").alias("from"), (F.col("last") + length).alias("to")))
+    block = texts.where("not hot").select("anchor", "id", "first", "bytes").unionByName(forms.select("anchor", "m.id", "m.first", "bytes")).repartition("anchor").sortWithinPartitions("anchor")
 
     def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -304,7 +322,7 @@ def removals(docs: DataFrame, length: int = 100) -> DataFrame:
                 yield pd.DataFrame({"id": key[ctx], "from": (first[ctx] + a).astype(np.int32), "to": (first[ctx] + b + length).astype(np.int32)})
             start = end
 
-    return whole.unionByName(texts.mapInPandas(extend, "id long, from int, to int"))
+    return whole.unionByName(block.mapInPandas(extend, "id long, from int, to int"))
 
 
 def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

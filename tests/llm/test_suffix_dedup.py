@@ -71,6 +71,18 @@ def test_matches_brute_force(spark):
         assert got == want
 
 
+def test_hot_anchors_match_brute_force(spark, monkeypatch):
+    for hot, seed in ((0, 4), (3, 5)):
+        monkeypatch.setattr(S, "HOT", hot)
+        r = random.Random(seed)
+        passage = "".join(r.choice("abcdefgh ") for _ in range(260))
+        docs = some_docs(seed) + [(100 + i, "".join(r.choice("xyz") for _ in range(r.randint(0, 60))) + passage + "".join(r.choice("xyz") for _ in range(r.randint(0, 60)))) for i in range(60)]
+        want = brute([(d, (t or "").encode()) for d, t in docs], 100)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+        got = {x["doc_id"]: (bytes(x["_kept"]), len(x["_spans"]), x["_size"]) for x in S.drop_repeats(df).collect()}
+        assert got == want
+
+
 def test_small_blocks_and_slices(spark, monkeypatch):
     docs = some_docs(9)
     monkeypatch.setattr(S, "BLOCK_BYTES", 500)
