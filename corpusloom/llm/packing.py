@@ -10,6 +10,8 @@ a document that crosses a window's end leaves a boundary record (`continues`/`co
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +25,18 @@ from corpusloom.llm.common import materialize
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, continued boolean, continues boolean"
 
 #: Words whose ids a worker remembers. More only costs memory, less only time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Whole-text ids from ids of words.
 
-    Byte-level pre-tokenization never joins across a single space between two
-    non-space characters, and the space belongs to what follows. So a text may be cut
-    there, and the ids of " word" be remembered. tests compare with whole texts.
+    Byte-level pre-tokenization never joins across a single space or newline between two
+    non-space characters: a space belongs to what follows, a newline stands alone. So a text
+    may be cut there, and the ids of " word", "word" and the newline be remembered. A full
+    stop or comma after a letter or digit is a token of its own. tests compare with whole
+    texts.
     """
 
     def __init__(self, path: str):
@@ -42,35 +46,65 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes] = {}
+        self.alone: dict[str, bytes] = {}
+        self.newline = self._fresh(["\n"])[0]
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.wide.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as bytes of dtype `wide`, one item a text."""
         cut = [split_words(x) for x in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list({w for ws in cut for w in ws[1:]}.difference(self.words))
-        self.words.update(zip(new, self._fresh([" " + w for w in new]), strict=True))
-        heads = self._fresh([ws[0] for ws in cut])
-        get = self.words.__getitem__
-        return [h + b"".join(map(get, ws[1:])) for h, ws in zip(heads, cut, strict=True)]
-
-
-def split_words(text: str) -> list[str]:
-    """Cut at single spaces between non-space characters; "a b  c" is ["a", "b  c"]."""
-    parts = text.split(" ")
-    out, glue = [parts[0]], not parts[0] or parts[0][-1].isspace()
-    for p in parts[1:]:
-        if glue or not p or p[0].isspace():
-            out[-1] += " " + p
-            glue = not p or p[-1].isspace()
+        if not self.after_space or len(self.after_space) + len(self.alone) > CACHE_WORDS:
+            self.after_space = {_APART + c: ids for c, ids in zip(_STOPS, self._fresh(list(_STOPS)), strict=True)}
+            self.alone = {}
+        spaced, alone = self.after_space, self.alone
+        new = list({w for lines in cut for ws in lines for w in ws[1:]}.difference(spaced))
+        spaced.update(zip(new, self._fresh([" " + w for w in new]), strict=True))
+        new = list({ws[0] for lines in cut for ws in lines}.difference(alone))
+        alone.update(zip(new, self._fresh(new), strict=True))
+        get = spaced.__getitem__
+        return [self.newline.join([alone[ws[0]] + b"".join(map(get, ws[1:])) for ws in lines]) for lines in cut]
+
+
+#: White space besides the space and the newline; marks that stand alone after a letter or
+#: digit, and the character that tells them from those after a space.
+_OTHER_SPACE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
+_STOPS, _APART = (".", ","), "\x01"
+_DOUBLE = ("  ", " \n", "\n ", "\n\n", _APART)
+_LOOSE_STOP = re.compile(r"[\W_][.,](?:[ \n]|\Z)")
+
+
+def split_words(text: str) -> list[list[str]]:
+    """Lines of words, cut at single spaces and newlines between non-space characters only:
+    "a b  c\nd" is [["a", "b  c"], ["d"]]. In texts without other white space stops after
+    words are items of their own, behind _APART."""
+    if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _DOUBLE) and not any(x in text for x in _OTHER_SPACE):
+        if text[0] not in _STOPS and not _LOOSE_STOP.search(text):
+            for c in _STOPS:
+                text = text.replace(c + " ", f" {_APART}{c} ").replace(c + "\n", f" {_APART}{c}\n")
+        return [line.split(" ") for line in text.split("\n")]
+    lines: list[list[str]] = []
+    glue = ""
+    for p in re.split(r"([ \n])", text):
+        if p in (" ", "\n") and not glue and lines and not lines[-1][-1][-1:].isspace() and lines[-1][-1]:
+            glue = p
+        elif glue and p and not p[0].isspace():
+            if glue == " ":
+                lines[-1].append(p)
+            else:
+                lines.append([p])
+            glue = ""
+        elif lines:
+            lines[-1][-1] += glue + p
+            glue = ""
         else:
-            out.append(p)
-            glue = p[-1].isspace()
-    return out
+            lines.append([p])
+    if glue:
+        lines[-1][-1] += glue
+    return lines
 
 
 def encoder(path: str) -> WordEncoder:

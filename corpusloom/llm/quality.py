@@ -133,13 +133,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 30))
     apart = int((1 << 30) * (1 - min(0.3, train_rows / max(1, total))))
     some = known.where(F.col("good") & (share < int(apart * min(1.0, target_rows / good))))
-    t = count_features(text.join(some.select("id"), "id", "left_semi"))
+    # both lists of ids are of a bounded size, so texts stay where they are
+    t = count_features(text.join(F.broadcast(some.select("id")), "id", "left_semi"))
     r = count_features(text)
     expected = r * (t.sum() / max(1, r.sum()))
     ratio = np.log(t + PRIOR) - np.log(expected + PRIOR)
     model = RatioModel(ratio.astype(np.float32), -np.inf)
     few = known.where(share >= apart)
-    scored = score(text.join(few, "id"), model, "id", "text", ["good"]).select("good", "worst").toArrow()  # about train_rows pairs
+    scored = score(text.join(F.broadcast(few), "id"), model, "id", "text", ["good"]).select("good", "worst").toArrow()  # about train_rows pairs
     worst, ok = scored.column("worst").to_numpy(), scored.column("good").to_numpy(zero_copy_only=False).astype(bool)
     by = np.argsort(worst, kind="stable")
     worst, ok = worst[by], ok[by]
@@ -158,11 +159,9 @@ def score(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col:
     texts have weight and evidence 0 and are accepted only if the limit allows 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<log_weight double, worst double>")
-    def ratios(texts):
-        import pandas as pd
-
-        raw, off = text_bytes(pa.array(texts, pa.string()))
+    @F.arrow_udf("struct<log_weight: double, worst: double>")
+    def ratios(texts: pa.Array) -> pa.Array:
+        raw, off = text_bytes(texts)
         weight, worst = np.zeros(len(texts)), np.zeros(len(texts))
         for i, j in slices(off):
             f, d = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -170,7 +169,7 @@ def score(docs: DataFrame, model: RatioModel, id_col: str = "doc_id", text_col:
             weight[i:j] = np.bincount(d, r, j - i)
             low = r < FLOOR
             worst[i:j] = np.bincount(d[low], r[low], j - i)
-        return pd.DataFrame({"log_weight": weight, "worst": worst})
+        return pa.StructArray.from_arrays([pa.array(weight), pa.array(worst)], ["log_weight", "worst"])
 
     return docs.select(id_col, *keep, ratios(F.col(text_col).cast("string")).alias("_q")).select(id_col, *keep, "_q.log_weight", "_q.worst", (F.col("_q.worst") >= model.limit).alias("accepted"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ann_forest, chat, langid, media, packing, quality, sentencepiece_scan, simhash, suffix_dedup, url_filter
+from corpusloom.llm.common import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     """Pieces of all documents, and whether they decode to the text."""
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("want", F.xxhash64(F.translate(F.coalesce("text", F.lit("")), sentencepiece_scan.MARK, " ")))
-    done = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, path, keep=["want"]), path)
+    # written in between, so that a task holds one Python worker at a time
+    done = sentencepiece_scan.decode(materialize(sentencepiece_scan.encode(docs, path, keep=["want"]), "pieces"), path)
     return done.select(
         "doc_id",
         (F.length("ids") / 2).cast("long").alias("n_pieces"),

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from corpusloom.llm.common import materialize
 
 MARK = "▁"
 CHUNK, BLOCK = 32_768, 256
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: Words up to this length are searched together.
 LONG = 40
 NONE = float("-inf")
@@ -59,13 +60,6 @@ class Vocabulary:
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("pieces may hold the word mark only at their start")
         self.joined = set("".join(p for p in self.pieces if len(p) > 1))
-        self.trie: dict = {}  # by character; "" holds the score of the piece that ends there
-        for p, (_, score) in self.pieces.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = score
-        self._flatten()
         self.bytes = [b""] * n
         for p, (i, _) in self.pieces.items():
             self.bytes[i] = p.replace(MARK, " ").encode()
@@ -75,6 +69,17 @@ class Vocabulary:
         self.words_of = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
         self.words: dict[str, tuple[bytes, float]] = {}
 
+    @cached_property
+    def trie(self) -> dict:
+        """Pieces by character; "" holds the score of the piece that ends there."""
+        root: dict = {}
+        for p, (_, score) in self.pieces.items():
+            node = root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = score
+        return root
+
     def _flatten(self) -> None:
         """The trie as sorted (node, character) keys, for searching many words at once."""
         keys, child, self.node_id, self.node_score = [], [], [-1], [NONE]
@@ -100,6 +105,8 @@ class Vocabulary:
 
     def many_words(self, words: list[str]) -> list[tuple[bytes, float]]:
         """As word(), for words of up to LONG characters at once."""
+        if not hasattr(self, "keys"):
+            self._flatten()
         n, size = len(words), np.array([len(w) for w in words])
         width = int(size.max())
         codes = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, width).astype(np.int64)
