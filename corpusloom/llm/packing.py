@@ -20,12 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize
+from corpusloom.llm.common import materialize, slices, text_bytes
 
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, continued boolean, continues boolean"
 
-#: Words whose ids a worker remembers. More only costs memory, less only time.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker remembers (about 220 bytes each), and new ones that are tokenized
+#: at once. More only costs memory, less only time.
+CACHE_WORDS, NEW_WORDS = 150_000, 8192
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -51,8 +52,10 @@ class WordEncoder:
         self.newline = self._fresh(["\n"])[0]
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.wide.itemsize == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind, out = "H" if self.wide.itemsize == 2 else "I", []
+        for i in range(0, len(texts), NEW_WORDS):
+            out += [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + NEW_WORDS], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as bytes of dtype `wide`, one item a text."""
@@ -120,8 +123,9 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
         enc, part, done = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.wide).tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                c = b.slice(i, 256)
+            _, off = text_bytes(b.column(1))
+            for i, j in slices(off):
+                c = b.slice(i, j - i)
                 ids = [x + end for x in enc.encode([x or "" for x in c.column(1).to_pylist()])]
                 n = np.array([len(x) // enc.wide.itemsize for x in ids], np.int64)
                 before = done + np.cumsum(n) - n
