@@ -50,9 +50,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings of 100 bytes that start earlier in the corpus; characters that
     are only partly covered stay whole. Documents that end up empty go."""
-    done = suffix_dedup.drop_repeats(docs.select("doc_id", "text", whole(docs)))
+    done = suffix_dedup.drop_repeats(docs.select("doc_id", "text", whole(docs)), characters=True)
     cut = F.size("_spans") > 0
-    done = done.withColumn("_new", F.when(cut, suffix_dedup.whole_characters(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    done = done.withColumn("_new", F.when(cut, F.col("_kept").cast("string")).otherwise(F.col("text")))
     fresh = {"text": F.col("_new"), "n_chars": F.when(cut, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return done.where("NOT (size(_spans) > 0 AND _new = '')").select(*(fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialize, slices, text_bytes
@@ -325,7 +325,16 @@ def removals(docs: DataFrame, length: int = 100) -> DataFrame:
     return whole.unionByName(block.mapInPandas(extend, "id long, from int, to int"))
 
 
-def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """The part of bytes a..b of a UTF-8 text that covers whole characters."""
+    while a < b and raw[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
     """docs plus `_kept` (binary: the bytes that stay), `_spans` (the maximal removed byte
     ranges) and `_size`.
 
@@ -333,6 +342,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     document with a smaller id, or before in the same one; judged on the input. Null and
     empty texts have nothing to remove. Rows with equal ids count as one document. Ids are
     compared as longs, null before all. Other columns stay. Empty tables give no rows.
+    With `characters`, a character that a span covers in part stays whole in `_kept`.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     cols = docs.columns
@@ -355,6 +365,8 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                     spans.append([a, b])
             at, kept = 0, []
             for a, b in spans:
+                if characters:
+                    a, b = whole_characters(raw, a, b)
                 kept.append(raw[at:a])
                 at = b
             rows.append((b"".join([*kept, raw[at:]]), [{"from": a, "to": b} for a, b in spans], len(raw)))
@@ -362,28 +374,3 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     joined = docs.withColumn("_key", key).join(ranges, "_key", "left")
     return joined.select(*cols, keep(F.col(text_col).cast("string").cast("binary"), "_ranges").alias("_r")).select(*cols, F.col("_r.kept").alias("_kept"), F.col("_r.spans").alias("_spans"), F.col("_r.size").alias("_size"))
-
-
-def whole_characters(text: Column, spans: Column) -> Column:
-    """text without the characters that the byte spans cover whole."""
-
-    @F.pandas_udf("string")
-    def cut(texts, ranges):
-        out = []
-        for t, rs in zip(texts, ranges, strict=True):
-            if t is None or rs is None or not len(rs):
-                out.append(t)
-                continue
-            raw, at, kept = t.encode(), 0, []
-            for r in rs:
-                a, b = r["from"], r["to"]
-                while a < b and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
-                    b -= 1
-                kept.append(raw[at:a])
-                at = b
-            out.append(b"".join([*kept, raw[at:]]).decode())
-        return pd.Series(out, dtype=object)
-
-    return cut(text, spans)

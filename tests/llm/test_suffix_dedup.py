@@ -104,3 +104,16 @@ def test_repeated_ids_and_empty(spark):
     want = len(brute([(1, t.encode())], 100)[1][0])
     assert got[:2] == [(1, want), (1, want)] and got[2][1] == 0
     assert S.drop_repeats(df.where("doc_id > 9")).collect() == []
+
+
+def test_whole_characters_stay(spark):
+    t = "日本語" * 100
+    raw = t.encode()
+    df = spark.createDataFrame([(1, "x" + t), (2, t + "é"), (3, None)], "doc_id long, text string")
+    exact = {r["doc_id"]: r for r in S.drop_repeats(df).collect()}
+    whole = {r["doc_id"]: r for r in S.drop_repeats(df, characters=True).collect()}
+    assert exact[2]["_spans"] == whole[2]["_spans"]
+    for i, r in whole.items():
+        bytes(r["_kept"]).decode()  # valid UTF-8
+        assert len(r["_kept"]) >= len(exact[i]["_kept"])
+    assert S.whole_characters(raw, 1, 8) == (3, 6) and S.whole_characters(raw, 4, 5) == (5, 5)
