@@ -24,9 +24,10 @@ from corpusloom.llm.common import materialize, slices, text_bytes
 
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, continued boolean, continues boolean"
 
-#: Words whose ids a worker remembers (about 220 bytes each), and new ones that are tokenized
-#: at once. More only costs memory, less only time.
-CACHE_WORDS, NEW_WORDS = 150_000, 8192
+#: Words whose ids a worker remembers (about 220 bytes each) before it begins anew, keeping the
+#: last ones to take from; and new ones that are tokenized at once. More only costs memory, less
+#: only time.
+CACHE_WORDS, NEW_WORDS = 200_000, 8192
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -49,6 +50,7 @@ class WordEncoder:
         self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.after_space: dict[str, bytes] = {}
         self.alone: dict[str, bytes] = {}
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.newline = self._fresh(["\n"])[0]
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
@@ -61,13 +63,15 @@ class WordEncoder:
         """Ids as bytes of dtype `wide`, one item a text."""
         cut = [split_words(x) for x in texts]
         if not self.after_space or len(self.after_space) + len(self.alone) > CACHE_WORDS:
+            self.before = (self.after_space, self.alone)
             self.after_space = {_APART + c: ids for c, ids in zip(_STOPS, self._fresh(list(_STOPS)), strict=True)}
             self.alone = {}
         spaced, alone = self.after_space, self.alone
-        new = list({w for lines in cut for ws in lines for w in ws[1:]}.difference(spaced))
-        spaced.update(zip(new, self._fresh([" " + w for w in new]), strict=True))
-        new = list({ws[0] for lines in cut for ws in lines}.difference(alone))
-        alone.update(zip(new, self._fresh(new), strict=True))
+        for known, old, lead, words in ((spaced, self.before[0], " ", {w for lines in cut for ws in lines for w in ws[1:]}), (alone, self.before[1], "", {ws[0] for lines in cut for ws in lines})):
+            words.difference_update(known)
+            known.update((w, old[w]) for w in words.intersection(old))
+            new = list(words.difference(old))
+            known.update(zip(new, self._fresh([lead + w for w in new]), strict=True))
         get = spaced.__getitem__
         return [self.newline.join([alone[ws[0]] + b"".join(map(get, ws[1:])) for ws in lines]) for lines in cut]
 
