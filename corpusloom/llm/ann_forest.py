@@ -22,9 +22,10 @@ SAMPLE_ROWS = 20_000
 TREES = 8
 #: Rows that a leaf should hold; and those beyond which a leaf is dealt out to several groups.
 LEAF_ROWS, GROUP_ROWS = 1024, 8192
-#: Rows that the leaves of one query should hold, trees together (a row counts once a tree).
-#: Vectors without structure need many: see the README's table of recall.
-SEARCH_ROWS = 49_152
+#: Rows that the leaves of one query should hold, trees together (a row counts once a tree):
+#: this share of all rows, and no fewer than SEARCH_ROWS. Vectors without structure need many,
+#: and as large a share of a large table as of a small one: see the README's table of recall.
+SEARCH_SHARE, SEARCH_ROWS = 0.96, 49_152
 
 
 @dataclass
@@ -124,12 +125,12 @@ def probe(forest: Forest, x: np.ndarray, search_rows: float) -> list[tuple[int,
     return found
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, search_rows: int = SEARCH_ROWS, trees: int = TREES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, search_rows: float | None = None, trees: int = TREES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, <id_col>, score): for each query its k nearest rows by Euclidean
     distance in double precision, itself left out; ties go to the smaller id.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part,
-    nor do ones whose length isn't the commonest (the smaller, if two are), nor null ids.
+    nor do ones whose length isn't the commonest (the smaller, if two are), nor null ids. `search_rows` unset grows with the table (SEARCH_SHARE, SEARCH_ROWS).
     Of rows with one vector only the k + 1 smallest ids can be among k nearest, so only
     those are indexed; repeated ids count once. Fewer rows give fewer neighbours, empty
     tables none. Other columns aren't read.
@@ -147,6 +148,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, search_rows: int =
     order = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     kept = whole.withColumn("n", order).where(F.col("n") <= k + 1).drop("n")
     width = 1 << forest.value.depth
+    depth_rows = max(SEARCH_ROWS, SEARCH_SHARE * n) if search_rows is None else search_rows
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = forest.value
@@ -162,22 +164,25 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, search_rows: int =
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = forest.value
         for p in frames:
-            out = [(t * width + leaf, s, i, v) for i, v in zip(p["query_id"], p["vec"], strict=True) for t, leaf in probe(f, np.asarray(v, np.float64), search_rows) for s in range(int(f.groups[t, leaf]))]
+            out = [(t * width + leaf, s, i, v) for i, v in zip(p["query_id"], p["vec"], strict=True) for t, leaf in probe(f, np.asarray(v, np.float64), depth_rows) for s in range(int(f.groups[t, leaf]))]
             if out:
                 yield pd.DataFrame(out, columns=["leaf", "salt", "query_id", "vec"])
 
     def rank(some: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         ids, got = some["id"].to_numpy(), []
         x = np.array(some["vec"].tolist(), np.float64) if len(some) else None
+        norms = (x * x).sum(axis=1) if x is not None else None
         for q, v in zip(ask["query_id"], ask["vec"], strict=True):
             if x is None:
                 break
-            d = np.sqrt(((x - np.asarray(v, np.float64)) ** 2).sum(axis=1))
-            others = ids != q
-            i, e = ids[others], d[others]
-            if len(e) > 4 * k:
-                near = e <= np.partition(e, k - 1)[k - 1]
-                i, e = i[near], e[near]
+            v = np.asarray(v, np.float64)
+            others = np.flatnonzero(ids != q)
+            if len(others) > 4 * k:
+                # squares by products find who can be among k; their rounding is allowed for
+                d2 = (norms - 2 * (x @ v))[others]
+                slack = 1e-10 * (norms.max() + v @ v)
+                others = others[~(d2 > np.partition(d2, k - 1)[k - 1] + slack)]
+            i, e = ids[others], np.sqrt(((x[others] - v) ** 2).sum(axis=1))
             best = np.lexsort((i, e))[:k]
             got.append(pd.DataFrame({"query_id": q, "id": i[best], "score": e[best]}))
         return pd.concat(got, ignore_index=True) if got else pd.DataFrame({"query_id": [], "id": [], "score": []})

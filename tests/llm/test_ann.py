@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from corpusloom.llm import ann_forest as A
 
@@ -43,3 +45,15 @@ def test_deep_forest_finds_all_near(spark, monkeypatch):
     got = A.nearest(df, df.where("vec_id % 100 = 0"), search_rows=2500).toPandas()
     hit = sum(len({i for i, _ in exact(np.arange(3000), x.astype(float), q, x[q].astype(float), 10)} & set(got[got.query_id == q].vec_id)) for q in range(0, 3000, 100))
     assert hit / 300 >= 0.9
+
+
+def test_recall_holds_as_the_table_grows(spark, tmp_path):
+    for n in (30_000, 120_000):
+        x = np.random.default_rng(1).normal(size=(n, 64)).astype(np.float32)
+        pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), f"{tmp_path}/{n}.parquet")
+        df = spark.read.parquet(f"{tmp_path}/{n}.parquet")
+        asked = range(0, n, n // 40)
+        got = A.nearest(df, df.where(f"vec_id % {n // 40} = 0")).toPandas()
+        hit = sum(len({i for i, _ in exact(np.arange(n), x.astype(float), q, x[q].astype(float), 10)} & set(got[got.query_id == q].vec_id)) for q in asked)
+        print(n, hit / (10 * len(asked)))
+        assert hit / (10 * len(asked)) >= 0.9
