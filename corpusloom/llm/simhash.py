@@ -102,19 +102,19 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def bucket_links(rows: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray], np.ndarray]], about: DataFrame | None = None) -> DataFrame:
+def bucket_links(rows: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray], np.ndarray]], about: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """Links (a, b) among rows that share a bucket.
 
     rows: bucket long, node long; about: what prepare() reads besides, one row a node, joined
     to rows only where a bucket has company. prepare() gets a frame and returns a function
-    that gets two arrays of row numbers and says which pairs are links. A bucket of more than BLOCK rows is compared as pairs of blocks, each a group of its own.
+    that gets two arrays of row numbers and says which pairs are links. A bucket of more than `block` rows (BLOCK) is compared as pairs of blocks, each a group of its own.
     """
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sized = rows.join(sizes, "bucket")
     extra = [c for c in about.columns if c != "node"] if about is not None else []
     if about is not None:
         sized = sized.join(about, "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("size") / (block or BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = sized.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
         "node", *extra, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.col("bucket"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
@@ -227,6 +227,9 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
 
 #: Minimum hashes for candidate buckets: bands of rows; and for the estimate of similarity.
 BANDS, BAND_ROWS, SKETCH = 10, 2, 128
+#: How far under the similarity an estimate may lie for a pair to be compared exactly; and
+#: rows of one group of candidates that are compared so at once.
+SLACK, EXACT_BLOCK = 0.15, 512
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 31, SKETCH).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -246,9 +249,11 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     One row is kept a distinct shingle sequence. Candidates share BAND_ROWS minimum hashes
     in one of BANDS bands; a pair at similarity 0.8 shares none with a chance of 4e-5.
     Pivot tables and SimHash distance at `radius` bits discard (0.8 of a set differ in 9.7
-    bits on average, over 20 with a chance of 4e-4), and 128 minimum hashes verify; the
-    estimate's standard error at 0.8 is 0.035. Blank and null texts are copies of each other
-    only. Ties, repeated rows, null ids as in simhash_components.
+    bits on average, over 20 with a chance of 4e-4), and so does an estimate by 128 minimum
+    hashes that lies more than SLACK under the similarity (0.65 for 0.8, whose standard error
+    is 0.035: a chance of 4e-5). Sets of shingle hashes travel only to the components of such
+    candidates, where pairs are compared exactly. Blank and null texts are copies of each
+    other only. Ties, repeated rows, null ids as in simhash_components.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,16 +261,18 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
             raw, off = text_bytes(b.column(1))
             data = raw.tobytes()
             for i, j in slices(off, 1 << 22):
-                content, fps, marks = [], [], []
+                content, fps, marks, sets = [], [], [], []
                 for k in range(i, j):
                     h = np.array(shingle_hashes(data[off[k] : off[k + 1]], words), np.uint64)
                     content.append(int.from_bytes(xxhash.xxh64_digest(h.tobytes(), 1), "big", signed=True))
                     fps.append(majority(h))
-                    marks.append(sketch(h).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(content, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary())], names=["id", "content", "fp", "marks"])
+                    once = np.unique(h)
+                    marks.append(sketch(once).astype("<u4").tobytes())
+                    sets.append(once.astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(content, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), pa.array(sets, pa.binary())], names=["id", "content", "fp", "marks", "grams"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, content long, fp long, marks binary"), "near-copies")
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, content long, fp long, marks binary, grams binary"), "near-copies")
     texts = rows.groupBy("content").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("marks").alias("marks"))
     width = 4 * BAND_ROWS
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("marks", 1 + width * i, width)) for i in range(BANDS)))
@@ -282,12 +289,42 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
             keep = [hit[:0]]
             for i in range(0, len(hit), 65536):
                 h = hit[i : i + 65536]
-                keep.append(h[(signs[a[h]] == signs[b[h]]).mean(axis=1) >= similarity - 0.005])
+                keep.append(h[(signs[a[h]] == signs[b[h]]).mean(axis=1) >= similarity - SLACK])
             return np.concatenate(keep)
 
         return verify
 
-    comp = components(bucket_links(cand, prepare, about), "near-copies-links")
+    def prepare_exact(f: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        signs = np.frombuffer(b"".join(f["marks"]), "<u4").reshape(-1, SKETCH)
+        sets = [np.frombuffer(g, "<u8") for g in f["grams"]]
+        size = np.array([len(x) for x in sets])
+        label, linked = np.arange(len(f)), [np.zeros((2, 0), np.int64)]
+
+        def verify(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Pairs that are links and not yet connected by others."""
+            nonlocal label
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            maybe = np.flatnonzero((label[a] != label[b]) & (small >= similarity * large - 1e-9))
+            hit = []
+            for i in range(0, len(maybe), 65536):
+                m = maybe[i : i + 65536]
+                for j in m[(signs[a[m]] == signs[b[m]]).mean(axis=1) >= similarity - SLACK].tolist():
+                    both = len(np.intersect1d(sets[a[j]], sets[b[j]], assume_unique=True))
+                    if both >= similarity * (size[a[j]] + size[b[j]] - both) - 1e-9:
+                        hit.append(j)
+            hit = np.array(hit, np.int64)
+            if len(hit):
+                linked.append(np.stack((a[hit], b[hit])))
+                label = roots(len(label), *np.concatenate(linked, axis=1))
+            return hit
+
+        return verify
+
+    maybe = materialize(components(bucket_links(cand, prepare, about), "near-copies-maybe"), "near-copies-groups")
+    # the root names its group and stands in it too
+    group = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root")).distinct()
+    shown = rows.select(F.col("content").alias("node"), "marks", "grams").join(group.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    comp = components(bucket_links(group.select(F.col("root").alias("bucket"), "node"), prepare_exact, shown, EXACT_BLOCK), "near-copies-links")
     named = texts.select("content", "first").join(comp, F.col("content") == F.col("node"), "left").select("content", F.coalesce("root", "content").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.select("id", "content").join(named.join(least, "root").select("content", "component_id"), "content").select(F.col("id").alias(id_col), "component_id")

@@ -95,3 +95,38 @@ def test_near_copies(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.simhash_components(df).collect() == [] and S.near_copy_groups(df).collect() == []
+
+
+def grams(text, k=5):
+    w = text.lower().encode().split()
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_near_copies_are_exact_at_the_similarity(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    rows, want = [], {}
+    for i in range(60):
+        for n in (45, 44):  # one word changed: 40 of 50 shingles, and 39 of 49
+            t = [word() for _ in range(n + 4)]
+            u = [*t[:20], word(), *t[21:]]
+            k = len(rows)
+            rows += [(k, " ".join(t)), (k + 1, " ".join(u))]
+            assert (jaccard(rows[k][1], rows[k + 1][1]) >= 0.8) == (n == 45)
+            want |= {k: k, k + 1: k if n == 45 else k + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["component_id"] for x in S.near_copy_groups(df).collect()} == want
+
+
+def test_near_copies_match_brute_force(spark, monkeypatch):
+    texts = corpus(3, 200)
+    want = classes(list(range(len(texts))), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (512, 3):
+        monkeypatch.setattr(S, "EXACT_BLOCK", block, raising=False)
+        assert {x["doc_id"]: x["component_id"] for x in S.near_copy_groups(df).collect()} == want
