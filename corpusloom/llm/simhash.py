@@ -248,7 +248,7 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
 
     One row is kept a distinct shingle sequence. Candidates share BAND_ROWS minimum hashes
     in one of BANDS bands; a pair at similarity 0.8 shares none with a chance of 4e-5.
-    Pivot tables and SimHash distance at `radius` bits discard (0.8 of a set differ in 9.7
+    Pivot tables and SimHash distance at `radius` bits, of sets without repeats, discard (0.8 of a set differ in 9.7
     bits on average, over 20 with a chance of 4e-4), and so does an estimate by 128 minimum
     hashes that lies more than SLACK under the similarity (0.65 for 0.8, whose standard error
     is 0.035: a chance of 4e-5). Sets of shingle hashes travel only to the components of such
@@ -265,8 +265,8 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
                 for k in range(i, j):
                     h = np.array(shingle_hashes(data[off[k] : off[k + 1]], words), np.uint64)
                     content.append(int.from_bytes(xxhash.xxh64_digest(h.tobytes(), 1), "big", signed=True))
-                    fps.append(majority(h))
                     once = np.unique(h)
+                    fps.append(majority(once))
                     marks.append(sketch(once).astype("<u4").tobytes())
                     sets.append(once.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(content, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), pa.array(sets, pa.binary())], names=["id", "content", "fp", "marks", "grams"])

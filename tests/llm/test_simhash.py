@@ -130,3 +130,15 @@ def test_near_copies_match_brute_force(spark, monkeypatch):
     for block in (512, 3):
         monkeypatch.setattr(S, "EXACT_BLOCK", block, raising=False)
         assert {x["doc_id"]: x["component_id"] for x in S.near_copy_groups(df).collect()} == want
+
+
+def test_near_copies_with_a_line_repeated_often(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    rows = []
+    for i in range(10):
+        text, line = " ".join(word() for _ in range(300)), " ".join(word() for _ in range(12))
+        rows += [(2 * i, text), (2 * i + 1, "\n".join([text, *[line] * 60]))]
+        assert jaccard(rows[-2][1], rows[-1][1]) >= 0.9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["component_id"] for x in S.near_copy_groups(df).collect()} == {i: i - i % 2 for i in range(20)}
