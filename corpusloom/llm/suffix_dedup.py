@@ -29,6 +29,8 @@ from corpusloom.llm.common import materialize, slices, text_bytes
 GRAM = 16
 #: Bytes of contexts that one transform covers.
 BLOCK_BYTES = 1 << 20
+#: Bytes whose anchors are found at once, under 2^24; longer texts go as overlapping parts.
+MOST_BYTES = 1 << 22
 #: Contexts of an anchor beyond which it is hot, and starts in a piece of a hot one's context.
 HOT, PIECE = 512, 4
 
@@ -58,7 +60,18 @@ def anchors(x: np.ndarray, length: int = 100) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(document number, first start, last start, anchor hash, context hash, anchor's place)
-    of each run of starts with one anchor, in the documents given as bytes and offsets."""
+    of each run of starts with one anchor, in the documents given as bytes and offsets. A text
+    over MOST_BYTES goes as parts that share length - 1 bytes, so each start lies in one; a run
+    that crosses parts comes as two, whose contexts meet the others of their anchor."""
+    if len(raw) > MOST_BYTES:
+        parts = []
+        for d in range(len(off) - 1):
+            for s in range(int(off[d]), max(int(off[d]) + 1, int(off[d + 1]) - length + 1), MOST_BYTES - length + 1):
+                some = raw[s : min(s + MOST_BYTES, int(off[d + 1]))]
+                _, first, last, anchor, ctx, at = runs(some, np.array([0, len(some)]), length)
+                by = s - off[d]
+                parts.append((np.full(len(first), d), first + by, last + by, anchor, ctx, at + by))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     sizes = np.diff(off)
     if len(raw) < length:
         z = np.zeros(0, np.int64)

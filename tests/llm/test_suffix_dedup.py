@@ -117,3 +117,28 @@ def test_whole_characters_stay(spark):
         bytes(r["_kept"]).decode()  # valid UTF-8
         assert len(r["_kept"]) >= len(exact[i]["_kept"])
     assert S.whole_characters(raw, 1, 8) == (3, 6) and S.whole_characters(raw, 4, 5) == (5, 5)
+
+
+def anchor_of(found, doc, start):
+    """Anchor hash and its place against the start, of the string at a place."""
+    d, first, last, anchor, _, at = found
+    (i,) = np.flatnonzero((d == doc) & (first <= start) & (last >= start))
+    return int(anchor[i]), int(at[i]) - start
+
+
+def test_places_beyond_16_mib():
+    raw = np.random.default_rng(3).integers(97, 123, (1 << 24) + 500_000).astype(np.uint8)
+    raw[-1000:-700] = raw[5000:5300]
+    found = S.runs(raw, np.array([0, len(raw)]), 100)
+    for i in range(0, 201, 5):
+        assert anchor_of(found, 0, 5000 + i) == anchor_of(found, 0, len(raw) - 1000 + i)
+
+
+def test_parts_of_long_texts_hold_each_start_once(monkeypatch):
+    texts = [(t or "").encode() for _, t in some_docs(2)] + [b"x" * 99, b"y" * 100]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    each = lambda f: sorted((int(d), s, int(h), int(at)) for d, a, b, h, _, at in zip(*f, strict=True) for s in range(a, b + 1))
+    whole = each(S.runs(raw, off, 100))
+    for most in (100, 101, 333):
+        monkeypatch.setattr(S, "MOST_BYTES", most)
+        assert each(S.runs(raw, off, 100)) == whole
