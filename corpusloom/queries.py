@@ -415,6 +415,13 @@ def _(t):
     return interval.range_children(up, low, ["p_brand"], "lo", "hi", "page", "parent").select("parent", "child")
 
 
+@query("jn04_flt08_range_children_whole", "SELECT a.p_partkey AS parent, b.p_partkey AS child FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size BETWEEN a.p_size AND a.p_size + 4")
+def _(t):
+    up = t.part.select("p_brand", F.col("p_partkey").alias("parent"), F.col("p_size").alias("lo"), (F.col("p_size") + 4).alias("hi"))
+    low = t.part.select("p_brand", F.col("p_partkey").alias("child"), F.col("p_size").alias("page"))
+    return interval.range_children(up, low, ["p_brand"], "lo", "hi", "page", "parent").select("parent", "child")
+
+
 @query("jn06_tree_paths", "WITH RECURSIVE t(id, parent, name) AS (SELECT 'r' || r_regionkey, NULL::VARCHAR, r_name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer), w(id, path, depth) AS (SELECT id, name, 1::BIGINT FROM t WHERE parent IS NULL UNION ALL SELECT t.id, w.path || '/' || t.name, w.depth + 1 FROM t JOIN w ON t.parent = w.id) SELECT id, path, depth FROM w")
 def _(t):
     nodes = t.region.selectExpr("concat('r', r_regionkey) AS id", "cast(NULL AS string) AS parent", "r_name AS name")
@@ -460,6 +467,11 @@ def _(t):
     return graph.co_occurrence(t.lineitem.where("l_partkey % 20 = 0"), "l_partkey", "l_orderkey")
 
 
+@query("jn13_agg06_cooccurrence_whole", "WITH m AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2")
+def _(t):
+    return graph.co_occurrence(t.lineitem, "l_partkey", "l_orderkey")
+
+
 ALIASES = [("the", "teh"), ("thing", "thang"), ("der", "ther"), ("que", "kue")]
 WORDS = [("Teh",), ("que",), ("zzz",)]
 EXPANDED = "k(keyword) AS (VALUES ('teh'), ('the'), ('que'), ('kue'), ('zzz'))"

@@ -292,3 +292,19 @@ def test_latest_state_streams(spark, tmp_path):
 def test_score_repair(spark):
     df = spark.createDataFrame([(0,), (1,), (2,)], "pos int")
     assert [r["score"] for r in relevance.repaired_scores(df, F.array(F.lit(0.5)), "pos").orderBy("pos").collect()] == [0.5, 0.0, 0.0]
+
+
+def test_whole_tables_co_occur_and_nest(spark, sf):
+    from collections import Counter
+    from itertools import combinations
+
+    from corpusloom import queries
+
+    orders = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        orders.setdefault(r["l_orderkey"], set()).add(r["l_partkey"])
+    pairs = Counter(p for items in orders.values() for p in combinations(sorted(items), 2))
+    assert {(r["a"], r["b"]): r["n"] for r in queries.QUERIES["jn13_agg06_cooccurrence_whole"](spark, sf).collect()} == pairs
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    want = Counter((a["p_partkey"], b["p_partkey"]) for a in parts for b in parts if a["p_brand"] == b["p_brand"] and a["p_size"] <= b["p_size"] <= a["p_size"] + 4)
+    assert Counter(map(tuple, queries.QUERIES["jn04_flt08_range_children_whole"](spark, sf).collect())) == want
