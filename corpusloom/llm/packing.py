@@ -9,9 +9,8 @@ a document that crosses a window's end leaves a boundary record (`continues`/`co
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,107 +23,89 @@ from corpusloom.llm.common import materialize, slices, text_bytes
 
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, continued boolean, continues boolean"
 
-#: Words whose ids a worker remembers (about 220 bytes each) before it begins anew, keeping the
-#: last ones to take from; and new ones that are tokenized at once. More only costs memory, less
-#: only time.
-CACHE_WORDS, NEW_WORDS = 200_000, 8192
-_ENCODERS: dict[str, WordEncoder] = {}
+#: How byte-level BPE cuts a text before merging; a fixed value of the format.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts that the tokenizer's own library takes at once.
+AT_ONCE = 64
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
-class WordEncoder:
-    """Whole-text ids from ids of words.
+class TextEncoder:
+    """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    Byte-level pre-tokenization never joins across a single space or newline between two
-    non-space characters: a space belongs to what follows, a newline stands alone. So a text
-    may be cut there, and the ids of " word", "word" and the newline be remembered. A full
-    stop or comma after a letter or digit is a token of its own. tests compare with whole
-    texts.
+    A byte-level BPE file whose merges stand in the order of their ids is merged by rank, which
+    tiktoken does several times faster from the same file. Texts that hold an added token's
+    string, and all texts of any other file, go to the tokenizers library itself. With
+    `special` unset the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.after_space: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
-        self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.newline = self._fresh(["\n"])[0]
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        kind, out = "H" if self.wide.itemsize == 2 else "I", []
-        for i in range(0, len(texts), NEW_WORDS):
-            out += [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + NEW_WORDS], add_special_tokens=False)]
-        return out
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.added = [t["content"] for t in file.get("added_tokens", []) if special or not t["special"]]
+        self.fast = by_rank(file)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as bytes of dtype `wide`, one item a text."""
-        cut = [split_words(x) for x in texts]
-        if not self.after_space or len(self.after_space) + len(self.alone) > CACHE_WORDS:
-            self.before = (self.after_space, self.alone)
-            self.after_space = {_APART + c: ids for c, ids in zip(_STOPS, self._fresh(list(_STOPS)), strict=True)}
-            self.alone = {}
-        spaced, alone = self.after_space, self.alone
-        for known, old, lead, words in ((spaced, self.before[0], " ", {w for lines in cut for ws in lines for w in ws[1:]}), (alone, self.before[1], "", {ws[0] for lines in cut for ws in lines})):
-            words.difference_update(known)
-            known.update((w, old[w]) for w in words.intersection(old))
-            new = list(words.difference(old))
-            known.update(zip(new, self._fresh([lead + w for w in new]), strict=True))
-        get = spaced.__getitem__
-        return [self.newline.join([alone[ws[0]] + b"".join(map(get, ws[1:])) for ws in lines]) for lines in cut]
-
-
-#: White space besides the space and the newline; marks that stand alone after a letter or
-#: digit, and the character that tells them from those after a space.
-_OTHER_SPACE = tuple(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n")
-_STOPS, _APART = (".", ","), "\x01"
-_DOUBLE = ("  ", " \n", "\n ", "\n\n", _APART)
-_LOOSE_STOP = re.compile(r"[\W_][.,](?:[ \n]|\Z)")
-
-
-def split_words(text: str) -> list[list[str]]:
-    """Lines of words, cut at single spaces and newlines between non-space characters only:
-    "a b  c\nd" is [["a", "b  c"], ["d"]]. In texts without other white space stops after
-    words are items of their own, behind _APART."""
-    if text and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _DOUBLE) and not any(x in text for x in _OTHER_SPACE):
-        if text[0] not in _STOPS and not _LOOSE_STOP.search(text):
-            for c in _STOPS:
-                text = text.replace(c + " ", f" {_APART}{c} ").replace(c + "\n", f" {_APART}{c}\n")
-        return [line.split(" ") for line in text.split("\n")]
-    lines: list[list[str]] = []
-    glue = ""
-    for p in re.split(r"([ \n])", text):
-        if p in (" ", "\n") and not glue and lines and not lines[-1][-1][-1:].isspace() and lines[-1][-1]:
-            glue = p
-        elif glue and p and not p[0].isspace():
-            if glue == " ":
-                lines[-1].append(p)
-            else:
-                lines.append([p])
-            glue = ""
-        elif lines:
-            lines[-1][-1] += glue + p
-            glue = ""
-        else:
-            lines.append([p])
-    if glue:
-        lines[-1][-1] += glue
-    return lines
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        if self.fast is None:
+            return self._own(texts)
+        one, wide = self.fast.encode_to_numpy, self.wide
+        out = [None if any(a in x for a in self.added) else one(x, disallowed_special=()).astype(wide).tobytes() for x in texts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._own([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _own(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), AT_ONCE):
+            out += [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+        return out
+
+
+def byte_characters() -> dict[str, int]:
+    """The characters that byte-level BPE files write bytes as: printable Latin-1 characters
+    stand for themselves, the other bytes, in order, for the characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def by_rank(file: dict):
+    """A tiktoken encoding of the tokenizer file's model, where it merges by rank; else None."""
+    model, pre = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or file.get("normalizer") or file.get("post_processor") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    import tiktoken
+
+    vocab, byte = model["vocab"], byte_characters()
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [vocab[a + b] for a, b in pairs]
+    added = {t["content"] for t in file.get("added_tokens", [])}
+    known = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}
+    if any(y <= x for x, y in zip(ids, ids[1:], strict=False)) or len(known) != 256 + len(ids) or not all(bytes([b]) in known for b in range(256)):
+        return None
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
+
+
+def encoder(path: str, special: bool = True) -> TextEncoder:
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = TextEncoder(path, special)
+    return _ENCODERS[path, special]
+
+
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
     """One row a document: its ids with end_id, its task, and the tokens before it in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, done = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, done = encoder(tokenizer, special), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.wide).tobytes()
         for b in batches:
             _, off = text_bytes(b.column(1))
@@ -143,7 +124,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
     return docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"key {kind}, part int, before long, n long, wide int, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", special: bool = True) -> DataFrame:
     """Pack all documents into windows of `window` tokens; only the last window may be short.
 
     Returns one row a piece: the id, start (tokens of the document before it), length,
@@ -151,11 +132,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
     continued and continues (whether the document also lies before or after the piece).
 
     Null and empty texts are a document of end_id alone. Repeated rows are packed as
-    often as they come. An empty table gives no rows. Null ids are kept as null. The
-    order is that of the input's partitions; each id lies in exactly one piece.
+    often as they come. An empty table gives no rows. Null ids are kept as null. Very long
+    texts give as many pieces as they fill windows. Other columns aren't read, so their names
+    can't clash. The order is that of the input's partitions; each id lies in exactly one
+    piece. Added tokens' strings in a text are those tokens, as the library has it;
+    `special` unset takes the strings of special ones for ordinary text.
     """
     spark = docs.sparkSession
-    rows = materialize(tokenize(docs, tokenizer, end_id, id_col, text_col), "packing")
+    rows = materialize(tokenize(docs, tokenizer, end_id, id_col, text_col, special), "packing")
     totals = {r["part"]: r["total"] for r in rows.groupBy("part").agg(F.sum("n").alias("total")).collect()}
     parts = sorted(totals)
     ends = np.cumsum([totals[p] for p in parts]) if parts else np.zeros(0, np.int64)

@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -12,23 +13,51 @@ from corpusloom.llm import packing as P
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def whole(texts):
+@functools.cache
+def library(special):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
+    return t
+
+
+def whole(texts, special=True):
+    t = library(special)
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab1.,._'é日\u0301\x01 \n\t\r\x1c\x85  <|>s"), max_size=30))
-def test_words_give_the_ids_of_the_whole(text):
+def test_ids_are_the_librarys(text):
+    for special in (True, False):
+        for t in (text, text + "<|endoftext|> " + text):
+            assert np.frombuffer(P.encoder(PATH, special).encode([t])[0], "<u2").tolist() == whole([t], special)[0]
+
+
+def test_every_character_is_cut_the_same_way():
     enc = P.encoder(PATH)
-    assert np.frombuffer(enc.encode([text])[0], "<u2").tolist() == whole([text])[0]
+    assert enc.fast is not None
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)}! {chr(c)} " for c in range(s, s + 2048)) for s in range(0, 0x110000, 2048) if not 0xD800 <= s < 0xE000]
+    for t, own in zip(texts, whole(texts), strict=True):
+        assert np.frombuffer(enc.encode([t])[0], "<u2").tolist() == own
+
+
+def test_long_runs():
+    for t in ("ab" * 40_000, " " * 30_000 + "x", "é" * 20_000, "\n" * 20_000, "1" * 30_000):
+        assert np.frombuffer(P.encoder(PATH).encode([t])[0], "<u2").tolist() == whole([t])[0]
+
+
+def test_other_files_go_to_their_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = P.encoder(path)
+    assert enc.fast is None
+    assert np.frombuffer(enc.encode(["Some Words, é"])[0], enc.wide).tolist() == Tokenizer.from_file(path).encode("Some Words, é", add_special_tokens=False).ids
 
 
 def test_special_tokens_and_spaces():
     enc = P.encoder(PATH)
-    for t in ("", " ", "a  b", "<|endoftext|> a", " a\n\n b \n", "don't  do\nthat", "x \ny", "One, two.\nThree.", "a.", "a!. b", "a., b", "_, x", "é, ü.\n1, 2.", ", x", "a\x01, b", "x\u0301, y", "²."):
+    for t in ("", " ", "a  b", "<|endoftext|> a", " a\n\n b \n", "don't  do\nthat", "x \ny", "One, two.\nThree.", "a.", "a!. b", "a., b", "_, x", "é, ü.\n1, 2.", ", x", "a\x01, b", "a \x01. b", "see \x01, x", "x\u0301, y", "²."):
         assert np.frombuffer(enc.encode([t])[0], "<u2").tolist() == whole([t])[0]
+    assert P.encoder(PATH).encode(["<|endoftext|>"])[0] == np.array([50256], "<u2").tobytes()
 
 
 def test_pieces_cover_everything(spark):
@@ -70,3 +99,11 @@ def test_query_digest(spark, sf):
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_very_long_text_and_clashing_names(spark):
+    text = "wörd, and " * 60_000
+    df = spark.createDataFrame([(1, text, "x", b"y")], "doc_id long, text string, key string, ids binary")
+    got = P.pack(df, PATH).orderBy("start").collect()
+    ids = np.concatenate([np.frombuffer(bytes(p["ids"]), "<u4") for p in got]).tolist()
+    assert ids == [*whole([text])[0], 1]
