@@ -65,10 +65,9 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Acceptable documents with importance weights; `sampled` marks the Gumbel top half."""
+    """The documents drawn by importance: as many as the model finds acceptable."""
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, good_labels(table(spark, sf_dir, "labels")))
-    return quality.resample(docs, model, share=0.5)
+    return quality.resample(docs, quality.fit(docs, good_labels(table(spark, sf_dir, "labels"))))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
