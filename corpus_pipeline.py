@@ -32,10 +32,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws every acceptable document: junk and toxic ones have weight zero and go."""
+    """Draws as many documents as the model finds acceptable, by Gumbel top-k: junk and toxic
+    ones weigh too little. Null texts weigh as ordinary ones; null and repeated ids are rows
+    like any other; an empty table stays empty."""
     model = quality.fit(docs, good_labels(table(spark, sf_dir, "labels")))
-    # share=None draws all that the model accepts; no clean document is left to chance
-    return quality.resample(docs.select("doc_id", "text", whole(docs)), model, extra=["_row"]).where("sampled").select("_row.*")
+    return quality.resample(docs.select("doc_id", "text", whole(docs)), model, extra=["_row"]).select("_row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
