@@ -1,7 +1,7 @@
 """Quality by importance resampling.
 
-Two generative models of hashed n-grams (words and pairs of words, each as often as it
-occurs), one of a target sample and one of all raw text, score every document, and documents
+Two generative models of hashed n-grams (words, starts of words and pairs of words, each as
+often as it occurs), one of a target sample and one of all raw text, score every document, and documents
 are sampled without replacement by Gumbel top-k. Model sizes are fixed; counts are taken in
 the tasks over whole texts and summed by bucket.
 
@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import SLICE_BYTES, materialize, slices, text_bytes
 
 BITS = 20
-#: Buckets of words, and as many again of pairs.
+#: Buckets of words, as many again of starts of words, and of pairs.
 BUCKETS = 1 << BITS
+KINDS = 3
+#: Bytes of a longer word that are its start, which its inflected forms share.
+START = 4
 #: Labelled documents that the limit is set on, and target documents counted; about so many.
 TRAIN_ROWS, TARGET_ROWS = 20_000, 100_000
-#: Expected target counts that weigh as much as those seen, of words and of pairs.
-WORD_PRIOR, PAIR_PRIOR = 0.5, 50.0
+#: Expected target counts that weigh as much as those seen, of words, starts and pairs.
+PRIORS = (0.5, 10.0, 50.0)
 #: What each n-gram of a passage costs.
 PASSAGE = 0.1
 #: What Gumbel noise is multiplied by; at 1 the sample follows the plain likelihood ratios,
@@ -60,8 +63,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 _POWERS = _mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of each word of texts given as bytes and offsets, in order.
+def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, hash of the start or 0 for words that aren't longer, document) of each word of
+    texts given as bytes and offsets, in order.
 
     Words are runs of ASCII letters, digits (all equal) and bytes over 127, A-Z lower-cased,
     and each ASCII mark alone. None crosses documents.
@@ -81,14 +85,16 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes = np.zeros(n, np.uint64)
     hashes[start] = _mix(total[end] - total[start])
     hashes[mark] = _mix(raw[mark] * np.uint64(0x1F35C9D7))
+    starts, long = np.zeros(n, np.uint64), start[end - start > START]
+    starts[long] = _mix(total[long + START] - total[long]) | np.uint64(1)
     where = np.flatnonzero(first | mark)
-    return hashes[where], np.searchsorted(off, where, side="right") - 1
+    return hashes[where], starts[where], np.searchsorted(off, where, side="right") - 1
 
 
-def grams(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(number of the first document, document of each word after that, word buckets, pair
+def grams(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(number of the first document, document of each word after that, the word's KINDS of
     buckets, whether the first document goes on from the last part). The pair of a word is
-    with the one before it, -1 where there is none. Texts over SLICE_BYTES come in parts, cut
+    with the one before it; kinds that a word hasn't are -1. Texts over SLICE_BYTES come in parts, cut
     between words where there is a cut, so memory is bounded whatever a text's length."""
     for i, j in slices(off, SLICE_BYTES):
         size, at, before = int(off[j] - off[i]), 0, None
@@ -100,7 +106,7 @@ def grams(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, n
                 end = at + int(gap[-1]) + 1 if len(gap) else end
             part = raw[off[i] + at : off[i] + end]
             local = off[i : j + 1] - off[i] if end - at == size else np.array([0, end - at])
-            h, doc = words(part, local)
+            h, start, doc = words(part, local)
             prev, same = np.roll(h, 1), np.concatenate(([False], doc[1:] == doc[:-1]))
             if len(h):
                 if before is not None:
@@ -108,33 +114,33 @@ def grams(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, n
                 before = h[-1]
             pair = _mix(h * np.uint64(0x9E3779B97F4A7C15) ^ (prev << np.uint64(1)) ^ np.uint64(77))
             shift = np.uint64(64 - BITS)
-            yield i, doc, (h >> shift).astype(np.int64), np.where(same, (pair >> shift).astype(np.int64), -1), at > 0
+            found = np.stack(((h >> shift).astype(np.int64), np.where(start > 0, (start >> shift).astype(np.int64) + BUCKETS, -1), np.where(same, (pair >> shift).astype(np.int64) + 2 * BUCKETS, -1)))
+            yield i, doc, found, at > 0
             at = end
             if not size:
                 break
 
 
 def count_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all n-grams of all whole texts, of the target and of all: words' buckets,
-    then pairs'. docs: text string, target boolean. At most 2 * BUCKETS rows reach the driver."""
+    """Counts of all n-grams of all whole texts by bucket, of all and of the target.
+    docs: text string, target boolean. At most KINDS * BUCKETS rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+        every, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
         for b in batches:
             raw, off = text_bytes(b.column(0))
             chosen = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, doc, word, pair, _ in grams(raw, off):
-                of_target = chosen[i + doc]
-                for f, t in ((word, of_target), (pair[pair >= 0] + BUCKETS, of_target[pair >= 0])):
-                    np.add.at(every, f, 1)
-                    np.add.at(target, f[t], 1)
+            for i, doc, found, _ in grams(raw, off):
+                np.add.at(every, found[found >= 0], 1)
+                found = found[:, chosen[i + doc]]
+                np.add.at(target, found[found >= 0], 1)
         at = np.flatnonzero(every)
         for s in range(0, len(at), 100_000):
             w = at[s : s + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(every[w]), pa.array(target[w])], names=["bucket", "n", "t"])
 
     sums = docs.select("text", "target").mapInArrow(run, "bucket int, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
-    every, target = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    every, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
     at = sums.column("bucket").to_numpy()
     every[at], target[at] = sums.column("n").to_numpy(), sums.column("t").to_numpy()
     return every, target
@@ -142,18 +148,17 @@ def count_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class RatioModel:
-    log_ratio: np.ndarray  # float32: words' buckets, then pairs'
+    log_ratio: np.ndarray  # float32, by bucket; a last 0 for what there isn't
     limit: float
 
 
 def log_ratios(every: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of the ratio of the two models' probabilities by bucket; a bucket's probability
-    is its smoothed share of all words, or of all pairs."""
+    is its smoothed share of its kind."""
     out = []
-    for part, prior in ((slice(0, BUCKETS), WORD_PRIOR), (slice(BUCKETS, None), PAIR_PRIOR)):
-        r, t = every[part].astype(np.float64), target[part].astype(np.float64)
+    for r, t, prior in zip(every.reshape(KINDS, -1).astype(np.float64), target.reshape(KINDS, -1).astype(np.float64), PRIORS, strict=True):
         out.append(np.log(t + prior) - np.log(r * (t.sum() / max(1.0, r.sum())) + prior))
-    return np.concatenate(out).astype(np.float32)
+    return np.concatenate([*out, [0.0]]).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, target_rows: int = TARGET_ROWS) -> RatioModel:
@@ -172,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = sum(r["n"] for r in sizes if r["good"])
     total = sum(r["n"] for r in sizes)
     if not good:
-        return RatioModel(np.zeros(2 * BUCKETS, np.float32), -np.inf)
+        return RatioModel(np.zeros(KINDS * BUCKETS + 1, np.float32), -np.inf)
     share = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 30))
     apart = int((1 << 30) * (1 - min(0.3, train_rows / max(1, total))))
     some = known.where(F.col("good") & (share < int(apart * min(1.0, target_rows / good)))).select("id", F.lit(True).alias("target"))
@@ -202,11 +207,11 @@ def log_weights(model: RatioModel, raw: np.ndarray, off: np.ndarray) -> np.ndarr
     """The log-weight of each text given as bytes and offsets; 0 without words."""
     n = len(off) - 1
     out, tail = np.zeros(n), 0.0
-    for i, doc, word, pair, goes_on in grams(raw, off):
+    for i, doc, found, goes_on in grams(raw, off):
         tail = tail if goes_on else 0.0
-        if not len(word):
+        if not len(doc):
             continue
-        x = model.log_ratio[word].astype(np.float64) + np.where(pair >= 0, model.log_ratio[pair + BUCKETS], np.float32(0)) + PASSAGE
+        x = model.log_ratio[found].sum(axis=0, dtype=np.float64) + PASSAGE
         after = np.cumsum(x)
         before = after - x
         start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))

@@ -35,12 +35,14 @@ def alone(word: bytes) -> int:
     return int(Q.words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0][0])
 
 
-def brute_grams(text: str) -> tuple[list[int], list[int]]:
-    """Word and pair buckets by a regular expression, word by word."""
+def brute_grams(text: str) -> list[list[int]]:
+    """Each word's buckets, found by a regular expression, word by word."""
     found = re.findall(rb"[A-Za-z0-9\x80-\xff]+|[!-/:-@\[-`{-~]", text.encode())
-    h = [alone(re.sub(rb"[0-9]", b"0", w.lower())) for w in found]
+    found = [re.sub(rb"[0-9]", b"0", w.lower()) for w in found]
+    h = [alone(w) for w in found]
     pairs = [int(Q._mix(np.array([np.uint64(b) * np.uint64(0x9E3779B97F4A7C15) ^ (np.uint64(a) << np.uint64(1)) ^ np.uint64(77)]))[0]) for a, b in zip(h, h[1:], strict=False)]
-    return [x >> 44 for x in h], [(x >> 44) + Q.BUCKETS for x in pairs]
+    starts = [[(alone(w[:4]) | 1) >> 44] if len(w) > 4 else [] for w in found]
+    return [[x >> 44] + [y + Q.BUCKETS for y in s] + [(y >> 44) + 2 * Q.BUCKETS for y in p] for x, s, p in zip(h, starts, [[], *([p] for p in pairs)], strict=False)]
 
 
 TEXTS = ["", "one two", "Two two. Two!", "!!", "Größe 12 ab7\n\tx", "a b " * 30, "é" * 90, "THE end, the-end"]
@@ -51,32 +53,31 @@ def test_counts_match_brute_force(spark):
     every, target = Q.count_grams(spark.createDataFrame(rows, "text string, target boolean").repartition(3))
     want, of_target = Counter(), Counter()
     for t, chosen in rows:
-        w, p = brute_grams(t or "")
-        want.update(w + p)
-        of_target.update(w + p if chosen else [])
+        found = [b for w in brute_grams(t or "") for b in w]
+        want.update(found)
+        of_target.update(found if chosen else [])
     assert {int(i): int(every[i]) for i in np.flatnonzero(every)} == want
     assert {int(i): int(target[i]) for i in np.flatnonzero(target)} == of_target
 
 
 def test_ratios_are_those_of_two_models():
-    every, target = np.zeros(2 * Q.BUCKETS, np.int64), np.zeros(2 * Q.BUCKETS, np.int64)
+    every, target = np.zeros(Q.KINDS * Q.BUCKETS, np.int64), np.zeros(Q.KINDS * Q.BUCKETS, np.int64)
     every[[3, 5]], target[[3]] = [30, 10], [8]
-    every[Q.BUCKETS + 1], target[Q.BUCKETS + 1] = 100, 20
+    every[2 * Q.BUCKETS + 1], target[2 * Q.BUCKETS + 1] = 100, 20
     got = Q.log_ratios(every, target)
     assert math.isclose(got[3], math.log(8.5 / (30 * 8 / 40 + 0.5)), rel_tol=1e-5)
     assert math.isclose(got[5], math.log(0.5 / (10 * 8 / 40 + 0.5)), rel_tol=1e-5)
-    assert math.isclose(got[Q.BUCKETS + 1], math.log(70 / 70), abs_tol=1e-6)
+    assert math.isclose(got[2 * Q.BUCKETS + 1], math.log(70 / 70), abs_tol=1e-6) and got[-1] == 0
 
 
 def brute_weight(model, text: str) -> float:
-    w, p = brute_grams(text)
-    x = [float(model.log_ratio[b]) + (float(model.log_ratio[p[i - 1]]) if i else 0.0) + Q.PASSAGE for i, b in enumerate(w)]
+    x = [sum(float(model.log_ratio[b]) for b in w) + Q.PASSAGE for w in brute_grams(text)]
     return min([0.0] + [sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)])
 
 
 def test_weights_match_brute_force(spark, monkeypatch):
     r = np.random.default_rng(3)
-    model = Q.RatioModel(r.normal(0, 1, 2 * Q.BUCKETS).astype(np.float32), -1.0)
+    model = Q.RatioModel(np.append(r.normal(0, 1, Q.KINDS * Q.BUCKETS), 0).astype(np.float32), -1.0)
     got = [x["log_weight"] for x in Q.score(spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()]
     want = [brute_weight(model, t or "") for t in [*TEXTS, ""]]
     assert np.allclose(got, want, atol=1e-4)
@@ -106,7 +107,7 @@ def test_sample_is_gumbel_top_k(spark):
     assert Q.kth_largest(df, "k", 20_001) is None and Q.kth_largest(df, "k", 0) is None
     near = spark.createDataFrame([(1.0,)] * 3000 + [(float(np.nextafter(1.0, 2.0)),)] * 3000, "k double")
     assert Q.kth_largest(near, "k", 3000) > 1.0 == Q.kth_largest(near, "k", 3001)
-    model = Q.RatioModel(np.random.default_rng(3).normal(0, 1, 2 * Q.BUCKETS).astype(np.float32), -3.0)
+    model = Q.RatioModel(np.append(np.random.default_rng(3).normal(0, 1, Q.KINDS * Q.BUCKETS), 0).astype(np.float32), -3.0)
     docs = spark.range(1000).selectExpr("id AS doc_id", "concat('w', id, ' ', id % 7) AS text", "'k' AS log_weight")
     every = {x["doc_id"]: x for x in Q.resample(docs, model, k=1000).collect()}
     assert len(every) == 1000 and np.mean([x["gumbel_key"] - x["log_weight"] for x in every.values()]) / Q.TEMPERATURE < 0.75
