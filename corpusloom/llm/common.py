@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -21,11 +22,13 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (single-machine tests) is a temporary folder made.
+    Only on a local master, where that is unset (tests), is a temporary folder made.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -43,6 +46,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that materialize() wrote and that nothing reads any more."""
+    jvm = table.sparkSession._jvm
+    for file in table.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows of an aggregate, spread by another hash of their keys: a join on the keys then
+    shuffles both sides by itself, so that Spark can split a hot key's partition (adaptive
+    skew join), which it can't in a stage that also aggregates."""
+    return rows.repartition(F.xxhash64(*keys))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, slices, text_bytes
+from corpusloom.llm.common import dealt, materialize, slices, text_bytes
 
 #: Payloads are filled with spaces up to a positive multiple of this.
 UNIT = 192
@@ -180,6 +180,6 @@ def resolve(items: DataFrame, feats: DataFrame, ref_col: str = "ref") -> DataFra
     Files are collapsed to one row a digest first; references that resolve to nothing, and
     texts, keep null features, so every item stays at its place.
     """
-    per = feats.groupBy("digest").agg(*(F.first(c).alias(c) for c in feats.columns if c != "digest"))
+    per = dealt(feats.groupBy("digest").agg(*(F.first(c).alias(c) for c in feats.columns if c != "digest")), "digest")
     ref = F.when(F.col(ref_col).startswith("sha256:"), F.substring(ref_col, 8, 64))
     return items.withColumn("_d", ref).join(per.withColumnRenamed("digest", "_d"), "_d", "left").withColumnRenamed("_d", "media_sha256")
