@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, slices, text_bytes
+from corpusloom.llm.common import dealt, discard, materialize, slices, text_bytes
 
 #: Reference fingerprints: how many, and the seed they are drawn with.
 PIVOTS, PIVOT_SEED = 16, 42
@@ -109,18 +109,18 @@ def bucket_links(rows: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[np
     to rows only where a bucket has company. prepare() gets a frame and returns a function
     that gets two arrays of row numbers and says which pairs are links. A bucket of more than `block` rows (BLOCK) is compared as pairs of blocks, each a group of its own.
     """
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = dealt(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket")
     sized = rows.join(sizes, "bucket")
     extra = [c for c in about.columns if c != "node"] if about is not None else []
     if about is not None:
         sized = sized.join(about, "node")
     blocks = F.ceil(F.col("size") / (block or BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = sized.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
+    placed = sized.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
         "node", *extra, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), F.col("bucket"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
     )
     cols = ["g", "bucket", "x", "y", "node", *extra]
-    dealt = dealt.select(cols).repartition("g").sortWithinPartitions("g", "bucket", "x", "y", "node")
+    placed = placed.select(cols).repartition("g").sortWithinPartitions("g", "bucket", "x", "y", "node")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -160,25 +160,26 @@ def bucket_links(rows: DataFrame, prepare: Callable[[pd.DataFrame], Callable[[np
         out = pd.DataFrame({"a": node[root[member]], "b": node[member]}).drop_duplicates()
         return out[out.a != out.b]
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return placed.mapInPandas(run, "a long, b long")
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): the smallest node that each linked node reaches; links: a, b long.
 
     Alternating large-star and small-star steps; each round is two grouped minimums and
-    joins over what links remain, written to the shared folder. No row leaves the cluster
-    but one number a round.
+    joins over what links remain, written to the shared folder in place of the last round's.
+    No row leaves the cluster but one number a round.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = dealt(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = dealt(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialize(small, name)
+        old, edges = edges, materialize(small, name)
+        discard(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -218,7 +219,7 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     firsts = fps.groupBy("fp").agg(F.min("id").alias("first"))
     comp = components(near_fingerprints(firsts.select("fp"), radius), "simhash-links")
     named = firsts.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = dealt(named.groupBy("root").agg(F.min("first").alias("component_id")), "root")
     members = named.join(least, "root").select("fp", "component_id")
     return fps.join(members, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -326,5 +327,5 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     shown = rows.select(F.col("content").alias("node"), "marks", "grams").join(group.select("node"), "node", "left_semi").dropDuplicates(["node"])
     comp = components(bucket_links(group.select(F.col("root").alias("bucket"), "node"), prepare_exact, shown, EXACT_BLOCK), "near-copies-links")
     named = texts.select("content", "first").join(comp, F.col("content") == F.col("node"), "left").select("content", F.coalesce("root", "content").alias("root"), "first")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = dealt(named.groupBy("root").agg(F.min("first").alias("component_id")), "root")
     return rows.select("id", "content").join(named.join(least, "root").select("content", "component_id"), "content").select(F.col("id").alias(id_col), "component_id")

@@ -142,3 +142,12 @@ def test_near_copies_with_a_line_repeated_often(spark):
         assert jaccard(rows[-2][1], rows[-1][1]) >= 0.9
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {x["doc_id"]: x["component_id"] for x in S.near_copy_groups(df).collect()} == {i: i - i % 2 for i in range(20)}
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"x{i}" for i in range(60))
+    rows = [(5, text, 1), (5, text, 2), (3, text + " more", 3), (None, text, 4), (None, other, 5), (8, None, 6), (9, "", 7), (9, " ", 8)]
+    got = S.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string, component_id int")).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted([("5", "3"), ("5", "3"), ("3", "3"), ("None", "3"), ("None", "None"), ("8", "8"), ("9", "8"), ("9", "8")])
+    assert S.near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
