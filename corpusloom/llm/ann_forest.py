@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
-The trees are fitted on a bounded sample; every row is then put into one leaf of each
-tree. A query walks all trees through one shared priority queue, nearest margins first,
-until the leaves it has reached should hold `search_rows` rows. Rows and queries meet by
-leaf, a leaf's candidates are ranked exactly, and only its best k leave it.
+The trees are fitted on a bounded sample; every row lies in one leaf of each tree. A query
+walks all trees through one shared priority queue, nearest cells first, until the leaves it
+has reached should hold a share of all rows, and never enters a cell whose planes prove that
+nothing in it can be among its k nearest. Rows are dealt out to blocks, each of which meets
+the queries' blocks: there, the rows that lie in a leaf a query has reached, in any tree, are
+ranked exactly, once, and only the best k of a block leave it.
 """
 
 from __future__ import annotations
@@ -13,19 +15,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows the trees are fitted on, chosen by a hash of the id.
-SAMPLE_ROWS = 20_000
+from corpusloom.llm.common import materialize
+
+#: Rows the trees are fitted on, chosen by a hash of the id, and those of them that bound the
+#: distance of a query's k-th nearest.
+SAMPLE_ROWS, BOUND_ROWS = 20_000, 1024
 TREES = 8
-#: Rows that a leaf should hold; and those beyond which a leaf is dealt out to several groups.
-LEAF_ROWS, GROUP_ROWS = 1024, 8192
-#: Rows that the leaves of one query should hold, trees together (a row counts once a tree):
-#: this share of all rows, and no fewer than SEARCH_ROWS. Vectors without structure need many,
-#: and as large a share of a large table as of a small one: see the README's table of recall.
-SEARCH_SHARE, SEARCH_ROWS = 0.96, 49_152
+#: A leaf should hold a LEAVES-th of all rows, within these limits; what the sample can tell
+#: apart (4 of its rows a leaf) limits the depth as well.
+LEAVES, LEAF_ROWS = 128, (8, 256)
+#: Share of all rows that the leaves of one query should hold, trees together (a row counts
+#: once a tree). Vectors without structure need as large a share of a large table as of a
+#: small one: see the README's table of recall.
+SEARCH_SHARE = 0.96
+#: Rows and queries that meet in one group.
+ROW_BLOCK, QUERY_BLOCK = 16_384, 4096
+#: Lengths of vectors that one table may hold; each is searched apart.
+MOST_LENGTHS = 16
 
 
 @dataclass
@@ -34,7 +44,7 @@ class Forest:
     normals: np.ndarray  # trees x inner nodes x dimensions
     cuts: np.ndarray  # trees x inner nodes
     rows: np.ndarray  # trees x leaves: rows expected
-    groups: np.ndarray  # trees x leaves: groups a leaf is dealt out to
+    some: np.ndarray  # rows of the table that bound distances
 
 
 def usable(vec: Column) -> Column:
@@ -43,8 +53,9 @@ def usable(vec: Column) -> Column:
     return F.coalesce((F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def fit(rows: DataFrame, n: int, trees: int = TREES, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, seed: int = 42) -> Forest:
+def fit(rows: DataFrame, n: int, trees: int = TREES, sample_rows: int = SAMPLE_ROWS, leaf_rows: int | None = None, seed: int = 42) -> Forest:
     """rows: id, vec (usable, one length), n of them."""
+    leaf_rows = leaf_rows or min(max(n // LEAVES, LEAF_ROWS[0]), LEAF_ROWS[1])
     pick = rows if n <= sample_rows else rows.where(F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
     x = np.array([r[0] for r in pick.select("vec").collect()], np.float64)
     dim = x.shape[1] if len(x) else 1
@@ -65,8 +76,7 @@ def fit(rows: DataFrame, n: int, trees: int = TREES, sample_rows: int = SAMPLE_R
                 after += [part[side <= cuts[t, node]], part[side > cuts[t, node]]]
             parts = after
         counts[t] = [len(p) for p in parts]
-    expected = counts * (n / max(1, len(x)))
-    return Forest(depth, normals, cuts, expected, np.maximum(1, np.ceil(expected / GROUP_ROWS)).astype(np.int64))
+    return Forest(depth, normals, cuts, counts * (n / max(1, len(x))), x[rng.permutation(len(x))[:BOUND_ROWS]])
 
 
 def _plane(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
@@ -106,90 +116,97 @@ def leaves(forest: Forest, x: np.ndarray) -> np.ndarray:
     return node - ((1 << forest.depth) - 1)
 
 
-def probe(forest: Forest, x: np.ndarray, search_rows: float) -> list[tuple[int, int]]:
-    """(tree, leaf) pairs for a query, nearest margins first."""
+def probe(forest: Forest, x: np.ndarray, search_rows: float, k: int) -> np.ndarray:
+    """trees x leaves: whether a query enters the leaf. Cells come in order of the sum of their
+    squared margins; those beyond a plane farther than the k nearest reach are never entered."""
     trees, inner = forest.cuts.shape
     margin = np.einsum("tnd,d->tn", forest.normals, x) - forest.cuts if inner else np.zeros((trees, 0))
-    queue = [(-np.inf, t, 0) for t in range(trees)]
-    heapq.heapify(queue)
-    found, seen = [], 0.0
-    while queue and seen < search_rows * 1.0:
+    reach = np.inf
+    if len(forest.some) > k:
+        # the k + 1 nearest of some rows, as one of them may be the query itself
+        reach = float(np.sqrt(np.partition(((forest.some - x) ** 2).sum(axis=1), k)[k])) * (1 + 1e-9)
+    queue = [(0.0, t, 0) for t in range(trees)]
+    found, seen = np.zeros((trees, inner + 1), bool), 0.0
+    while queue and seen < search_rows:
         cost, t, node = heapq.heappop(queue)
         while node < inner:
             m = margin[t, node]
-            heapq.heappush(queue, (max(cost, abs(m)), t, 2 * node + (1 if m > 0 else 2)))
+            if abs(m) <= reach:
+                heapq.heappush(queue, (cost + m * m, t, 2 * node + (1 if m > 0 else 2)))
             node = 2 * node + (2 if m > 0 else 1)
-        leaf = node - inner
-        found.append((t, leaf))
-        seen += forest.rows[t, leaf]
+        found[t, node - inner] = True
+        seen += forest.rows[t, node - inner]
     return found
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, search_rows: float | None = None, trees: int = TREES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Arrow lists of doubles, all of one length, as rows."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, search_share: float = SEARCH_SHARE, trees: int = TREES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, <id_col>, score): for each query its k nearest rows by Euclidean
     distance in double precision, itself left out; ties go to the smaller id.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part,
-    nor do ones whose length isn't the commonest (the smaller, if two are), nor null ids. `search_rows` unset grows with the table (SEARCH_SHARE, SEARCH_ROWS).
-    Of rows with one vector only the k + 1 smallest ids can be among k nearest, so only
-    those are indexed; repeated ids count once. Fewer rows give fewer neighbours, empty
-    tables none. Other columns aren't read.
+    nor do null ids. Vectors of different lengths are never near each other (MOST_LENGTHS of
+    them at most). A search_share of `trees` or more is exact. Of rows with one vector only
+    the k + 1 smallest ids can be among k nearest, so only those are indexed; repeated rows
+    count once. Fewer rows give fewer neighbours, empty tables none. Other columns aren't
+    read, so their names can't clash.
     """
     spark = rows.sparkSession
-    whole = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
-    dims = sorted((-r["n"], r["d"]) for r in whole.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
-    if not dims:
-        return spark.createDataFrame([], f"query_id {rows.schema[id_col].dataType.simpleString()}, rank int, {id_col} {rows.schema[id_col].dataType.simpleString()}, score double")
-    n, dim = -dims[0][0], dims[0][1]
-    whole = whole.where(F.size("vec") == dim)
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("vec")).where(F.col("query_id").isNotNull() & usable(F.col("vec")) & (F.size("vec") == dim))
-    forest = spark.sparkContext.broadcast(fit(whole, n, trees))
     kind = rows.schema[id_col].dataType.simpleString()
-    order = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    kept = whole.withColumn("n", order).where(F.col("n") <= k + 1).drop("n")
-    width = 1 << forest.value.depth
-    depth_rows = max(SEARCH_ROWS, SEARCH_SHARE * n) if search_rows is None else search_rows
-
-    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = forest.value
-        for p in frames:
-            if not len(p):
-                continue
-            x = np.array(p["vec"].tolist(), np.float64)
-            leaf = leaves(f, x)
-            salt = pd.util.hash_array(p["id"].to_numpy()).astype(np.int64) & 0x7FFFFFFF
-            for t in range(leaf.shape[1]):
-                yield pd.DataFrame({"leaf": t * width + leaf[:, t], "salt": salt % f.groups[t, leaf[:, t]], "id": p["id"], "vec": p["vec"]})
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = forest.value
-        for p in frames:
-            out = [(t * width + leaf, s, i, v) for i, v in zip(p["query_id"], p["vec"], strict=True) for t, leaf in probe(f, np.asarray(v, np.float64), depth_rows) for s in range(int(f.groups[t, leaf]))]
-            if out:
-                yield pd.DataFrame(out, columns=["leaf", "salt", "query_id", "vec"])
-
-    def rank(some: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        ids, got = some["id"].to_numpy(), []
-        x = np.array(some["vec"].tolist(), np.float64) if len(some) else None
-        norms = (x * x).sum(axis=1) if x is not None else None
-        for q, v in zip(ask["query_id"], ask["vec"], strict=True):
-            if x is None:
-                break
-            v = np.asarray(v, np.float64)
-            others = np.flatnonzero(ids != q)
-            if len(others) > 4 * k:
-                # squares by products find who can be among k; their rounding is allowed for
-                d2 = (norms - 2 * (x @ v))[others]
-                slack = 1e-10 * (norms.max() + v @ v)
-                others = others[~(d2 > np.partition(d2, k - 1)[k - 1] + slack)]
-            i, e = ids[others], np.sqrt(((x[others] - v) ** 2).sum(axis=1))
-            best = np.lexsort((i, e))[:k]
-            got.append(pd.DataFrame({"query_id": q, "id": i[best], "score": e[best]}))
-        return pd.concat(got, ignore_index=True) if got else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    placed = kept.mapInPandas(index, f"leaf long, salt long, id {kind}, vec array<double>")
-    probes = asked.mapInPandas(walk, f"leaf long, salt long, query_id {kind}, vec array<double>")
-    best = placed.groupBy("leaf", "salt").cogroup(probes.groupBy("leaf", "salt")).applyInPandas(rank, f"query_id {kind}, id {kind}, score double")
-    once = best.groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    whole = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("query_id").isNotNull() & usable(F.col("vec")))
+    lengths = whole.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").limit(MOST_LENGTHS + 1).collect()
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    if not lengths:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
+    found = None
+    for r in lengths:
+        some = _nearest(whole.where(F.size("vec") == r["d"]), asked.where(F.size("vec") == r["d"]), r["n"], k, search_share, trees, kind)
+        found = some if found is None else found.unionByName(some)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+    once = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
     return once.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _nearest(whole: DataFrame, asked: DataFrame, n: int, k: int, search_share: float, trees: int, kind: str) -> DataFrame:
+    """(query_id, id, score): for vectors of one length, the k nearest of each block of rows."""
+    kept = whole.dropDuplicates(["vec", "id"]).withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
+    kept = materialize(kept, "vectors")
+    n = kept.count()
+    forest = whole.sparkSession.sparkContext.broadcast(fit(kept, n, trees))
+    blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = forest.value
+        for b in batches:
+            if b.num_rows:
+                cells = [np.packbits(probe(f, v, search_share * n, k)).tobytes() for v in _matrix(pa.chunked_array([b.column(1)]))]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.binary())], names=["query_id", "vec", "cells"])
+
+    def rank(some: pa.Table, ask: pa.Table) -> pa.Table:
+        f, out = forest.value, []
+        if some.num_rows and ask.num_rows:
+            ids, x = some.column("id").to_numpy(), _matrix(some.column("vec"))
+            leaf = leaves(f, x) + np.arange(len(f.normals)) * (1 << f.depth)
+            for q, v, cells in zip(ask.column("query_id").to_pylist(), _matrix(ask.column("vec")), ask.column("cells").to_pylist(), strict=True):
+                entered = np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool)
+                at = np.flatnonzero(entered[leaf].any(axis=1) & (ids != q))
+                score = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
+                if len(at) > k:
+                    near = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
+                    at, score = at[near], score[near]
+                best = np.lexsort((ids[at], score))[:k]
+                out.append(pa.table({"query_id": pa.array([q] * len(best), ask.schema.field("query_id").type), "id": some.column("id").take(pa.array(at[best])), "score": pa.array(score[best])}))
+        none = pa.table({"query_id": ask.column("query_id").slice(0, 0), "id": some.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        return pa.concat_tables(out or [none])
+
+    probes = asked.mapInArrow(walk, f"query_id {kind}, vec array<double>, cells binary")
+    placed = kept.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "id", "vec")
+    dealt = probes.select(F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", "vec", "cells")
+    return placed.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(rank, f"query_id {kind}, id {kind}, score double")

@@ -37,14 +37,51 @@ def test_ties_copies_and_bad_vectors(spark):
     assert A.nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).collect() == []
 
 
-def test_deep_forest_finds_all_near(spark, monkeypatch):
+def test_deep_forest_finds_all_near(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(3000, 8)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    monkeypatch.setattr(A, "LEAF_ROWS", 64)
-    got = A.nearest(df, df.where("vec_id % 100 = 0"), search_rows=2500).toPandas()
+    got = A.nearest(df, df.where("vec_id % 100 = 0"), search_share=0.8).toPandas()
     hit = sum(len({i for i, _ in exact(np.arange(3000), x.astype(float), q, x[q].astype(float), 10)} & set(got[got.query_id == q].vec_id)) for q in range(0, 3000, 100))
     assert hit / 300 >= 0.9
+    # a share of all trees is exact, also in several blocks
+    every = A.nearest(df, df.where("vec_id % 500 = 0"), search_share=A.TREES).collect()
+    for q in range(0, 3000, 500):
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in every if r["query_id"] == q)
+        assert [m[1:] for m in mine] == exact(np.arange(3000), x.astype(float), q, x[q].astype(float), 10)
+
+
+def test_blocks_change_nothing(spark, sf, monkeypatch):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    one = {tuple(r) for r in A.nearest(rows, rows.where("vec_id % 50 = 0")).collect()}
+    monkeypatch.setattr(A, "ROW_BLOCK", 70)
+    monkeypatch.setattr(A, "QUERY_BLOCK", 4)
+    assert {tuple(r) for r in A.nearest(rows, rows.where("vec_id % 50 = 0")).collect()} == one
+
+
+def test_trees_have_depth_and_cells_out_of_reach_are_left_out(spark):
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 16)) * 20
+    x = (centres[r.integers(0, 40, 4000)] + r.normal(size=(4000, 16))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    f = A.fit(rows, 4000)
+    assert f.depth >= 7
+    leaf, met = A.leaves(f, x.astype(float)), []
+    for q in range(0, 4000, 200):
+        entered = A.probe(f, x[q].astype(float), A.SEARCH_SHARE * 4000, 10)
+        hit = entered[np.arange(A.TREES), leaf].any(axis=1)
+        met.append(hit.mean())
+        assert hit[[i for i, _ in exact(np.arange(4000), x.astype(float), q, x[q].astype(float), 10)]].all()
+    assert np.mean(met) < 0.25
+
+
+def test_lengths_are_searched_apart(spark):
+    rows = [(i, [float(i + 1)] * (1 + i % 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = A.nearest(df, df.where("vec_id < 2"), k=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 2), (0, 2, 4), (1, 1, 3), (1, 2, 5)]
+    repeated = df.unionByName(df.where("vec_id = 2")).unionByName(df.where("vec_id = 2"))
+    assert sorted((r["rank"], r["vec_id"]) for r in A.nearest(repeated, df.where("vec_id = 0"), k=2).collect()) == [(1, 2), (2, 4)]
 
 
 def test_recall_holds_as_the_table_grows(spark, tmp_path):
