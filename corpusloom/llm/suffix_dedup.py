@@ -2,20 +2,25 @@
 
 Two equal strings of `length` bytes hold the same anchor at the same place: the leftmost of
 the smallest 16-byte hashes inside them. So each run of string starts that share an anchor
-becomes one row with the anchor's hash and a hash of the run's bytes (its context); rows
-are collapsed inside tasks, then meet by ranges of anchor and context, so that an anchor
-with very many contexts spreads over tasks. Equal contexts repeat as a whole. Where an
-anchor has several contexts, one copy of each goes, with its bytes, to a block of text
-(contexts of hot anchors first fall into pieces of PIECE starts that meet by the bytes that
-the piece's strings share: a piece has few different forms, however many documents hold it):
-a breadth-first backward extension on the block's Burrows-Wheeler transform derives the
-common prefixes of neighbouring suffixes by increasing value and stops at `length`; the
-intervals still unbroken hold the strings that repeat. All but the earliest are removed.
+becomes one row with the anchor's hash and a hash of the run's bytes (its context). Hashes
+only say who must meet; what repeats is decided on the bytes:
+
+* where an anchor has several contexts, one copy of each goes to the anchor's block;
+* where a context has several copies, the first two go to a block of the first one's, joined
+  to the runs beside them;
+* contexts of hot anchors fall into pieces of PIECE starts that meet by the bytes that the
+  piece's strings share: a piece has few different forms, however many documents hold it,
+  and its first and last copies go to that block.
+
+A breadth-first backward extension on a block's Burrows-Wheeler transform derives the common
+prefixes of neighbouring suffixes by increasing value and stops at `length`; the intervals
+still unbroken hold the strings that repeat. All but the earliest are removed; the third and
+further copies of a context go if the second one did.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,16 +28,35 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm.common import materialize, slices, text_bytes
+from corpusloom.llm.common import dealt, materialize, slices, text_bytes
 
 GRAM = 16
 #: Bytes of contexts that one transform covers.
 BLOCK_BYTES = 1 << 20
 #: Bytes whose anchors are found at once, under 2^24; longer texts go as overlapping parts.
 MOST_BYTES = 1 << 22
-#: Contexts of an anchor beyond which it is hot, and starts in a piece of a hot one's context.
-HOT, PIECE = 512, 4
+#: Contexts of an anchor beyond which it is hot: in one batch, and in one task. Starts in a piece
+#: of a hot one's context.
+HOT_BATCH, HOT, PIECE = 8, 512, 4
+#: Rows of one anchor beyond which a task doesn't hold them together.
+MOST_ROWS = 200_000
+#: Starts of a first copy whose runs share a block, as a power of two.
+REGION = 15
+#: What a run is sent for: to meet other contexts, to meet its first copy, or nothing but the
+#: verdict on another copy.
+NEED, PAIR, REST = 0, 1, 2
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(*parts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of rows of longs."""
+    h = np.uint64(0)
+    for p in parts:
+        h = (h ^ p.view(np.uint64)) * _MULTIPLIER
+        h = h ^ (h >> np.uint64(29))
+    return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
 def anchors(x: np.ndarray, length: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +124,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     diff = sorted_key[1:] ^ sorted_key[:-1]
     lcp = np.full(n + 1, -1, np.int16)
@@ -120,7 +144,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         who = order[tied]
         nxt = who + reach
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        again = np.argsort(rank[who] * (n + 1) + second, kind="stable")
+        again = np.argsort(rank[who] * (n + 1) + second)
         who, second = who[again], second[again]
         order[tied] = who
         g = rank[who]
@@ -213,129 +237,288 @@ def repeated(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, length:
 
 
 def removals(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(id, from, to): byte ranges to remove. docs: id long, text string; repeated ids count
-    as one document (a string at the same place isn't earlier)."""
+    """(id, from, to): byte ranges to remove. docs: id long, text string; rows with equal ids
+    are one document, repeated."""
+    hot_batch, hot_task, most_rows, region, block_bytes, search = HOT_BATCH, HOT, MOST_ROWS, REGION, BLOCK_BYTES, repeated
     raw_docs = docs.select("id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    names = ["g", "anchor", "ctx", "id", "first", "last", "at"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = text_bytes(b.column(1))
-            ids = b.column(0).to_numpy()
-            parts = []
+            ids, parts = b.column(0).to_numpy(), []
             for i, j in slices(off):
                 d, first, last, anchor, ctx, at = runs(raw[off[i] : off[j]], off[i : j + 1] - off[i], length)
-                parts.append((ids[i + d], first, last, anchor, ctx, at))
-            key, first, last, anchor, ctx, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            # within the batch: a context that also lies earlier repeats as a whole; it needs no
-            # meeting and travels to where nothing is hot
-            by = np.lexsort((first, key, ctx, anchor))
-            same = np.concatenate(([False], (anchor[by][1:] == anchor[by][:-1]) & (ctx[by][1:] == ctx[by][:-1])))
-            head = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
-            dup = np.zeros(len(by), bool)
-            dup[by] = same & ((key[by] != key[head]) | (first[by] != first[head]))
-            gone = np.zeros(len(by), bool)
-            gone[by] = same & ~dup[by]
-            k = ~gone
-            g = np.where(dup, (ctx ^ (first * 0x9E3779B9)), anchor)
-            for s in range(0, int(k.sum()), 100_000):
-                w = np.flatnonzero(k)[s : s + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(g[w]), pa.array(np.where(dup, 0, anchor)[w]), pa.array(np.where(dup, 0, ctx)[w]), pa.array(key[w]), pa.array(first[w].astype(np.int32)), pa.array(last[w].astype(np.int32)), pa.array(at[w].astype(np.int32)), pa.array(dup[w])], names=[*names, "dup"])
-
-    found = raw_docs.mapInArrow(find, "g long, anchor long, ctx long, id long, first int, last int, at int, dup boolean")
-    met = found.repartitionByRange("g", "ctx").sortWithinPartitions("g", "anchor", "ctx", "id", "first")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole repeats leave as ranges; contexts that meet others under their anchor as needs.
-        The first and the last anchor of a range may have more contexts next door: they count
-        as hot."""
-        rest: pa.Table | None = None
-        edge = None
+                parts.append((ids[i + d], first << 16 | (last - first) << 8 | (at - first), anchor, ctx))
+            key, place, anchor, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield from _send(key, place, anchor, ctx, hot_batch)
+
+    found = raw_docs.mapInArrow(find, "g long, anchor long, ctx long, id long, place long, kind byte")
+    met = found.repartition("g").sortWithinPartitions("g", "anchor", "ctx", "id", "place")
+    told = materialize(met.mapInArrow(lambda batches: _meet(batches, hot_task, most_rows, region), "kind byte, hot boolean, id long, place long, at long, ref long"), "suffix-runs")
+
+    # the bytes of runs that must meet others
+    needs = told.where(F.col("kind") < REST).groupBy("id").agg(F.collect_list(F.struct("kind", "hot", "at", "place")).alias("runs"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            g = t.column(0).to_numpy()
-            if not len(g):
-                continue
-            edge = g[0] if edge is None else edge
-            cut = int(np.searchsorted(g, g[-1]))
-            if not np.all(g[:-1] <= g[1:]):
-                raise ValueError("rows must come sorted")
-            rest = t.slice(cut)
-            if cut:
-                yield from settle(t.slice(0, cut), edge)
-        if rest is not None:
-            yield from settle(rest, rest.column(0)[0].as_py())
-
-    def settle(t: pa.Table, edge: int) -> Iterator[pa.RecordBatch]:
-        g, anchor, ctx, key, first, last = (t.column(i).to_numpy() for i in range(6))
-        at, dup = t.column(6).to_numpy(), t.column(7).to_numpy(zero_copy_only=False)
+            yield from _cut(b, length)
+
+    texts = materialize(raw_docs.join(needs, "id").mapInArrow(cut, "block long, form long, hot boolean, id long, first int, last int, bytes binary"), "suffix-texts")
+    hot = texts.where("hot")
+    forms = materialize(hot.groupBy("block", "form").agg(F.min(F.struct("id", "first")).alias("least"), F.max(F.struct("id", "first")).alias("most"), F.first("bytes").alias("bytes")), "suffix-forms")
+    nothing = F.lit(None).cast("long").alias("form")
+    meeting = texts.where("NOT hot").select("block", nothing, "id", "first", "bytes").unionByName(forms.select("block", nothing, "least.id", "least.first", "bytes")).unionByName(forms.where("least <> most").select("block", "form", "most.id", "most.first", "bytes"))
+    block = meeting.repartition("block").sortWithinPartitions("block")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.column(4).nbytes
+            if size >= block_bytes:
+                t = pa.Table.from_batches(held).combine_chunks()
+                keys = t.column(0).to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut:
+                    yield from _blocks(t.slice(0, cut), length, block_bytes, search)
+                held = t.slice(cut).to_batches()
+                size = sum(x.column(4).nbytes for x in held)
+        if held:
+            yield from _blocks(pa.Table.from_batches(held).combine_chunks(), length, block_bytes, search)
+
+    decided = materialize(block.mapInArrow(extend, "id long, a int, b int, block long, form long"), "suffix-decided")
+
+    # copies that were not sent go as the ones that were
+    verdict = decided.where("form IS NOT NULL").select("block", "form").distinct().join(forms.select("block", "form", "least", "most"), ["block", "form"])
+    between = hot.select("block", "form", "id", "first", "last").join(dealt(verdict, "block", "form"), ["block", "form"]).where("(id <> least.id OR first <> least.first) AND (id <> most.id OR first <> most.first)")
+    starts = decided.select("id", "a", "b").unionByName(between.select("id", F.col("first").alias("a"), F.col("last").alias("b")))
+    rest = told.where(F.col("kind") == REST)
+    second = _inherited(rest.where("NOT hot"), starts)
+    starts = materialize(starts.unionByName(second), "suffix-starts")
+    starts = starts.unionByName(_inherited(rest.where("hot"), starts))
+    return starts.select("id", F.col("a").alias("from"), (F.col("b") + length).alias("to"))
+
+
+def _send(key: np.ndarray, place: np.ndarray, anchor: np.ndarray, ctx: np.ndarray, hot_batch: int) -> Iterator[pa.RecordBatch]:
+    """A batch's runs and the group that each travels to. The first two copies of a context go
+    to their anchor's group, or, if it has many contexts here, to the context's, and a marker
+    tells the anchor's; further copies go anywhere, with a reference to the second."""
+    by = np.lexsort((place, key, ctx, anchor))
+    key, place, anchor, ctx = key[by], place[by], anchor[by], ctx[by]
+    if len(key):
+        again = (key[1:] == key[:-1]) & (place[1:] == place[:-1]) & (ctx[1:] == ctx[:-1]) & (anchor[1:] == anchor[:-1])
+        keep = np.concatenate(([True], ~again))
+        key, place, anchor, ctx = key[keep], place[keep], anchor[keep], ctx[keep]
+    n = len(key)
+    other = np.ones(n, bool)
+    other[1:] = anchor[1:] != anchor[:-1]
+    fresh = other.copy()
+    fresh[1:] |= ctx[1:] != ctx[:-1]
+    start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    number = np.cumsum(other) - 1
+    many = np.bincount(number, weights=fresh)[number] >= hot_batch if n else np.zeros(0, bool)
+    copy = np.arange(n) - start >= 2
+    second = np.minimum(start + 1, max(n - 1, 0))
+    mark = np.flatnonzero(other & many)
+    zero = np.zeros(len(mark), np.int64)
+    g = np.where(copy, _mix(key, place), np.where(many, _mix(anchor, ctx), anchor))
+    kind = np.where(copy, 1, np.where(many, 2, 0))
+    cols = [np.concatenate(x) for x in ((g, anchor[mark]), (np.where(copy, key[second], anchor), anchor[mark]), (np.where(copy, place[second] >> 16, ctx), zero), (key, zero), (place, zero), (kind, zero + 3))]
+    for s in range(0, len(cols[0]), 100_000):
+        part = [c[s : s + 100_000] for c in cols]
+        part[5] = part[5].astype(np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["g", "anchor", "ctx", "id", "place", "kind"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], hot_task: int, most_rows: int, region: int) -> Iterator[pa.RecordBatch]:
+    """Sorted runs of whole groups, and what each is to be sent for. A group of over most_rows
+    rows is settled in parts; it counts as hot, so none of its contexts needs the others."""
+    rest: pa.Table | None = None
+    large = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        g = t.column(0).to_numpy()
+        if not len(g):
+            continue
+        cut = int(np.searchsorted(g, g[-1]))
+        rest = t.slice(cut)
+        if cut:
+            yield from _settle(t.slice(0, cut), large, hot_task, region)
+        if rest.num_rows > most_rows:
+            large = int(g[-1])
+            yield from _settle(rest, large, hot_task, region)
+            rest = None
+    if rest is not None:
+        yield from _settle(rest, large, hot_task, region)
+
+
+def _settle(t: pa.Table, large: int | None, hot_task: int, region: int) -> Iterator[pa.RecordBatch]:
+    g, anchor, ctx, key, place, kind = (t.column(i).to_numpy() for i in range(6))
+    out = []
+    lost = kind == 1  # copies with a reference to the second of their batch
+    out.append((np.full(int(lost.sum()), REST), np.ones(int(lost.sum()), bool), key[lost], place[lost], anchor[lost], ctx[lost]))
+    marked = np.isin(g, g[kind == 3]) if (kind == 3).any() else np.zeros(len(g), bool)
+    keep = (kind == 0) | (kind == 2)
+    g, anchor, ctx, key, place, kind, marked = (x[keep] for x in (g, anchor, ctx, key, place, kind, marked))
+    n = len(g)
+    if n:
+        group = np.ones(n, bool)
+        group[1:] = (g[1:] != g[:-1]) | (anchor[1:] != anchor[:-1])
+        fresh = group.copy()
+        fresh[1:] |= ctx[1:] != ctx[:-1]
+        same = ~fresh
+        same[1:] &= (key[1:] == key[:-1]) & (place[1:] == place[:-1])
+        g, anchor, ctx, key, place, kind, marked, group, fresh = (x[~same] for x in (g, anchor, ctx, key, place, kind, marked, group, fresh))
         n = len(g)
-        group = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (g[1:] != g[:-1]) | dup[1:] | dup[:-1]))
-        fresh = np.concatenate(([True], group[1:] | (ctx[1:] != ctx[:-1])))
-        head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        whole = dup | ~fresh & ((key != key[head]) | (first != first[head]))
         number = np.cumsum(group) - 1
         forms = np.bincount(number, weights=fresh)[number]
-        hot = (forms > HOT) | (g == edge)
-        need = fresh & ((forms > 1) | hot) & ~dup
-        keep = np.flatnonzero(whole | need)
-        for s in range(0, len(keep), 100_000):
-            w = keep[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(need[w]), pa.array(anchor[w]), pa.array(key[w]), pa.array(first[w]), pa.array(last[w]), pa.array(at[w]), pa.array(hot[w])], names=["need", "anchor", "id", "first", "last", "at", "hot"])
-
-    told = materialize(met.mapInArrow(meet, "need boolean, anchor long, id long, first int, last int, at int, hot boolean"), "suffix-runs")
-    whole = told.where("not need").select("id", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
-    needs = told.where("need").groupBy("id").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "hot")).alias("runs"))
-    # strings of a hot anchor's context by their start's place against the anchor; cold ones whole
-    r = F.col("r")
-    q = lambda p: F.floor((p - r["at"]) / PIECE).cast("int")
-    pieces = F.when(r["hot"], F.sequence(q(r["first"]), q(r["last"]))).otherwise(F.array(F.lit(None).cast("int")))
-    cut = raw_docs.join(needs, "id").select("id", "raw", F.explode("runs").alias("r")).select("id", "raw", "r", F.explode(pieces).alias("q"))
-    start = r["at"] + F.col("q") * PIECE
-    first = F.coalesce(F.greatest(r["first"], start), r["first"])
-    last = F.coalesce(F.least(r["last"], start + (PIECE - 1)), r["last"])
-    shared = F.xxhash64(r["anchor"], F.col("q"), F.substring("raw", start + PIECE, F.lit(length - PIECE + 1)))
-    part = F.substring("raw", first + 1, last - first + length)
-    texts = materialize(cut.select(F.coalesce(F.when(r["hot"], shared), r["anchor"]).alias("anchor"), r["hot"].alias("hot"), F.xxhash64(first - r["at"], part).alias("form"), "id", first.alias("first"), last.alias("last"), part.alias("bytes")), "suffix-texts")
-    forms = texts.where("hot").groupBy("anchor", "form").agg(F.min(F.struct("id", "first")).alias("m"), F.max_by("bytes", F.lit(1)).alias("bytes"))
-    again = texts.where("hot").select("anchor", "form", "id", "first", "last").join(forms.select("anchor", "form", "m"), ["anchor", "form"]).where("id <> m.id OR first <> m.first")
-    whole = whole.unionByName(again.select("id", F.col("first").alias("from"), (F.col("last") + length).alias("to")))
-    block = texts.where("not hot").select("anchor", "id", "first", "bytes").unionByName(forms.select("anchor", "m.id", "m.first", "bytes")).repartition("anchor").sortWithinPartitions("anchor")
-
-    def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        size = 0
-        for f in frames:
-            held.append(f)
-            size += int(f["bytes"].str.len().sum())
-            if size >= BLOCK_BYTES:
-                f = pd.concat(held, ignore_index=True) if len(held) > 1 else f
-                cut = int(np.searchsorted(f["anchor"].to_numpy(), f["anchor"].iloc[-1]))
-                if cut:
-                    yield from blocks(f.iloc[:cut])
-                    f = f.iloc[cut:].reset_index(drop=True)
-                held, size = [f], int(f["bytes"].str.len().sum())
-        if held and sum(map(len, held)):
-            yield from blocks(pd.concat(held, ignore_index=True))
-
-    def blocks(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        anchor, size = f["anchor"].to_numpy(), f["bytes"].str.len().to_numpy()
-        ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(f))
-        total, start = np.cumsum(size), 0
-        while start < len(f):
-            most = int(np.searchsorted(total, (total[start - 1] if start else 0) + BLOCK_BYTES, side="right"))
-            i = int(np.searchsorted(ends, most, side="right")) - 1
-            end = int(ends[i]) if i >= 0 and ends[i] > start else int(ends[np.searchsorted(ends, start, side="right")])
-            part = f.iloc[start:end]
-            key, first = part["id"].to_numpy(), part["first"].to_numpy().astype(np.int64)
-            found = repeated([bytes(x) for x in part["bytes"]], key, first, length)
-            if found:
-                ctx, a, b = (np.array(x) for x in zip(*found, strict=True))
-                yield pd.DataFrame({"id": key[ctx], "from": (first[ctx] + a).astype(np.int32), "to": (first[ctx] + b + length).astype(np.int32)})
-            start = end
-
-    return whole.unionByName(block.mapInPandas(extend, "id long, from int, to int"))
+        hot = (forms > hot_task) | marked | (kind == 2)
+        if large is not None:
+            hot |= g == large
+        start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        nth = np.arange(n) - start
+        several = np.bincount(np.cumsum(fresh) - 1)[np.cumsum(fresh) - 1] > 1
+        second = np.minimum(start + 1, n - 1)
+        zero = np.zeros(n, np.int64)
+        route = _mix(key[start], place[start] >> (16 + region))
+        for what, rows, at, ref in ((NEED, fresh & ((forms > 1) | hot), anchor, zero), (PAIR, several & (nth < 2), route, zero), (REST, nth >= 2, key[second], place[second] >> 16)):
+            w = np.flatnonzero(rows)
+            out.append((np.full(len(w), what), hot[w] & (what == NEED), key[w], place[w], at[w], ref[w]))
+    what, hot, key, place, at, ref = (np.concatenate(x) for x in zip(*out, strict=True))
+    for s in range(0, len(what), 100_000):
+        w = slice(s, s + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(what[w].astype(np.int8)), pa.array(hot[w]), pa.array(key[w]), pa.array(place[w]), pa.array(at[w]), pa.array(ref[w])], names=["kind", "hot", "id", "place", "at", "ref"])
+
+
+def _cut(b: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """Documents (id, raw, runs) to the bytes that go to blocks. Runs that go with a first copy
+    are joined where one's starts follow the other's."""
+    lists, docs = b.column(2), b.column(1)
+    sizes = np.diff(lists.offsets.to_numpy())
+    fields = lists.flatten()
+    kind, hot, at, place = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+    first = place >> 16
+    last, anchor_at = first + (place >> 8 & 0xFF), first + (place & 0xFF)
+    ends = np.cumsum(sizes)
+    out: list[list] = [[] for _ in range(7)]
+    size = 0
+    for d, key in enumerate(b.column(0).to_pylist()):
+        raw = memoryview(docs[d].as_buffer())
+        lo = ends[d] - sizes[d]
+        mine = np.arange(lo, ends[d])
+        pairs = mine[kind[mine] == PAIR]
+        pairs = pairs[np.lexsort((first[pairs], at[pairs]))]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (at[pairs][1:] != at[pairs][:-1]) | (first[pairs][1:] != last[pairs][:-1] + 1)
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:] - 1, len(pairs) - 1) if len(pairs) else heads
+        found = list(zip(at[pairs[heads]].tolist(), first[pairs[heads]].tolist(), last[pairs[tails]].tolist(), strict=True))
+        cold = mine[(kind[mine] == NEED) & ~hot[mine]]
+        found += zip(at[cold].tolist(), first[cold].tolist(), last[cold].tolist(), strict=True)
+        rows = [(block, 0, False, x, y) for block, x, y in found]
+        for i in mine[(kind[mine] == NEED) & hot[mine]].tolist():
+            # pieces by their starts' place against the anchor; each meets those that share the
+            # bytes which all its strings share
+            a, p = int(at[i]).to_bytes(8, "little", signed=True), int(anchor_at[i])
+            for q in range((int(first[i]) - p) // PIECE, (int(last[i]) - p) // PIECE + 1):
+                s = p + q * PIECE
+                x, y = max(int(first[i]), s), min(int(last[i]), s + PIECE - 1)
+                block = xxhash.xxh3_64_intdigest(a + q.to_bytes(2, "little", signed=True) + bytes(raw[s + PIECE - 1 : s + length]))
+                form = xxhash.xxh3_64_intdigest(bytes(raw[x : y + length]), seed=x - p & 0xFFFF)
+                rows.append((_signed(block), _signed(form), True, x, y))
+        for block, form, is_hot, x, y in rows:
+            for c, v in zip(out, (block, form, is_hot, key, x, y, raw[x : y + length]), strict=True):
+                c.append(v)
+            size += y + length - x
+        if size > 1 << 22:
+            yield _texts(out)
+            out, size = [[] for _ in range(7)], 0
+    yield _texts(out)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _texts(cols: list[list]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(map(bytes, c) if t == pa.binary() else c, t) for c, t in zip(cols, types, strict=True)], names=["block", "form", "hot", "id", "first", "last", "bytes"])
+
+
+def _blocks(t: pa.Table, length: int, block_bytes: int, search: Callable) -> Iterator[pa.RecordBatch]:
+    """Whole blocks, transformed together up to block_bytes: the ranges of starts to remove,
+    and the form of a last copy that goes as a whole."""
+    if not t.num_rows:
+        return
+    block, form, key, first = t.column(0).to_numpy(), t.column(1), t.column(2).to_numpy(), t.column(3).to_numpy().astype(np.int64)
+    raw = t.column(4).to_pylist()
+    size = np.array([len(x) for x in raw])
+    last_copy, form = ~form.is_null().to_numpy(), form.fill_null(0).to_numpy()
+    ends = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, t.num_rows)
+    total, start = np.cumsum(size), 0
+    while start < t.num_rows:
+        most = int(np.searchsorted(total, (total[start - 1] if start else 0) + block_bytes, side="right"))
+        i = int(np.searchsorted(ends, most, side="right")) - 1
+        end = int(ends[i]) if i >= 0 and ends[i] > start else int(ends[np.searchsorted(ends, start, side="right")])
+        found = search(raw[start:end], key[start:end], first[start:end], length)
+        if found:
+            ctx, a, b = (np.array(x) for x in zip(*found, strict=True))
+            ctx += start
+            whole = last_copy[ctx] & (a == 0) & (b == size[ctx] - length)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[ctx]), pa.array((first[ctx] + a).astype(np.int32)), pa.array((first[ctx] + b).astype(np.int32)), pa.array(block[ctx]), pa.array(form[ctx], pa.int64(), mask=~whole)],
+                names=["id", "a", "b", "block", "form"],
+            )
+        start = end
+
+
+def _inherited(rest: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, a, b) of runs whose reference's starts are all among those to remove."""
+
+    @F.pandas_udf("array<struct<a: int, b: int>>")
+    def joined(lists):
+        rows = []
+        for rs in lists:
+            out: list[list[int]] = []
+            for a, b in sorted((r["a"], r["b"]) for r in rs):
+                if out and a <= out[-1][1] + 1:
+                    out[-1][1] = max(out[-1][1], b)
+                else:
+                    out.append([a, b])
+            rows.append([{"a": a, "b": b} for a, b in out])
+        return pd.Series(rows)
+
+    wanted = starts.join(rest.select(F.col("at").alias("id")).distinct(), "id", "left_semi")
+    have = dealt(wanted.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("r")), "id").select(F.col("id").alias("at"), joined("r").alias("r"))
+    first, size = F.shiftright("place", 16).cast("int"), F.shiftright("place", 8).bitwiseAND(F.lit(255)).cast("int")
+    covered = F.exists("r", lambda r: (r["a"] <= F.col("ref")) & (r["b"] >= F.col("ref") + size))
+    return rest.join(have, "at").where(covered).select("id", first.alias("a"), (first + size).alias("b"))
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs plus `_doc`, a long: a document is earlier than another if its number is smaller.
+
+    Integral ids that don't repeat are their own numbers. Otherwise documents are numbered by
+    id (nulls first), then by a hash of the text; rows with one id and one text are one
+    document, except that null ids are all different.
+    """
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        n, different = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col))).first()
+        if n == different:
+            return docs.withColumn("_doc", F.col(id_col).cast("long"))
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "suffix-rows")
+    own = F.when(F.col(id_col).isNull(), F.col("_row")).otherwise(-1)
+    keys = rows.select("_row", F.col(id_col).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text"), own.alias("own"))
+    parts = keys.groupBy("key", "text", "own").agg(F.min("_row").alias("least")).repartitionByRange("key", "text", "own").sortWithinPartitions("key", "text", "own")
+    placed = materialize(parts.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "suffix-order")
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())  # one row a task
+    base = docs.sparkSession.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "part int, base long")
+    numbers = placed.join(F.broadcast(base), "part").select("key", "text", "own", (F.col("base") + F.col("place")).alias("_doc"))
+    same = [keys[c].eqNullSafe(numbers[c]) for c in ("key", "text", "own")]
+    return rows.join(keys.join(numbers, same[0] & same[1] & same[2]).select("_row", "_doc"), "_row").drop("_row")
 
 
 def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:
@@ -353,14 +536,17 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     A byte goes if it lies in a string of `length` bytes that also starts earlier: in a
     document with a smaller id, or before in the same one; judged on the input. Null and
-    empty texts have nothing to remove. Rows with equal ids count as one document. Ids are
-    compared as longs, null before all. Other columns stay. Empty tables give no rows.
-    With `characters`, a character that a span covers in part stays whole in `_kept`.
+    empty texts have nothing to remove. Repeated rows are one document and all stay alike;
+    different texts under one id are documents of their own, by an order of their hashes;
+    null ids come first and are all different. Other columns stay, under names other than
+    `_doc` and those returned. Empty tables give no rows. Memory doesn't grow with a text but
+    for the text itself. With `characters`, a character that a span covers in part stays whole
+    in `_kept`.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     cols = docs.columns
-    gone = removals(docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")), length)
-    ranges = gone.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("_ranges")).withColumnRenamed("id", "_key")
+    rows = numbered(docs, id_col, text_col)
+    gone = removals(rows.select(F.col("_doc").alias("id"), F.col(text_col).cast("string").alias("text")), length)
+    ranges = dealt(gone.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("_ranges")), "id").withColumnRenamed("id", "_doc")
 
     @F.pandas_udf("struct<kept binary, spans array<struct<from: int, to: int>>, size long>")
     def keep(texts, ranges):
@@ -385,5 +571,5 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
             rows.append((b"".join([*kept, raw[at:]]), [{"from": a, "to": b} for a, b in spans], len(raw)))
         return pd.DataFrame(rows, columns=["kept", "spans", "size"])
 
-    joined = docs.withColumn("_key", key).join(ranges, "_key", "left")
+    joined = rows.join(ranges, "_doc", "left")
     return joined.select(*cols, keep(F.col(text_col).cast("string").cast("binary"), "_ranges").alias("_r")).select(*cols, F.col("_r.kept").alias("_kept"), F.col("_r.spans").alias("_spans"), F.col("_r.size").alias("_size"))

@@ -1,6 +1,8 @@
 import random
+import sys
 
 import numpy as np
+from pyspark import cloudpickle
 
 from corpusloom.llm import suffix_dedup as S
 
@@ -72,8 +74,11 @@ def test_matches_brute_force(spark):
 
 
 def test_hot_anchors_match_brute_force(spark, monkeypatch):
-    for hot, seed in ((0, 4), (3, 5)):
+    for hot, batch, rows, region, seed in ((0, 8, 200_000, 15, 4), (3, 1, 200_000, 7, 5), (3, 3, 20, 8, 6), (512, 2, 20, 5, 7)):
         monkeypatch.setattr(S, "HOT", hot)
+        monkeypatch.setattr(S, "HOT_BATCH", batch)
+        monkeypatch.setattr(S, "MOST_ROWS", rows)
+        monkeypatch.setattr(S, "REGION", region)
         r = random.Random(seed)
         passage = "".join(r.choice("abcdefgh ") for _ in range(260))
         docs = some_docs(seed) + [(100 + i, "".join(r.choice("xyz") for _ in range(r.randint(0, 60))) + passage + "".join(r.choice("xyz") for _ in range(r.randint(0, 60)))) for i in range(60)]
@@ -142,3 +147,45 @@ def test_parts_of_long_texts_hold_each_start_once(monkeypatch):
     for most in (100, 101, 333):
         monkeypatch.setattr(S, "MOST_BYTES", most)
         assert each(S.runs(raw, off, 100)) == whole
+
+
+def nothing(contexts, doc, start, length):
+    return []
+
+
+def test_only_the_transform_decides(spark, monkeypatch):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    monkeypatch.setattr(S, "repeated", nothing)
+    df = spark.createDataFrame(some_docs(1), "doc_id long, text string").repartition(3)
+    assert all(not r["_spans"] for r in S.drop_repeats(df).collect())
+
+
+def test_many_copies(spark, monkeypatch):
+    t = some_docs(3)[5][1] * 3
+    docs = [(i, t if i % 3 else t[:400] + "Q" + t[400:]) for i in range(90)]
+    want = brute([(d, x.encode()) for d, x in docs], 100)
+    for rows in (200_000, 30):
+        monkeypatch.setattr(S, "MOST_ROWS", rows)
+        got = {r["doc_id"]: (bytes(r["_kept"]), len(r["_spans"]), r["_size"]) for r in S.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()}
+        assert got == want
+
+
+def test_one_id_with_different_texts(spark):
+    r = random.Random(8)
+    p, x, y = ("".join(r.choice("abcdefghij ") for _ in range(300)) for _ in range(3))
+    df = spark.createDataFrame([(1, p), (2, p + x), (2, y + y), (None, y), (None, y)], "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), r["text"], bytes(r["_kept"]).decode()) for r in S.drop_repeats(df).collect())
+    assert [(i, k) for i, t, k in got if i == "1"] == [("1", p)]
+    assert ("2", p + x, x) in got and ("2", y + y, "") in got
+    assert sorted(k for i, _, k in got if i == "None") == ["", y]
+    text = spark.createDataFrame([("b", p), ("a", p), ("a", x + p)], "doc_id string, text string")
+    kept = {(r["doc_id"], r["text"]): bytes(r["_kept"]).decode() for r in S.drop_repeats(text).collect()}
+    assert kept["b", p] == "" and sorted((kept["a", p] == p, kept["a", x + p] == x + p)) == [False, True]
+
+
+def test_text_of_20_mib(spark):
+    raw = np.random.default_rng(3).integers(97, 123, 20 << 20).astype(np.uint8)
+    raw[17_000_000:17_100_000] = raw[5000:105_000]
+    df = spark.createDataFrame([(1, raw.tobytes().decode()), (2, raw[19_000_000:19_000_500].tobytes().decode())], "doc_id long, text string")
+    got = {r["doc_id"]: r["_spans"] for r in S.drop_repeats(df).select("doc_id", "_spans").collect()}
+    assert [(s["from"], s["to"]) for s in got[1]] == [(17_000_000, 17_100_000)] and [(s["from"], s["to"]) for s in got[2]] == [(0, 500)]
