@@ -34,12 +34,12 @@ from corpusloom.llm.common import dealt, materialize, slices, text_bytes
 
 GRAM = 16
 #: Bytes of contexts that one transform covers.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 #: Bytes whose anchors are found at once, under 2^24; longer texts go as overlapping parts.
 MOST_BYTES = 1 << 22
 #: Contexts of an anchor beyond which it is hot: in one batch, and in one task. Starts in a piece
 #: of a hot one's context.
-HOT_BATCH, HOT, PIECE = 8, 512, 4
+HOT_BATCH, HOT, PIECE = 32, 512, 4
 #: Rows of one anchor beyond which a task doesn't hold them together.
 MOST_ROWS = 200_000
 #: Starts of a first copy whose runs share a block, as a power of two.
@@ -129,9 +129,9 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     diff = sorted_key[1:] ^ sorted_key[:-1]
     lcp = np.full(n + 1, -1, np.int16)
     lcp[0] = lcp[n] = 0
-    for k in range(8):
-        lcp[1:n][(lcp[1:n] < 0) & (diff >> np.uint64(56 - 8 * k) != 0)] = k
     new = np.concatenate(([True], diff != 0))
+    apart = np.flatnonzero(diff)
+    lcp[1 + apart] = 7 - np.searchsorted(np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64), diff[apart], side="right")
     rank = np.empty(n, np.int64)
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = start
@@ -210,30 +210,31 @@ def repeated(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, length:
     text[off + sizes] = 0
     order, lcp = common_prefixes(text, length)
     n = len(text)
-    same = lcp[1:n] < 0
-    group = np.concatenate(([0], np.cumsum(~same)))
-    many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    who, group = order[many], group[many]
-    ctx = np.searchsorted(off, who, side="right") - 1
-    rel = who - off[ctx]
-    fit = rel + length <= sizes[ctx]
-    ctx, rel, group = ctx[fit], rel[fit], group[fit]
-    if not len(ctx):
+    broken = np.flatnonzero(lcp[:n] >= 0)  # first places of intervals of strings
+    many = np.diff(np.append(broken, n)) > 1
+    if not many.any():
         return []
-    by = np.lexsort((start[ctx] + rel, doc[ctx], group))
-    ctx, rel, group = ctx[by], rel[by], group[by]
-    lead = np.concatenate(([True], group[1:] != group[:-1]))
-    place = start[ctx] + rel
-    head = np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))
-    later = (doc[ctx] != doc[ctx[head]]) | (place != place[head])
-    ctx, rel = ctx[later], rel[later]
-    by = np.lexsort((rel, ctx))
-    ctx, rel = ctx[by], rel[by]
-    if not len(ctx):
+    left = broken[many]
+    size = np.append(broken, n)[1:][many] - left
+    begin = np.cumsum(size) - size
+    who = order[np.arange(int(size.sum())) + np.repeat(left - begin, size)]
+    ctx = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[who]
+    _, number = np.unique(doc, return_inverse=True)
+    # the earliest by document, then place; strings that run over a context's end don't count
+    when = (number[ctx].astype(np.int64) << 40) + start[ctx] + who - off[ctx]
+    fit = who + length <= (off + sizes)[ctx]
+    when = np.where(fit, when, np.iinfo(np.int64).max)
+    later = fit & (when != np.repeat(np.minimum.reduceat(when, begin), size))
+    gone = np.zeros(n, bool)
+    gone[who[later]] = True
+    at = np.flatnonzero(gone)
+    if not len(at):
         return []
-    new = np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (rel[1:] != rel[:-1] + 1)))
-    last = np.concatenate((rel[np.flatnonzero(new)[1:] - 1], rel[-1:]))
-    return list(zip(ctx[new].tolist(), rel[new].tolist(), last.tolist(), strict=True))
+    ctx = np.searchsorted(off, at, side="right") - 1
+    new = np.concatenate(([True], at[1:] != at[:-1] + 1))  # a context's last bytes start no string
+    last = np.concatenate((at[np.flatnonzero(new)[1:] - 1], at[-1:]))
+    ctx = ctx[new]
+    return list(zip(ctx.tolist(), (at[new] - off[ctx]).tolist(), (last - off[ctx]).tolist(), strict=True))
 
 
 def removals(docs: DataFrame, length: int = 100) -> DataFrame:
