@@ -16,8 +16,9 @@ HEADING_CHARS = 150
 
 def backfill_positive(df: DataFrame, group: list[str], order: list[str], col: str, out: str | None = None) -> DataFrame:
     """Values of 0 or less take the next positive one in order; if none follows they stay."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ahead = F.first(F.when(F.col(col) > 0, F.col(col)), ignorenulls=True).over(w)
+    # from the end, so that the frame only grows
+    w = Window.partitionBy(*group).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = F.last(F.when(F.col(col) > 0, F.col(col)), ignorenulls=True).over(w)
     return df.withColumn(out or col, F.coalesce(ahead, F.col(col)))
 
 

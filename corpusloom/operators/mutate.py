@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.rank import latest_per_key
+from corpusloom.operators.rank import first_by_key, latest_per_key
 
 
 def with_id(rows: DataFrame, *natural: str, out: str = "id") -> DataFrame:
@@ -14,18 +14,33 @@ def with_id(rows: DataFrame, *natural: str, out: str = "id") -> DataFrame:
 
 
 def append(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Both tables' rows; columns that one lacks are null there. No rows change nothing."""
     return table.unionByName(rows, allowMissingColumns=True)
 
 
+def _first(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The first row of each key by all columns, so that it doesn't depend on partitions."""
+    return first_by_key(rows, [F.col(k) for k in key], [F.col(c) for c in rows.columns])
+
+
+def without(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key is not among those of others; null keys are equal."""
+    keys = others.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key))).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    return rows.join(keys, same, "left_anti")
+
+
 def insert_ignore(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Adds rows whose key isn't there yet, the first of each key."""
-    return append(table, rows.dropDuplicates(key).join(table.select(key), key, "left_anti"))
+    """Adds rows whose key isn't there yet, the first of each key by all their columns in
+    order; null keys are equal."""
+    return append(table, without(_first(rows, key), table, key))
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
-    """Rows replace those of their key; of several with one key the latest by order."""
-    new = latest_per_key(rows, key, order) if order else rows.dropDuplicates(key)
-    return append(table.join(new.select(key), key, "left_anti"), new)
+    """Rows replace those of their key; of several with one key the latest by order, or, with
+    no order, the first by all their columns. Null keys are equal."""
+    new = latest_per_key(rows, key, order) if order else _first(rows, key)
+    return append(without(table, new, key), new)
 
 
 def upsert_keep_id(table: DataFrame, rows: DataFrame, key: list[str], id_col: str = "id") -> DataFrame:
@@ -37,7 +52,7 @@ def upsert_keep_id(table: DataFrame, rows: DataFrame, key: list[str], id_col: st
 
 def replace_by_key(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """All rows of the keys in `rows` go, then rows are added."""
-    return append(table.join(rows.select(key).distinct(), key, "left_anti"), rows)
+    return append(without(table, rows, key), rows)
 
 
 def set_where(table: DataFrame, match: Column, values: dict[str, Column]) -> DataFrame:

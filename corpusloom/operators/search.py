@@ -17,8 +17,8 @@ CONCEPT_ALIASES = {
     "nyquist": ["nyquist criterion", "nyquist plot", "nyquist stability"],
     "root locus": ["root-locus", "rl"],
 }
-#: Keywords beyond this are joined without a broadcast hint; the planner decides then.
-BROADCAST_KEYWORDS = 10_000
+#: Keywords that one search may have.
+MOST_KEYWORDS = 10_000
 
 
 def concept_aliases(spark: SparkSession) -> DataFrame:
@@ -40,12 +40,14 @@ def expand_keywords(keywords: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def keyword_hits(docs: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
-    """Documents x keywords that they hold, ignoring case, word ends or not. The keywords are
-    a query's, so few; the text is lower-cased once a document, before they meet."""
-    kw = keywords.select("keyword")
-    few = F.broadcast(kw) if len(kw.take(BROADCAST_KEYWORDS + 1)) <= BROADCAST_KEYWORDS else kw
-    low = docs.withColumn("_low", F.lower(text))
-    return low.join(few, F.contains("_low", "keyword")).drop("_low")
+    """Documents x keywords that they hold, ignoring case, word ends or not; repeated keywords
+    count once. The keywords are a query's, so few: they come as one array (a scalar
+    subquery that fails beyond MOST_KEYWORDS), each text is lower-cased once and tried with
+    all of them, and only hits make rows. No join takes place."""
+    held = F.array_sort(F.collect_set("keyword"))
+    few = keywords.agg(F.when(F.size(held) > MOST_KEYWORDS, F.raise_error(F.lit(f"more than {MOST_KEYWORDS} keywords"))).otherwise(held)).scalar()
+    low = docs.withColumns({"_low": F.lower(text), "_few": few}).withColumn("_hits", F.filter("_few", lambda k: F.contains(F.col("_low"), k)))
+    return low.where(F.size("_hits") > 0).withColumn("keyword", F.explode("_hits")).drop("_low", "_few", "_hits")
 
 
 def in_library(source: Column, library: str | None, math: str = "math_library") -> Column:
@@ -55,10 +57,12 @@ def in_library(source: Column, library: str | None, math: str = "math_library")
 
 def snippet(text: Column, keyword: Column, around: int = 2) -> Column:
     """The first line that holds the keyword, with the lines around it; null if none does."""
-    lines = F.split(text, "\n")
-    at = F.array_position(F.transform(lines, lambda x: F.contains(F.lower(x), keyword)), True).cast("int")
-    start = F.greatest(at - around, F.lit(1))
-    return F.when(at > 0, F.array_join(F.slice(lines, start, at + around - start + 1), "\n"))
+    low = F.lower(text)
+    at = F.position(keyword, low)
+    above = F.substring(low, F.lit(1), at)  # up to the hit's first character
+    line = F.length(above) - F.length(F.replace(above, F.lit("\n"), F.lit(""))) + 1
+    start = F.greatest(line - around, F.lit(1))
+    return F.when((at > 0) & ~F.contains(keyword, F.lit("\n")), F.array_join(F.slice(F.split(text, "\n"), start, line + around - start + 1), "\n"))
 
 
 def matched_lines(text: Column, keyword: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names and types of tables and columns.
 TABLES = {
     "courses": "id string, name string, created_at string",
     "textbooks": "id string, title string, filepath string, course string, library_type string, processed_at string, created_at string",
@@ -22,7 +23,7 @@ TABLES = {
     "settings": "key string, value string, updated_at string",
 }
 
-#: Columns that came later, with what old rows get.
+# Columns that came later, with what old rows get.
 ADDED: list[tuple[str, str, str, object]] = [
     ("textbooks", "course_id", "string", None),
     ("textbooks", "pipeline_status", "string", "uploaded"),

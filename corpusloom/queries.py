@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import graph, interval, islands, mutate, rank, search, tree
+from corpusloom.functions import records
+from corpusloom.operators import graph, interval, islands, mutate, rank, scans, search, tree
 from corpusloom.plans import relevance, toc
 from corpusloom.sinks.files import folder_of
 from corpusloom.sources import files
@@ -408,10 +409,10 @@ def _(t):
     return interval.assign_deepest(points(t), intervals(t), ["grp"], "page", "lo", "hi", "level", "sec").select("o_orderkey", "sec")
 
 
-@query("jn04_flt08_range_children", "SELECT a.p_partkey AS parent, b.p_partkey AS child FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size BETWEEN a.p_size AND a.p_size + 4 WHERE a.p_partkey % 3 = 0 AND b.p_partkey % 3 = 1")
+@query("jn04_flt08_range_children", "SELECT a.p_partkey AS parent, b.p_partkey AS child FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size BETWEEN a.p_size AND a.p_size + 4")
 def _(t):
-    up = t.part.where("p_partkey % 3 = 0").select("p_brand", F.col("p_partkey").alias("parent"), F.col("p_size").alias("lo"), (F.col("p_size") + 4).alias("hi"))
-    low = t.part.where("p_partkey % 3 = 1").select("p_brand", F.col("p_partkey").alias("child"), F.col("p_size").alias("page"))
+    up = t.part.select("p_brand", F.col("p_partkey").alias("parent"), F.col("p_size").alias("lo"), (F.col("p_size") + 4).alias("hi"))
+    low = t.part.select("p_brand", F.col("p_partkey").alias("child"), F.col("p_size").alias("page"))
     return interval.range_children(up, low, ["p_brand"], "lo", "hi", "page", "parent").select("parent", "child")
 
 
@@ -462,9 +463,9 @@ def _(t):
     return graph.incidence(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey"), 7, "l_partkey", "l_suppkey")
 
 
-@query("jn13_agg06_cooccurrence", "WITH m AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_partkey % 20 = 0) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2")
+@query("jn13_agg06_cooccurrence", "WITH m AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2")
 def _(t):
-    return graph.co_occurrence(t.lineitem.where("l_partkey % 20 = 0"), "l_partkey", "l_orderkey")
+    return graph.co_occurrence(t.lineitem, "l_partkey", "l_orderkey")
 
 
 @query("jn13_agg06_cooccurrence_whole", "WITH m AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) SELECT x.l_partkey AS a, y.l_partkey AS b, count(*) AS n FROM m x JOIN m y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2")
@@ -886,7 +887,192 @@ def _(t):
     return t.part.select("p_partkey", T.path_title(path).alias("title"), T.ensure_suffix(F.when(k % 3 == 0, "x note").otherwise(F.col("p_name")), "note").alias("told"), T.safe_link(link, "https://example.org").alias("link"))
 
 
-@query("fn10_fn13_equation_variables")
+# the variables that the equation below has, in the order of the steps: of the derivative, with
+# subscripts, single letters
+@query("fn10_fn13_equation_variables", "SELECT p_partkey, 'f,x,omega_c,T_' || (p_partkey % 7) || ',g,y' AS variables, true AS is_parseable FROM part")
 def _(t):
     eq = F.concat(F.lit(r"$$\omega_{c} = \sqrt{g/y} + T_{"), (F.col("p_partkey") % 7).cast("string"), F.lit(r"} \frac{\partial f}{\partial x}$$"))
     return t.part.select("p_partkey", T.parse_equation(eq).alias("e")).select("p_partkey", F.array_join("e.variables", ",").alias("variables"), "e.is_parseable")
+
+
+# --- scans by key, guards and records ---
+
+
+@query("src04_by_key_in_order", "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber)::BIGINT AS position FROM lineitem")
+def _(t):
+    return scans.positions(t.lineitem, ["l_orderkey"], [F.col("l_partkey"), F.col("l_linenumber")]).select("l_orderkey", "l_linenumber", "l_partkey", "position")
+
+
+@query("src05_by_key", "SELECT event_id, event_type FROM events WHERE user_id = 7")
+def _(t):
+    return scans.lookup(t.events, user_id=7).select("event_id", "event_type")
+
+
+@query("src08_children_of_parent", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey)::BIGINT AS position FROM customer WHERE c_nationkey = 3")
+def _(t):
+    return scans.positions(scans.lookup(t.customer, c_nationkey=3), ["c_nationkey"], [F.col("c_custkey")]).select("c_custkey", "position")
+
+
+@query("src12_relevance_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 3, p_size, p_partkey)::BIGINT AS position FROM part")
+def _(t):
+    return scans.positions(t.part, ["p_brand"], [F.col("p_partkey") % 3, F.col("p_size"), F.col("p_partkey")]).select("p_partkey", "position")
+
+
+@query("src13_optional_level", "SELECT doc_id, 'one' AS q FROM documents WHERE source = 'src1' AND lang = 'en' UNION ALL SELECT doc_id, 'any' FROM documents WHERE source = 'src1'")
+def _(t):
+    one, every = scans.lookup(t.documents, source="src1", lang="en"), scans.lookup(t.documents, source="src1", lang=None)
+    return one.select("doc_id", F.lit("one").alias("q")).unionByName(every.select("doc_id", F.lit("any").alias("q")))
+
+
+@query("src17_summary_by_key", "SELECT doc_id, quality, toxic FROM labels WHERE doc_id = 8")
+def _(t):
+    return scans.lookup(t.labels, doc_id=8).select("doc_id", "quality", "toxic")
+
+
+@query("src21_bookmarks", "SELECT n_nationkey AS book, 0::BIGINT AS pos, 1::BIGINT AS level, n_name AS title, (n_nationkey + 1)::BIGINT AS page FROM nation UNION ALL SELECT n_nationkey, 2, 2, 'Part', (n_nationkey + 5)::BIGINT FROM nation")
+def _(t):
+    outline = F.concat(F.lit('[[1, "'), F.col("n_name"), F.lit('", '), (F.col("n_nationkey") + 1).cast("string"), F.lit('], ["x"], [2, "Part", '), (F.col("n_nationkey") + 5).cast("string"), F.lit("]]"))
+    return records.bookmarks(t.nation.select(F.col("n_nationkey").alias("book"), outline.alias("outline")), ["book"], "outline")
+
+
+@query("src22_page_range_text", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn BETWEEN 1 AND 3 GROUP BY conv_id")
+def _(t):
+    return records.pages_text(t.conversations, ["conv_id"], "turn", "text", F.lit(1), F.lit(3))
+
+
+ROUTED_SQL = "WITH e AS (SELECT l_orderkey % 10 AS grp, l_orderkey, l_linenumber, l_partkey, l_partkey % 40 AS page, CASE l_suppkey % 5 WHEN 0 THEN 'discarded' WHEN 1 THEN 'image' WHEN 2 THEN 'header' WHEN 3 THEN 'table' ELSE 'text' END AS type FROM lineitem), c AS (SELECT g.range AS grp, i.range AS chapter, i.range * 8 AS lo, i.range * 8 + 9 AS hi FROM range(10) g, range(5) i) SELECT l_orderkey, l_linenumber, l_partkey, chapter, CASE WHEN type = 'image' THEN 'figure' ELSE type END AS content_type FROM (SELECT e.*, chapter, row_number() OVER (PARTITION BY e.grp, l_orderkey, l_linenumber, l_partkey, page, type ORDER BY lo) AS n FROM e JOIN c ON e.grp = c.grp AND page BETWEEN lo AND hi) WHERE n = 1 AND type IN ('text', 'table', 'image')"
+
+
+@query("src24_routed_to_chapters", ROUTED_SQL)
+def _(t):
+    kinds = F.element_at(F.array(*map(F.lit, ("discarded", "image", "header", "table", "text"))), (F.col("l_suppkey") % 5 + 1).cast("int"))
+    e = t.lineitem.select((F.col("l_orderkey") % 10).alias("grp"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 40).alias("page"), files.content_type(kinds).alias("content_type")).where("content_type IS NOT NULL").distinct()
+    c = t.rows([(g, i, i * 8, i * 8 + 9) for g in range(10) for i in range(5)], "grp long, chapter long, lo long, hi long")
+    return interval.assign_first(e, c, ["grp"], "page", "lo", "hi", "chapter").select("l_orderkey", "l_linenumber", "l_partkey", "chapter", "content_type")
+
+
+@query("src27_src29_reader_by_suffix", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'docx' WHEN 1 THEN NULL WHEN 2 THEN 'md' ELSE NULL END AS reader FROM part")
+def _(t):
+    path = F.concat(F.lit("/in/a.b/"), F.col("p_partkey").cast("string"), F.element_at(F.array(*map(F.lit, (".DocX", ".pdf", ".md", "/noext"))), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return t.part.select("p_partkey", records.reader_for(path).alias("reader"))
+
+
+@query("snk06_append_nothing", "SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
+def _(t):
+    have = t.supplier.select("s_suppkey", "s_name")
+    new = t.customer.select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"))
+    return mutate.append(mutate.append(have, new.where("false")), new)
+
+
+@query("snk17_page_cache", "SELECT conv_id, '{' || string_agg('\"' || turn || '\":\"' || role || '\"', ',' ORDER BY turn) || '}' AS cache FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY conv_id")
+def _(t):
+    return records.page_cache(t.conversations.select("conv_id", "turn", "role").distinct(), ["conv_id"], "turn", "role")
+
+
+@query("prj02_camel_case", 'SELECT c_custkey AS "cCustkey", c_name AS "cName" FROM customer')
+def _(t):
+    return scans.camel_case(t.customer.select("c_custkey", "c_name"))
+
+
+@query("prj04_progress_status", "SELECT d.doc_id, coalesce(CASE WHEN toxic = 0 THEN 'done' END, 'pending') AS status FROM documents d LEFT JOIN labels USING (doc_id)")
+def _(t):
+    return scans.with_status(t.documents.select("doc_id"), t.labels.select("doc_id", F.when(F.col("toxic") == 0, "done").alias("status")), "doc_id", "status", "pending")
+
+
+@query("prj10_topics_or_empty", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS topics FROM customer")
+def _(t):
+    raw = F.when(F.col("c_custkey") % 3 == 0, "not json").otherwise(F.concat(F.lit('[{"title": "'), "c_name", F.lit('"}]')))
+    return t.customer.select("c_custkey", F.array_join(F.transform(T.parse_json_list(raw, "struct<title: string>"), lambda x: x["title"]), ",").alias("topics"))
+
+
+@query("prj12_typed_description", "SELECT p_partkey, p_name AS summary, 'a:' || CASE WHEN p_partkey % 2 = 0 THEN 'EXPLAINS' ELSE 'USES' END || ':0' AS concepts FROM part")
+def _(t):
+    made = F.concat(F.lit('```json\n{"summary": "'), "p_name", F.lit('", "key_concepts": [{"name": "a", "classification": "'), F.when(F.col("p_partkey") % 2 == 0, "explains").otherwise("other"), F.lit('"}, {"name": ""}]}\n```'))
+    d = t.part.select("p_partkey", records.typed_description(made).alias("d"))
+    return d.select("p_partkey", "d.summary", F.array_join(F.transform("d.key_concepts", lambda x: F.concat_ws(":", x["name"], x["classification"], F.size(x["aliases"]).cast("string"))), ",").alias("concepts"))
+
+
+@query("prj13_flow_nodes", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'chapterNode' WHEN 1 THEN 'sectionNode' ELSE 'conceptNode' END AS type, replace(p_name, ' ', ' ') AS label FROM part")
+def _(t):
+    level = F.element_at(F.array(*map(F.lit, ("chapter", "section", "other"))), (F.col("p_size") % 3 + 1).cast("int"))
+    return scans.flow_nodes(t.part.select("p_partkey", level.alias("level"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("title")), "level", "title").select("p_partkey", "type", "label")
+
+
+@query("flt01_null_or_blank", "SELECT c_custkey FROM customer WHERE c_nationkey = 4 AND (nullif(c_mktsegment, 'BUILDING') IS NULL OR c_mktsegment = '')")
+def _(t):
+    return scans.lookup(t.customer, c_nationkey=4).where(scans.blank(F.nullif("c_mktsegment", F.lit("BUILDING")))).select("c_custkey")
+
+
+@query("flt02_in_set", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def _(t):
+    return scans.in_set(t.orders.select("o_orderkey", "o_custkey"), t.customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("flt11_split_by_class", "SELECT doc_id, quality::BIGINT AS kind FROM labels WHERE quality IN (0, 1)")
+def _(t):
+    parts = scans.split_by(t.labels, "quality", [0, 1])
+    return parts[0].select("doc_id", F.lit(0).cast("long").alias("kind")).unionByName(parts[1].select("doc_id", F.lit(1).cast("long").alias("kind")))
+
+
+@query("flt13_status_differs", "SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'P') IS DISTINCT FROM 'F'")
+def _(t):
+    return t.orders.where(scans.differs(F.nullif("o_orderstatus", F.lit("P")), "F")).select("o_orderkey")
+
+
+@query("flt20_state_guard", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'expected O, is ' || o_orderstatus END AS rejected FROM orders")
+def _(t):
+    return scans.guard(t.orders, "o_orderstatus", "O").select("o_orderkey", "rejected")
+
+
+@query("flt21_extracted_only", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+def _(t):
+    return scans.in_set(t.documents, scans.lookup(t.labels, quality=1), "doc_id").select("doc_id")
+
+
+@query("ord01_mixed_directions", "SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_suppkey, l_linenumber DESC)::BIGINT AS position FROM lineitem")
+def _(t):
+    return scans.positions(t.lineitem, ["l_orderkey"], [F.desc("l_quantity"), F.col("l_suppkey"), F.desc("l_linenumber")]).select("l_orderkey", "l_linenumber", "l_suppkey", "position")
+
+
+@query("ord04_by_page", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey)::BIGINT AS position FROM part")
+def _(t):
+    return scans.positions(t.part, ["p_brand"], [F.col("p_size"), F.col("p_partkey")]).select("p_partkey", "position")
+
+
+@query("ord05_by_path", "SELECT page_id, row_number() OVER (PARTITION BY lang ORDER BY url, page_id)::BIGINT AS position FROM (SELECT page_id, url, coalesce(regexp_extract(html, 'lang=.(..)', 1), '') AS lang FROM pages)")
+def _(t):
+    return scans.positions(t.pages.select("page_id", "url", F.coalesce(F.regexp_extract("html", "lang=.(..)", 1), F.lit("")).alias("lang")), ["lang"], [F.col("url"), F.col("page_id")]).select("page_id", "position")
+
+
+@query("lim03_top_five_parents", "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n <= 5")
+def _(t):
+    return rank.top_n(t.customer, ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 5).select("c_nationkey", "c_custkey")
+
+
+@query("lim04_first_pages", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) WHERE n <= 3")
+def _(t):
+    return rank.top_n(t.conversations, ["conv_id"], [F.col("turn"), F.col("role"), F.col("text")], 3).select("conv_id", "turn")
+
+
+@query("set03_union_of_lists", "SELECT c_nationkey AS k, c_custkey AS id FROM customer UNION ALL SELECT s_nationkey, s_suppkey FROM supplier UNION ALL SELECT s_nationkey, s_suppkey FROM supplier")
+def _(t):
+    s = t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"))
+    return mutate.append(mutate.append(t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id")), s), s)
+
+
+@query("fn27_prompt", "SELECT p_partkey, 'Rate ' || p_name || ' (' || p_size || '): ' || p_name || '.' AS prompt FROM part")
+def _(t):
+    return t.part.select("p_partkey", records.fill("Rate {name} ({size}): {name}.", name=F.col("p_name"), size=F.col("p_size")).alias("prompt"))
+
+
+@query("fn29_fn30_numbers_lists", "SELECT p_partkey, abs(p_size - 25)::BIGINT AS gap, greatest(p_size, 10)::BIGINT AS most, least(p_size, 10)::BIGINT AS few, CASE WHEN p_brand = p_type THEN p_brand ELSE p_brand || '|' || p_type END AS names FROM part")
+def _(t):
+    size = F.col("p_size").cast("long")
+    names = F.array(F.col("p_brand"), F.lit(" "), F.col("p_type"), F.col("p_brand"), F.lit(None))
+    return t.part.select("p_partkey", F.abs(size - 25).alias("gap"), F.greatest(size, F.lit(10).cast("long")).alias("most"), F.least(size, F.lit(10).cast("long")).alias("few"), F.array_join(records.distinct_in_order(names), "|").alias("names"))
+
+
+@query("fn31_data_url", "SELECT p_partkey, 'data:image/' || CASE p_partkey % 3 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' ELSE 'png' END || ';base64,' || base64(encode(p_name)) AS url FROM part")
+def _(t):
+    suffix = F.element_at(F.array(*map(F.lit, ("JPG", "png", "bmp"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return t.part.select("p_partkey", records.data_url(F.encode("p_name", "UTF-8"), suffix).alias("url"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.mutate import without
+from corpusloom.operators.rank import first_by_key
+
 # Folders of the kinds of material.
 CATEGORIES = {"lecture_slides": "lectures", "tutorial_questions": "tutorials", "tutorial_solutions": "tutorials/solutions", "past_exam_papers": "exams", "lab_manual": "labs", "reference_notes": "notes", "other": "other"}
 
@@ -15,6 +18,7 @@ def folder_of(category: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, category), F.lit("other"))
 
 
+# The headings and line forms of a description; what is written must be read back.
 def description_md(d: Column) -> Column:
     """A chapter description (struct) as Markdown; what `description_from_md` reads."""
     aliases = lambda c: F.when(F.size(c["aliases"]) > 0, F.concat(F.lit(" (aliases: "), F.array_join(c["aliases"], ", "), F.lit(")"))).otherwise("")
@@ -61,8 +65,14 @@ def write_content(entries: DataFrame, folder: str) -> None:
 
 
 def write_new_files(files: DataFrame, there: DataFrame, folder: str) -> None:
-    """Files (name, category, content) by folder, but none whose name is there."""
-    files.dropDuplicates(["name"]).join(there.select("name"), "name", "left_anti").withColumn("folder", folder_of(F.col("category"))).write.mode("append").partitionBy("folder").parquet(folder)
+    """Files (name, category, content) by folder, but none whose name is there; of several
+    with one name the first by category, then content."""
+    without(first_by_key(files, [F.col("name")], [F.col("category"), F.col("content")]), there, ["name"]).withColumn("folder", folder_of(F.col("category"))).write.mode("append").partitionBy("folder").parquet(folder)
+
+
+def write_chapters(chapters: DataFrame, folder: str) -> None:
+    """Chapters (book, number, content): a text file each, in a folder of book and number."""
+    chapters.select("book", "number", "content").repartition("book", "number").write.mode("append").partitionBy("book", "number").option("lineSep", "\n").text(folder)
 
 
 def log_lines(rows: DataFrame) -> DataFrame:
