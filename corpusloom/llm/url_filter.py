@@ -1,13 +1,15 @@
 """URL filters: rules first, then segmented words scored by naive Bayes.
 
-Host labels and path tokens are split into words by a unigram Viterbi search over word
-counts taken from the titles of all pages; a multinomial naive Bayes model, counted over
-all urls that a rule decides and a stated list of seed words, judges the rest. Lexicon and
-model are of bounded size and are broadcast; each task splits a repeated name once.
+Host labels and path tokens are split into words by a unigram Viterbi search over the counts
+of all words in the visible text of all pages; a multinomial naive Bayes model, counted over
+the tokens of all urls that a rule decides, judges the rest. Word counts are a count-min
+sketch, tokens are hashed: both are of a fixed size whatever the corpus, so they can be
+broadcast, and no word or token is left out. Each task splits a repeated name once.
 """
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections import Counter
@@ -15,17 +17,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept in the lexicon (the most frequent ones), and tokens kept in the model.
-LEXICON_WORDS, MODEL_TOKENS = 50_000, 50_000
-LONGEST = 24
-#: Words that speak for blocking before any url is seen, each counted SEED_COUNT times.
-SEEDS = ("adult", "bet", "casino", "cheap", "cialis", "crack", "farm", "gambling", "hack", "keygen", "loan", "pills", "poker", "porn", "sex", "slots", "spam", "torrent", "viagra", "warez", "xxx")
-SEED_COUNT = 100
-MOST_RULES = 1000
+#: Buckets of the word counts, in each of ROWS rows; the estimate is the least of a word's
+#: buckets, never under its count, and over it by 2.8 / WORD_BUCKETS of all words with a chance
+#: of 0.14 at most. Buckets of the tokens.
+WORD_BUCKETS, ROWS, TOKEN_BUCKETS = 1 << 21, 2, 1 << 20
+#: Characters of the longest word that a name is searched for.
+LONGEST = 64
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -37,29 +40,66 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, else nulls. rules: (verdict, host and
-    path as one string); a rule fits its host and all subdomains where the path starts with
-    the rule's. At most MOST_RULES rules."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
-        h, slash, p = rule.partition("/")
-        fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(slash + p))
-        name, verdict = F.when(fits, F.lit(rule)).otherwise(name), F.when(fits, F.lit(what)).otherwise(verdict)
-    return name, verdict
+def rule_table(rules: list[tuple[str, str]]) -> dict[str, list[tuple[int, str, str, str]]]:
+    """Rules by host: (length, rule, verdict, path), the longest first."""
+    table: dict[str, list] = {}
+    for what, rule in rules:
+        host, slash, path = rule.partition("/")
+        table.setdefault(host, []).append((len(rule), rule, what, slash + path))
+    return {h: sorted(set(rs), reverse=True) for h, rs in table.items()}
+
+
+def find_rule(table: dict, host: str, path: str) -> tuple[str | None, str | None]:
+    """(rule, verdict) of the longest rule that fits, found by the host and the names above it."""
+    best, at = None, 0
+    while at >= 0:
+        for r in table.get(host[at:], ()):
+            if path.startswith(r[3]):
+                best = max(best or r, r)
+                break
+        at = host.find(".", at) + 1 or -1
+    return (best[1], best[2]) if best else (None, None)
+
+
+def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
+    """struct(rule, verdict) of the longest rule that fits, else of nulls. rules: (verdict, host
+    and path as one string), any number; a rule fits its host and all subdomains where the path
+    starts with the rule's."""
+    table = rule_table(rules)
+
+    @F.pandas_udf("struct<rule: string, verdict: string>")
+    def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([find_rule(table, h, p) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict"], dtype=object)
+
+    return judge(host, path)
+
+
+def word_buckets(word: str) -> list[int]:
+    """The word's place in each row of the sketch."""
+    h = xxhash.xxh3_64_intdigest(word)
+    return [row * WORD_BUCKETS + ((h >> (32 * row)) & 0xFFFFFFFF) % WORD_BUCKETS for row in range(ROWS)]
 
 
 @dataclass
 class Lexicon:
-    """Log-probabilities of words; an unknown piece of n characters costs as much as n rare
-    letters, so it wins only where no words fit."""
+    """Log-probabilities of words; a character that no word covers costs as much as a rare
+    word, so it wins only where no words fit."""
 
-    cost: dict[str, float]
-    unknown: float
-    longest: int
+    counts: np.ndarray  # the sketch, rows one after the other
+    total: int
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    costs: dict[str, float | None] = field(default_factory=dict)
+
+    @property
+    def unknown(self) -> float:
+        return math.log(0.1 / max(1, self.total))
+
+    def cost(self, word: str) -> float | None:
+        """Of a word of two letters or more that occurs; null of any other."""
+        if word not in self.costs:
+            n = min(self.counts[b] for b in word_buckets(word)) if len(word) > 1 else 0
+            self.costs[word] = math.log(n / self.total) - 0.1 if n else None
+        return self.costs[word]
 
     def split(self, name: str) -> tuple[str, ...]:
         """The likeliest words of a name; ties go to the longer last word. Runs of characters
@@ -69,8 +109,8 @@ class Lexicon:
         n = len(name)
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                c = self.cost.get(name[i:j])
+            for i in range(max(0, j - LONGEST), j):
+                c = self.cost(name[i:j])
                 if c is None:
                     if j - i > 1:
                         continue
@@ -80,29 +120,55 @@ class Lexicon:
         words, j = [], n
         while j:
             i = back[j]
-            known = name[i:j] in self.cost
+            known = self.cost(name[i:j]) is not None
             if words and not known and not words[-1][1]:
                 words[-1] = (name[i:j] + words[-1][0], False)
             else:
                 words.append((name[i:j], known))
             j = i
-        if len(self.memo) > 100_000:
+        if len(self.costs) > 500_000:
             self.memo.clear()
+            self.costs.clear()
         self.memo[name] = tuple(w for w, _ in reversed(words))
         return self.memo[name]
 
 
-def fit_lexicon(pages: DataFrame, html_col: str = "html", words: int = LEXICON_WORDS) -> Lexicon:
-    """Word counts over the titles of all pages; the `words` most frequent (ties by word)."""
-    title = F.substring_index(F.substring_index(F.col(html_col), "</title>", 1), "<title>", -1)
-    title = F.when(F.instr(F.col(html_col), "<title>") > 0, title)
-    found = pages.select(F.explode(F.regexp_extract_all(F.lower(title), F.lit(r"(\p{L}{2,24})"), 1)).alias("w"))
-    counts = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(words).collect()
-    have = Counter({r["w"]: r["n"] for r in counts})
-    for s in SEEDS:
-        have[s] += SEED_COUNT
-    total = sum(have.values())
-    return Lexicon({w: math.log(n / total) - 0.1 for w, n in have.items()}, math.log(0.1 / total), max(map(len, have)))
+_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>")
+_WORD = re.compile(r"[^\W\d_]{2,}")
+
+
+def page_words(page: str) -> list[str]:
+    """Words of a page's visible text: runs of two or more letters, in lower case."""
+    return [w for w in _WORD.findall(html.unescape(_HIDDEN.sub(" ", page)).lower()) if len(w) <= LONGEST]
+
+
+def fit_lexicon(pages: DataFrame, html_col: str = "html") -> Lexicon:
+    """Counts of all words in the visible text of all pages. At most ROWS * WORD_BUCKETS rows
+    reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(ROWS * WORD_BUCKETS, np.int64), Counter()
+
+        def add() -> None:
+            for w, n in seen.items():
+                counts[word_buckets(w)] += n
+            seen.clear()
+
+        for b in batches:
+            for page in b.column(0):
+                seen.update(page_words(page.as_py() or ""))
+                if len(seen) > 100_000:
+                    add()
+        add()
+        at = np.flatnonzero(counts)
+        for s in range(0, len(at), 100_000):
+            w = at[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(counts[w])], names=["bucket", "n"])
+
+    sums = pages.select(F.col(html_col).cast("string").alias("html")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(ROWS * WORD_BUCKETS, np.int64)
+    counts[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    return Lexicon(counts, int(counts[:WORD_BUCKETS].sum()))
 
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -120,69 +186,71 @@ def tokens(lexicon: Lexicon, host: str, path: str) -> list[str]:
     return out
 
 
+def token_buckets(lexicon: Lexicon, host: str, path: str) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t) % TOKEN_BUCKETS for t in tokens(lexicon, host, path)], np.int64)
+
+
 @dataclass
 class Judge:
     lexicon: Lexicon
-    weight: dict[str, float]  # log-odds for blocking
+    weight: np.ndarray  # log-odds for blocking, by bucket of tokens
     prior: float
 
     def score(self, host: str, path: str) -> float:
-        return self.prior + sum(self.weight.get(t, 0.0) for t in tokens(self.lexicon, host, path))
+        return self.prior + float(self.weight[token_buckets(self.lexicon, host, path)].sum())
 
 
-def fit_judge(urls: DataFrame, lexicon: Lexicon, most: int = MODEL_TOKENS) -> Judge:
-    """urls: host, path, verdict (of a rule); tokens never seen are no evidence. Tokens are counted in the tasks and summed; the
-    `most` frequent ones are kept. Without labelled urls the seeds alone speak."""
+def fit_judge(urls: DataFrame, lexicon: Lexicon, seeds: dict[str, int] | None = None) -> Judge:
+    """urls: host, path, verdict (of a rule). Tokens of all of them are counted by bucket;
+    buckets without any are no evidence. seeds: words that speak for blocking before any url is
+    seen, and how often each counts. Without labelled urls the seeds alone speak."""
     shared = urls.sparkSession.sparkContext.broadcast(lexicon)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = np.zeros((2, TOKEN_BUCKETS + 1), np.int64)  # block, allow; the last counts urls
         for b in batches:
             for (h, p, v), n in Counter(zip(*(c.to_pylist() for c in b.columns), strict=True)).items():
-                seen[v, ""] += n
-                for t in tokens(shared.value, h, p):
-                    seen[v, t] += n
-            if len(seen) > 200_000:
-                yield rows(seen)
-                seen = Counter()
-        if seen:
-            yield rows(seen)
-
-    def rows(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["v", "t", "n"])
-
-    counts = urls.select("host", "path", "verdict").mapInArrow(count, "v string, t string, n long")
-    sums = counts.groupBy("t").agg(F.sum(F.when(F.col("v") == "block", F.col("n")).otherwise(0)).alias("block"), F.sum(F.when(F.col("v") == "allow", F.col("n")).otherwise(0)).alias("allow"))
-    top = sums.orderBy(F.col("t") != "", F.desc(F.col("block") + F.col("allow")), "t").limit(most + 1).collect()
-    have = {r["t"]: [r["block"], r["allow"]] for r in top}
-    docs = have.pop("", [0, 0])
-    for s in SEEDS:
+                row = seen[0 if v == "block" else 1]
+                row[TOKEN_BUCKETS] += n
+                np.add.at(row, token_buckets(shared.value, h, p), n)
+        at = np.flatnonzero(seen.any(axis=0))
+        for s in range(0, len(at), 100_000):
+            w = at[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(seen[0, w]), pa.array(seen[1, w])], names=["bucket", "block", "allow"])
+
+    # at most TOKEN_BUCKETS rows
+    sums = urls.select("host", "path", "verdict").mapInArrow(count, "bucket int, block long, allow long").groupBy("bucket").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).toArrow()
+    have = np.zeros((2, TOKEN_BUCKETS + 1), np.float64)
+    have[0, sums.column("bucket").to_numpy()] = sums.column("block").to_numpy()
+    have[1, sums.column("bucket").to_numpy()] = sums.column("allow").to_numpy()
+    docs, have = have[:, -1], have[:, :-1].copy()
+    for word, n in (seeds or {}).items():
         for mark in ("h:", "p:"):
-            have.setdefault(mark + s, [0, 0])[0] += SEED_COUNT
-    block, allow = (np.array([x[i] for x in have.values()], np.float64) + 0.5 for i in (0, 1))
-    odds = np.log(block / (block.sum() + 0.5)) - np.log(allow / (allow.sum() + 0.5))
-    return Judge(lexicon, dict(zip(have, odds.tolist(), strict=True)), math.log((docs[0] + 1) / (docs[1] + 1)))
+            have[0, xxhash.xxh3_64_intdigest(mark + word) % TOKEN_BUCKETS] += n
+    known = have.any(axis=0)
+    block, allow = have + 0.5 * known
+    odds = np.zeros(TOKEN_BUCKETS)
+    odds[known] = np.log(block[known] / block.sum()) - np.log(allow[known] / allow.sum())
+    return Judge(lexicon, odds, math.log((docs[0] + 1) / (docs[1] + 1)))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", html_col: str = "html", seeds: dict[str, int] | None = None) -> DataFrame:
     """pages plus host, path, rule, verdict and score (the model's log-odds for blocking;
     null where a rule decides). Columns of those names are replaced.
 
     Null urls and ones without :// have empty host and path, and are judged by the model's
-    prior. Ties (odds of exactly 0) allow. Repeated rows stay. An empty table gives no rows.
+    prior. Ties (odds of exactly 0) allow. Repeated rows stay. Null and empty pages have no
+    words; very long ones are read whole. An empty table gives no rows.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
-    rule, verdict = rule_for(F.col("_h"), F.col("_p"), rules)
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    named = pages.withColumns({"_h": host, "_p": path}).withColumns({"_r": rule, "_v": verdict})
+    named = pages.withColumns({"_h": host, "_p": path}).withColumn("_d", rule_for(F.col("_h"), F.col("_p"), rules)).withColumns({"_r": F.col("_d.rule"), "_v": F.col("_d.verdict")})
     lexicon = fit_lexicon(pages, html_col)
-    judge = fit_judge(named.where("_v IS NOT NULL").select(F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_v").alias("verdict")), lexicon)
+    judge = fit_judge(named.where("_v IS NOT NULL").select(F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_v").alias("verdict")), lexicon, seeds)
     shared = pages.sparkSession.sparkContext.broadcast(judge)
 
     @F.pandas_udf("double")
     def odds(hosts, paths, verdicts):
-        import pandas as pd
-
         memo: dict[tuple[str, str], float] = {}
         out = []
         for h, p, v in zip(hosts, paths, verdicts, strict=True):
