@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 _OWN: dict[str, str] = {}
 
 #: Bytes of text handled at once inside a task; keeps numpy temporaries small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, text_bytes
+from corpusloom.llm.common import SLICE_BYTES, slices, text_bytes
 
 BUCKETS = 1 << 15
 #: Labelled rows that the model is fitted on: about this many, chosen by a hash of the id.
@@ -30,12 +30,12 @@ class LanguageModel:
     log_prior: np.ndarray
 
 
-def ngram_buckets(raw: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def ngram_buckets(raw: np.ndarray, orders: tuple[int, ...] = ORDERS) -> list[tuple[int, np.ndarray]]:
     """For each order n, the bucket of the n-gram that starts at each byte (A-Z lower-cased,
     digits and white space made equal); the last n - 1 are of no use."""
     x = _FOLD[raw].astype(np.uint32)
     out = []
-    for n in ORDERS:
+    for n in orders:
         if len(x) < n:
             out.append((n, np.zeros(0, np.uint32)))
             continue
@@ -70,8 +70,10 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", id_col: str =
             for i, lang in enumerate(langs):
                 t = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 docs_of[lang] = docs_of.get(lang, 0) + 1
-                for _, h in ngram_buckets(raw[off[i] : off[i + 1]]):
-                    t += np.bincount(h, minlength=BUCKETS)
+                text = raw[off[i] : off[i + 1]]
+                for n in ORDERS:
+                    for s in range(0, len(text) - n + 1, SLICE_BYTES):
+                        t += np.bincount(dict(ngram_buckets(text[s : s + SLICE_BYTES + n - 1], (n,)))[n], minlength=BUCKETS)
         for lang, t in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([docs_of[lang]], pa.int64()), pa.array([t.astype("<i8").tobytes()], pa.binary())], names=["label", "n", "counts"])
 
@@ -106,6 +108,13 @@ def log_likelihoods(model: LanguageModel, raw: np.ndarray, off: np.ndarray) -> n
     out = np.tile(model.log_prior, (len(off) - 1, 1))
     for i, j in slices(off):
         part, o = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        if len(part) > SLICE_BYTES:
+            # one long text, in parts that share the bytes of an n-gram less one
+            for n in ORDERS:
+                for s in range(0, len(part) - n + 1, SLICE_BYTES):
+                    h = dict(ngram_buckets(part[s : s + SLICE_BYTES + n - 1], (n,)))[n]
+                    out[i] += model.log_prob[h].sum(axis=0, dtype=np.float64)
+            continue
         for n, h in ngram_buckets(part):
             ends = np.maximum(o[1:] - (n - 1), o[:-1])
             score = np.zeros((len(h) + 1, len(model.languages)))

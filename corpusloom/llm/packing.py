@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +42,23 @@ class TextEncoder:
 
     def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
-        self.wide = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.path, self.special = path, special
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        ids = [*file["model"]["vocab"].values(), *(t["id"] for t in file.get("added_tokens", []))]
+        self.wide = np.dtype("<u2") if max(ids) < 1 << 16 else np.dtype("<u4")
         self.added = [t["content"] for t in file.get("added_tokens", []) if special or not t["special"]]
         self.fast = by_rank(file)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own tokenizer, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = not self.special
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as bytes of dtype `wide`, one item a text."""
         if self.fast is None:

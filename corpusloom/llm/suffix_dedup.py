@@ -36,7 +36,7 @@ GRAM = 16
 #: Bytes of contexts that one transform covers.
 BLOCK_BYTES = 1 << 17
 #: Bytes whose anchors are found at once, under 2^24; longer texts go as overlapping parts.
-MOST_BYTES = 1 << 22
+MOST_BYTES = 1 << 20
 #: Contexts of an anchor beyond which it is hot: in one batch, and in one task. Starts in a piece
 #: of a hot one's context.
 HOT_BATCH, HOT, PIECE = 32, 512, 4

@@ -32,3 +32,16 @@ def test_edges(spark):
     none = L.fit(docs.where("doc_id > 5"))
     assert none.languages == [] and {r["lang_pred"] for r in L.predict(docs, none).collect()} == {"und"}
     assert L.predict(odd.where("doc_id > 9"), L.fit(docs)).collect() == []
+
+
+def test_long_texts_in_parts_score_alike(monkeypatch):
+    r = np.random.default_rng(2)
+    model = L.LanguageModel(["a", "b", "c"], r.normal(0, 1, (L.BUCKETS, 3)).astype(np.float32), np.log(np.array([0.5, 0.3, 0.2])))
+    texts = [b"", b"x", b"some words " * 40, "größe ".encode() * 30]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    whole = L.log_likelihoods(model, raw, off)
+    want = [model.log_prior + sum((model.log_prob[h].sum(axis=0) for _, h in L.ngram_buckets(np.frombuffer(t, np.uint8))), np.zeros(3)) for t in texts]
+    assert np.allclose(whole, want, atol=1e-2)
+    monkeypatch.setattr(L, "SLICE_BYTES", 64)
+    monkeypatch.setattr(L, "slices", lambda off: ((i, i + 1) for i in range(len(off) - 1)))
+    assert np.allclose(L.log_likelihoods(model, raw, off), whole, atol=1e-2)
