@@ -126,7 +126,7 @@ def count_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     docs: text string, target boolean. At most KINDS * BUCKETS rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
+        every, target = np.zeros(KINDS * BUCKETS, np.uint32), np.zeros(KINDS * BUCKETS, np.uint32)
         for b in batches:
             raw, off = text_bytes(b.column(0))
             chosen = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -137,7 +137,7 @@ def count_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(every)
         for s in range(0, len(at), 100_000):
             w = at[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(every[w]), pa.array(target[w])], names=["bucket", "n", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(every[w].astype(np.int64)), pa.array(target[w].astype(np.int64))], names=["bucket", "n", "t"])
 
     sums = docs.select("text", "target").mapInArrow(run, "bucket int, n long, t long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
     every, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
@@ -281,11 +281,13 @@ def resample(docs: DataFrame, model: RatioModel, k: int | None = None, share: fl
     """
     keep = [c for c in extra or [] if c != id_col]
     noised = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col).cast("string")).alias("_noise"))
-    scored = score(noised, model, id_col, "_text", [*keep, "_noise"]).withColumn("gumbel_key", gumbel_key(F.col("log_weight"), F.col("_noise"), temperature)).drop("_noise")
-    scored = materialize(scored, "quality")
+    keyed = lambda keep: score(noised, model, id_col, "_text", [*keep, "_noise"]).withColumn("gumbel_key", gumbel_key(F.col("log_weight"), F.col("_noise"), temperature)).drop("_noise")
+    scored = materialize(keyed([]), "quality")
     if k is None:
         k = scored.where(F.col("log_weight") >= model.limit).count() if share is None else int(share * scored.count())
     least = kth_largest(scored, "gumbel_key", k)
+    # columns that come along are not written: their rows are scored once more
+    scored = keyed(keep) if keep else scored
     if least is None:
         return scored if k > 0 else scored.where(F.lit(False))
     return scored.where(F.col("gumbel_key") >= least)

@@ -252,28 +252,39 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     Pivot tables and SimHash distance at `radius` bits, of sets without repeats, discard (0.8 of a set differ in 9.7
     bits on average, over 20 with a chance of 4e-4), and so does an estimate by 128 minimum
     hashes that lies more than SLACK under the similarity (0.65 for 0.8, whose standard error
-    is 0.035: a chance of 4e-5). Sets of shingle hashes travel only to the components of such
-    candidates, where pairs are compared exactly. Blank and null texts are copies of each
+    is 0.035: a chance of 4e-5). The texts of such candidates are read again; their sets of
+    shingle hashes travel to the candidates' components, where pairs are compared exactly. Blank and null texts are copies of each
     other only. Ties, repeated rows, null ids as in simhash_components.
     """
 
+    def hashed(raw: memoryview) -> tuple[np.ndarray, int]:
+        h = np.array(shingle_hashes(bytes(raw), words), np.uint64)
+        return np.unique(h), int.from_bytes(xxhash.xxh64_digest(h.tobytes(), 1), "big", signed=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = text_bytes(b.column(1))
-            data = raw.tobytes()
-            for i, j in slices(off, 1 << 22):
-                content, fps, marks, sets = [], [], [], []
+            data = memoryview(raw)
+            for i, j in slices(off):
+                content, fps, marks = [], [], []
                 for k in range(i, j):
-                    h = np.array(shingle_hashes(data[off[k] : off[k + 1]], words), np.uint64)
-                    content.append(int.from_bytes(xxhash.xxh64_digest(h.tobytes(), 1), "big", signed=True))
-                    once = np.unique(h)
+                    once, whole = hashed(data[off[k] : off[k + 1]])
+                    content.append(whole)
                     fps.append(majority(once))
                     marks.append(sketch(once).astype("<u4").tobytes())
-                    sets.append(once.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(content, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), pa.array(sets, pa.binary())], names=["id", "content", "fp", "marks", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(content, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary())], names=["id", "content", "fp", "marks"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = text_bytes(b.column(0))
+            data = memoryview(raw)
+            for i, j in slices(off):
+                found = [hashed(data[off[k] : off[k + 1]]) for k in range(i, j)]
+                yield pa.RecordBatch.from_arrays([pa.array([c for _, c in found], pa.int64()), pa.array([h.astype("<u8").tobytes() for h, _ in found], pa.binary())], names=["node", "grams"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, content long, fp long, marks binary, grams binary"), "near-copies")
+    texts_of = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(texts_of.mapInArrow(run, f"id {kind}, content long, fp long, marks binary"), "near-copies")
     texts = rows.groupBy("content").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("marks").alias("marks"))
     width = 4 * BAND_ROWS
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("marks", 1 + width * i, width)) for i in range(BANDS)))
@@ -324,7 +335,11 @@ def near_copy_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     maybe = materialize(components(bucket_links(cand, prepare, about), "near-copies-maybe"), "near-copies-groups")
     # the root names its group and stands in it too
     group = maybe.unionByName(maybe.select(F.col("root").alias("node"), "root")).distinct()
-    shown = rows.select(F.col("content").alias("node"), "marks", "grams").join(group.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    # only the texts of candidates are read again, for their sets of shingles; one of each content
+    asked = texts.join(group.select(F.col("node").alias("content")), "content", "left_semi").select(F.col("first").alias("want"), F.col("content").alias("node"), "marks")
+    wanted = asked.select("want").distinct()
+    again = texts_of.join(wanted, texts_of["id"].eqNullSafe(wanted["want"]), "left_semi").select("text").mapInArrow(sets, "node long, grams binary")
+    shown = again.join(asked.select("node", "marks"), "node").dropDuplicates(["node"])
     comp = components(bucket_links(group.select(F.col("root").alias("bucket"), "node"), prepare_exact, shown, EXACT_BLOCK), "near-copies-links")
     named = texts.select("content", "first").join(comp, F.col("content") == F.col("node"), "left").select("content", F.coalesce("root", "content").alias("root"), "first")
     least = dealt(named.groupBy("root").agg(F.min("first").alias("component_id")), "root")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import dealt, materialize, slices, text_bytes
+from corpusloom.llm.common import dealt, discard, materialize, slices, text_bytes
 
 GRAM = 16
 #: Bytes of contexts that one transform covers.
@@ -297,6 +297,8 @@ def removals(docs: DataFrame, length: int = 100) -> DataFrame:
     rest = told.where(F.col("kind") == REST)
     second = _inherited(rest.where("NOT hot"), starts)
     starts = materialize(starts.unionByName(second), "suffix-starts")
+    for table in (texts, forms, decided):
+        discard(table)
     starts = starts.unionByName(_inherited(rest.where("hot"), starts))
     return starts.select("id", F.col("a").alias("from"), (F.col("b") + length).alias("to"))
 
