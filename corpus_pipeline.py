@@ -7,6 +7,8 @@ last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,21 @@ from corpusloom.llm.queries import good_labels, held_out, table
 
 #: Documents whose language is known with less than this are rejected.
 LEAST_SCORE = 0.5
+#: Bytes of one Arrow batch; whole texts are long, and each Python worker holds a batch or two.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(stage):
+    """The stage with the session's Arrow batches bounded by bytes, unless by fewer already."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if int(str(spark.conf.get(_BATCH)).rstrip("b")) > BATCH_BYTES:
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def whole(docs: DataFrame) -> F.Column:
@@ -24,13 +41,17 @@ def whole(docs: DataFrame) -> F.Column:
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
 
 
+@bounded_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that was learned; texts without a letter go."""
+    """Keeps documents in a language that was learned; null texts and texts without a letter
+    go. Null and repeated ids are rows like any other (null ids are never held out); an empty
+    table stays empty."""
     model = langid.fit(docs.where(~held_out()))
     told = langid.predict(docs.select("text", whole(docs)), model)
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
+@bounded_batches
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws as many documents as the model finds acceptable, by Gumbel top-k: junk and toxic
     ones weigh too little. Null texts weigh as ordinary ones; null and repeated ids are rows
@@ -39,6 +60,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.resample(docs.select("doc_id", "text", whole(docs)), model, extra=["_row"]).select("_row.*")
 
 
+@bounded_batches
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies (five words, similarity 0.8).
 
@@ -48,9 +70,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where("doc_id IS NULL").unionByName(docs.join(groups, "doc_id", "left_semi")).select(docs.columns)
 
 
+@bounded_batches
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings of 100 bytes that start earlier in the corpus; characters that
-    are only partly covered stay whole. Documents that end up empty go."""
+    are only partly covered stay whole. Documents that end up empty go; texts without
+    repeats, null ones too, stay as they are. Rows with one id and different texts are
+    documents of their own."""
     done = suffix_dedup.drop_repeats(docs.select("doc_id", "text", whole(docs)), characters=True)
     cut = F.size("_spans") > 0
     done = done.withColumn("_new", F.when(cut, F.col("_kept").cast("string")).otherwise(F.col("text")))
@@ -58,8 +83,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.where("NOT (size(_spans) > 0 AND _new = '')").select(*(fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
+@bounded_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens: one row a piece."""
+    """Packs what is left into sequences of 2048 tokens: one row a piece. Null and empty texts
+    are their end token alone; null and repeated ids are packed like any other."""
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
