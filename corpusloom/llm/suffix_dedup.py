@@ -299,8 +299,12 @@ def removals(docs: DataFrame, length: int = 100) -> DataFrame:
     starts = materialize(starts.unionByName(second), "suffix-starts")
     for table in (texts, forms, decided):
         discard(table)
-    starts = starts.unionByName(_inherited(rest.where("hot"), starts))
-    return starts.select("id", F.col("a").alias("from"), (F.col("b") + length).alias("to"))
+    every = starts.unionByName(_inherited(rest.where("hot"), starts))
+    # written, so that a task of the last stage holds one Python worker at a time
+    ranges = materialize(every.select("id", F.col("a").alias("from"), (F.col("b") + length).alias("to")), "suffix-ranges")
+    for table in (told, starts):
+        discard(table)
+    return ranges
 
 
 def _send(key: np.ndarray, place: np.ndarray, anchor: np.ndarray, ctx: np.ndarray, hot_batch: int) -> Iterator[pa.RecordBatch]:
