@@ -238,7 +238,7 @@ def repeated(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, length:
 
 
 def removals(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(id, from, to): byte ranges to remove. docs: id long, text string; rows with equal ids
+    """(id, ranges of from and to): byte ranges to remove, in one row or several a document. docs: id long, text string; rows with equal ids
     are one document, repeated."""
     hot_batch, hot_task, most_rows, region, block_bytes, search = HOT_BATCH, HOT, MOST_ROWS, REGION, BLOCK_BYTES, repeated
     raw_docs = docs.select("id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
@@ -293,7 +293,8 @@ def removals(docs: DataFrame, length: int = 100) -> DataFrame:
     # copies that were not sent go as the ones that were
     verdict = decided.where("form IS NOT NULL").select("block", "form").distinct().join(forms.select("block", "form", "least", "most"), ["block", "form"])
     between = hot.select("block", "form", "id", "first", "last").join(dealt(verdict, "block", "form"), ["block", "form"]).where("(id <> least.id OR first <> least.first) AND (id <> most.id OR first <> most.first)")
-    starts = decided.select("id", "a", "b").unionByName(between.select("id", F.col("first").alias("a"), F.col("last").alias("b")))
+    span = lambda a, b: F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b"))).alias("spans")
+    starts = decided.select("id", span("a", "b")).unionByName(between.select("id", span("first", "last")))
     rest = told.where(F.col("kind") == REST)
     second = _inherited(rest.where("NOT hot"), starts)
     starts = materialize(starts.unionByName(second), "suffix-starts")
@@ -301,7 +302,7 @@ def removals(docs: DataFrame, length: int = 100) -> DataFrame:
         discard(table)
     every = starts.unionByName(_inherited(rest.where("hot"), starts))
     # written, so that a task of the last stage holds one Python worker at a time
-    ranges = materialize(every.select("id", F.col("a").alias("from"), (F.col("b") + length).alias("to")), "suffix-ranges")
+    ranges = materialize(every.select("id", F.transform("spans", lambda x: F.struct(x["a"].alias("from"), (x["b"] + length).alias("to"))).alias("ranges")), "suffix-ranges")
     for table in (told, starts):
         discard(table)
     return ranges
@@ -482,7 +483,8 @@ def _blocks(t: pa.Table, length: int, block_bytes: int, search: Callable) -> Ite
 
 
 def _inherited(rest: DataFrame, starts: DataFrame) -> DataFrame:
-    """(id, a, b) of runs whose reference's starts are all among those to remove."""
+    """(id, spans of a and b): the runs whose reference's starts are all among those to remove.
+    A document's runs that refer to one document travel as one row."""
 
     @F.pandas_udf("array<struct<a: int, b: int>>")
     def joined(lists):
@@ -497,11 +499,13 @@ def _inherited(rest: DataFrame, starts: DataFrame) -> DataFrame:
             rows.append([{"a": a, "b": b} for a, b in out])
         return pd.Series(rows)
 
-    wanted = starts.join(rest.select(F.col("at").alias("id")).distinct(), "id", "left_semi")
-    have = dealt(wanted.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("r")), "id").select(F.col("id").alias("at"), joined("r").alias("r"))
     first, size = F.shiftright("place", 16).cast("int"), F.shiftright("place", 8).bitwiseAND(F.lit(255)).cast("int")
-    covered = F.exists("r", lambda r: (r["a"] <= F.col("ref")) & (r["b"] >= F.col("ref") + size))
-    return rest.join(have, "at").where(covered).select("id", first.alias("a"), (first + size).alias("b"))
+    asked = rest.groupBy("at", "id").agg(F.collect_list(F.struct(first.alias("a"), (first + size).alias("b"), F.col("ref").cast("int").alias("ref"))).alias("runs"))
+    wanted = starts.join(rest.select(F.col("at").alias("id")).distinct(), "id", "left_semi")
+    have = dealt(wanted.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("r")), "id").select(F.col("id").alias("at"), joined("r").alias("r"))
+    covered = lambda x: F.exists("r", lambda r: (r["a"] <= x["ref"]) & (r["b"] >= x["ref"] + x["b"] - x["a"]))
+    found = dealt(asked, "at", "id").join(have, "at").select("id", F.transform(F.filter("runs", covered), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("spans"))
+    return found.where(F.size("spans") > 0)
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -553,7 +557,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     cols = docs.columns
     rows = numbered(docs, id_col, text_col)
     gone = removals(rows.select(F.col("_doc").alias("id"), F.col(text_col).cast("string").alias("text")), length)
-    ranges = dealt(gone.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("_ranges")), "id").withColumnRenamed("id", "_doc")
+    ranges = dealt(gone.groupBy("id").agg(F.flatten(F.collect_list("ranges")).alias("_ranges")), "id").withColumnRenamed("id", "_doc")
 
     @F.pandas_udf("struct<kept binary, spans array<struct<from: int, to: int>>, size long>")
     def keep(texts, ranges):
