@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ class Lexicon:
     def cost(self, word: str) -> float | None:
         """Of a word of two letters or more that occurs; null of any other."""
         if word not in self.costs:
-            n = min(self.counts[b] for b in word_buckets(word)) if len(word) > 1 else 0
+            n = int(min(self.counts[b] for b in word_buckets(word))) if len(word) > 1 else 0
             self.costs[word] = math.log(n / self.total) - 0.1 if n else None
         return self.costs[word]
 
@@ -168,7 +169,7 @@ def fit_lexicon(pages: DataFrame, html_col: str = "html") -> Lexicon:
     sums = pages.select(F.col(html_col).cast("string").alias("html")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(ROWS * WORD_BUCKETS, np.int64)
     counts[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
-    return Lexicon(counts, int(counts[:WORD_BUCKETS].sum()))
+    return Lexicon(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), int(counts[:WORD_BUCKETS].sum()))
 
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -192,19 +193,17 @@ def token_buckets(lexicon: Lexicon, host: str, path: str) -> np.ndarray:
 
 @dataclass
 class Judge:
-    lexicon: Lexicon
-    weight: np.ndarray  # log-odds for blocking, by bucket of tokens
+    weight: np.ndarray  # log-odds for blocking, float32 by bucket of tokens
     prior: float
 
-    def score(self, host: str, path: str) -> float:
-        return self.prior + float(self.weight[token_buckets(self.lexicon, host, path)].sum())
+    def score(self, lexicon: Lexicon, host: str, path: str) -> float:
+        return self.prior + float(self.weight[token_buckets(lexicon, host, path)].sum(dtype=np.float64))
 
 
-def fit_judge(urls: DataFrame, lexicon: Lexicon, seeds: dict[str, int] | None = None) -> Judge:
-    """urls: host, path, verdict (of a rule). Tokens of all of them are counted by bucket;
+def fit_judge(urls: DataFrame, shared: Broadcast, seeds: dict[str, int] | None = None) -> Judge:
+    """urls: host, path, verdict (of a rule); shared: the lexicon, broadcast. Tokens of all of them are counted by bucket;
     buckets without any are no evidence. seeds: words that speak for blocking before any url is
     seen, and how often each counts. Without labelled urls the seeds alone speak."""
-    shared = urls.sparkSession.sparkContext.broadcast(lexicon)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, TOKEN_BUCKETS + 1), np.int64)  # block, allow; the last counts urls
@@ -231,7 +230,7 @@ def fit_judge(urls: DataFrame, lexicon: Lexicon, seeds: dict[str, int] | None =
     block, allow = have + 0.5 * known
     odds = np.zeros(TOKEN_BUCKETS)
     odds[known] = np.log(block[known] / block.sum()) - np.log(allow[known] / allow.sum())
-    return Judge(lexicon, odds, math.log((docs[0] + 1) / (docs[1] + 1)))
+    return Judge(odds.astype(np.float32), math.log((docs[0] + 1) / (docs[1] + 1)))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", html_col: str = "html", seeds: dict[str, int] | None = None) -> DataFrame:
@@ -245,9 +244,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     host, path = host_and_path(F.col(url_col).cast("string"))
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
     named = pages.withColumns({"_h": host, "_p": path}).withColumn("_d", rule_for(F.col("_h"), F.col("_p"), rules)).withColumns({"_r": F.col("_d.rule"), "_v": F.col("_d.verdict")})
-    lexicon = fit_lexicon(pages, html_col)
-    judge = fit_judge(named.where("_v IS NOT NULL").select(F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_v").alias("verdict")), lexicon, seeds)
-    shared = pages.sparkSession.sparkContext.broadcast(judge)
+    spark = pages.sparkSession
+    words = spark.sparkContext.broadcast(fit_lexicon(pages, html_col))
+    judge = fit_judge(named.where("_v IS NOT NULL").select(F.col("_h").alias("host"), F.col("_p").alias("path"), F.col("_v").alias("verdict")), words, seeds)
+    shared = spark.sparkContext.broadcast(judge)
 
     @F.pandas_udf("double")
     def odds(hosts, paths, verdicts):
@@ -258,7 +258,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
                 out.append(None)
                 continue
             if (h, p) not in memo:
-                memo[h, p] = shared.value.score(h, p)
+                memo[h, p] = shared.value.score(words.value, h, p)
             out.append(memo[h, p])
         return pd.Series(out, dtype="float64")
 
