@@ -61,6 +61,14 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(F.xxhash64(*keys))
 
 
+def free_name(rows: DataFrame, wanted: str) -> str:
+    """wanted, with as many underscores before it as it takes to be no column of rows."""
+    have = {c.lower() for c in rows.columns}
+    while wanted.lower() in have:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -28,6 +29,10 @@ PIECES = "start long, length long, doc_tokens long, sequence_id long, offset lon
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts that the tokenizer's own library takes at once.
 AT_ONCE = 64
+#: White space that tiktoken's look-ahead can step back over at once; longer runs, which it
+#: fails on from about a million on, go to the tokenizer's own library.
+LONGEST_BLANK = 250_000
+_BLANK = re.compile(r"\s{%d}" % LONGEST_BLANK)
 _ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
@@ -36,7 +41,8 @@ class TextEncoder:
 
     A byte-level BPE file whose merges stand in the order of their ids is merged by rank, which
     tiktoken does several times faster from the same file. Texts that hold an added token's
-    string, and all texts of any other file, go to the tokenizers library itself. With
+    string or a very long run of white space, and all texts of any other file, go to the
+    tokenizers library itself. With
     `special` unset the strings of special tokens are ordinary text.
     """
 
@@ -64,7 +70,8 @@ class TextEncoder:
         if self.fast is None:
             return self._own(texts)
         one, wide = self.fast.encode_to_numpy, self.wide
-        out = [None if any(a in x for a in self.added) else one(x, disallowed_special=()).astype(wide).tobytes() for x in texts]
+        slow = lambda x: any(a in x for a in self.added) or len(x) >= LONGEST_BLANK and _BLANK.search(x) is not None
+        out = [None if slow(x) else one(x, disallowed_special=()).astype(wide).tobytes() for x in texts]
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, self._own([texts[i] for i in rest]), strict=True):
             out[i] = ids

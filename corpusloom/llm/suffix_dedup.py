@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import dealt, discard, materialize, slices, text_bytes
+from corpusloom.llm.common import dealt, discard, free_name, materialize, slices, text_bytes
 
 GRAM = 16
 #: Bytes of contexts that one transform covers.
@@ -520,16 +520,17 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         n, different = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col))).first()
         if n == different:
             return docs.withColumn("_doc", F.col(id_col).cast("long"))
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "suffix-rows")
-    own = F.when(F.col(id_col).isNull(), F.col("_row")).otherwise(-1)
-    keys = rows.select("_row", F.col(id_col).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text"), own.alias("own"))
-    parts = keys.groupBy("key", "text", "own").agg(F.min("_row").alias("least")).repartitionByRange("key", "text", "own").sortWithinPartitions("key", "text", "own")
+    row = free_name(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "suffix-rows")
+    own = F.when(F.col(id_col).isNull(), F.col(row)).otherwise(-1)
+    keys = rows.select(row, F.col(id_col).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("text"), own.alias("own"))
+    parts = keys.groupBy("key", "text", "own").agg(F.min(row).alias("least")).repartitionByRange("key", "text", "own").sortWithinPartitions("key", "text", "own")
     placed = materialize(parts.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "suffix-order")
     sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())  # one row a task
     base = docs.sparkSession.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "part int, base long")
     numbers = placed.join(F.broadcast(base), "part").select("key", "text", "own", (F.col("base") + F.col("place")).alias("_doc"))
     same = [keys[c].eqNullSafe(numbers[c]) for c in ("key", "text", "own")]
-    return rows.join(keys.join(numbers, same[0] & same[1] & same[2]).select("_row", "_doc"), "_row").drop("_row")
+    return rows.join(keys.join(numbers, same[0] & same[1] & same[2]).select(row, "_doc"), row).drop(row)
 
 
 def whole_characters(raw: bytes, a: int, b: int) -> tuple[int, int]:

@@ -107,3 +107,12 @@ def test_very_long_text_and_clashing_names(spark):
     got = P.pack(df, PATH).orderBy("start").collect()
     ids = np.concatenate([np.frombuffer(bytes(p["ids"]), "<u4") for p in got]).tolist()
     assert ids == [*whole([text])[0], 1]
+
+
+def test_long_white_space(spark):
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 600_000, "x" + "\t \n" * 500_000, "é" + " " * (P.LONGEST_BLANK - 1) + "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {}
+    for p in P.pack(df, PATH).orderBy("doc_id", "start").collect():
+        got.setdefault(p["doc_id"], []).extend(np.frombuffer(bytes(p["ids"]), "<u4").tolist())
+    assert got == {i: [*x, 1] for i, x in enumerate(whole(texts))}

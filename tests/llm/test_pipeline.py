@@ -84,3 +84,34 @@ def test_empty_corpus(spark, corpus, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_null_and_repeated_ids_in_every_stage(spark, corpus):
+    """Rows with null or repeated ids, null, empty and very long texts and clashing names."""
+    folder, texts, _, _ = corpus
+    good = [t for i, t in texts.items() if i < 600 and i % 8 != 1 and i % 3]
+    rows = [(1, good[0], 1), (1, good[1], 2), (2, good[2], 3), (2, good[2], 3), (None, good[3], 4), (None, good[4], 5), (None, good[4], 5), (7, None, 6), (8, "", 7), (9, " ".join(good * 20), 8)]
+    more = [(i, t, 0) for i, t in texts.items() if 10 < i < 600]
+    docs = spark.createDataFrame([(i, t, "en", x, x, x, x) for i, t, x in rows + more], "doc_id long, text string, lang string, _row int, _doc int, key int, log_weight int").repartition(3)
+    for name, stage in P.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, folder), "test")
+        got = docs.where("_row > 0").groupBy("_row").count().collect()
+        kept = {r["_row"]: r["count"] for r in got}
+        if name == "language ID":
+            assert kept == {1: 1, 2: 1, 3: 2, 4: 1, 5: 2, 8: 1}
+        assert docs.columns == ["doc_id", "text", "lang", "_row", "_doc", "key", "log_weight"]
+    assert {4, 5} <= set(kept), "null ids stay"
+    pieces = P.STAGES[-1][1](spark, docs, folder)
+    assert pieces.where("start = 0").count() == docs.count()
+
+
+def test_byte_settings(spark, corpus):
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    before = spark.conf.get(P._BATCH)
+    try:
+        for value, after in (("64m", str(P.BATCH_BYTES)), ("1m", "1m"), ("2048", "2048")):
+            spark.conf.set(P._BATCH, value)
+            P.language(spark, docs, corpus[0])
+            assert spark.conf.get(P._BATCH) == after
+    finally:
+        spark.conf.set(P._BATCH, before)
