@@ -25,11 +25,14 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(stage):
-    """The stage with the session's Arrow batches bounded by bytes, unless by fewer already."""
+    """The stage with the session's Arrow batches bounded by bytes, unless by fewer already.
+    The setting stays, as stages run after they return."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if int(str(spark.conf.get(_BATCH)).rstrip("b")) > BATCH_BYTES:
+        # Spark reads its own byte sizes, such as 64m; what isn't above 0 is no bound
+        have = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+        if not 0 < have <= BATCH_BYTES:
             spark.conf.set(_BATCH, str(BATCH_BYTES))
         return stage(spark, docs, sf_dir)
 
