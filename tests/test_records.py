@@ -16,8 +16,9 @@ def test_chapter_files(spark, tmp_path):
 def test_readers(spark):
     df = spark.createDataFrame([("a.TXT",), ("b.pdf",), ("c",), ("d.pptx",)], "p string")
     assert [r[0] for r in df.select(records.reader_for(F.col("p"))).collect()] == ["txt", None, None, "pptx"]
-    with pytest.raises(Exception, match="no reader for b.pdf"):
-        df.select(records.require_reader(F.col("p"))).collect()
+    for bad in ("b.pdf", "c"):
+        with pytest.raises(Exception, match=f"no reader for {bad}"):
+            df.where(F.col("p") == bad).select(records.require_reader(F.col("p"))).collect()
 
 
 def test_typed_description_defaults(spark):
