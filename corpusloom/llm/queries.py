@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann_forest, chat, langid, media, packing, quality, sentencepiece_scan, simhash, suffix_dedup, url_filter
+from corpusloom.llm import ann_forest, centroids, chat, langid, media, packing, quality, sentencepiece_scan, simhash, suffix_dedup, url_filter
 from corpusloom.llm.common import materialize
 
 
@@ -114,6 +114,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components in 40 clusters, after five rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 OP9_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -132,6 +137,31 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+
+def op12_sql(k: int = 40, rounds: int = 5, seed: int = 2, dims: int = 64, scale: int = 256) -> str:
+    """Each round compares all vectors with all centroids."""
+    near = "SELECT r, min(d) AS distance, arg_min(c, (d, c)) AS cluster FROM (SELECT r, c, list_sum(list_transform(list_zip(k.p, m.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept k, {m} m) GROUP BY r"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({near.format(m=f'c{i}')})")
+        steps.append(f"s{i} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM a{i} JOIN parts USING (r) GROUP BY cluster, i)")
+        steps.append(f"m{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS p FROM s{i} GROUP BY cluster)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.p, o.p) AS p FROM c{i} o LEFT JOIN m{i} m ON m.cluster = c)")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS p FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, unnest(range({dims})) AS i, unnest(p) AS x FROM kept),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, p) - 1 AS c, p FROM (SELECT sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h, p FROM kept ORDER BY h, p LIMIT {k})),
+{", ".join(steps)},
+final AS MATERIALIZED ({near.format(m=f"c{rounds}")})
+SELECT vec_id, cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(m.p, ',')) AS centroid_sha256
+FROM final JOIN kept USING (r) JOIN c{rounds} m ON m.c = cluster
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -143,5 +173,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat": op9_chat,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_centroids": op12_centroids,
 }
-SQL: dict[str, str] = {"op9_chat": OP9_SQL}
+SQL: dict[str, str] = {"op9_chat": OP9_SQL, "op12_centroids": op12_sql()}
