@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann_forest, centroids, chat, langid, media, packing, quality, sentencepiece_scan, simhash, suffix_dedup, url_filter
+from corpusloom.llm import ann_forest, centroids, chat, langid, lexical, media, packing, quality, sentencepiece_scan, simhash, suffix_dedup, url_filter
 from corpusloom.llm.common import materialize
 
 
@@ -114,11 +114,36 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item, among all."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors of 64 components in 40 clusters, after five rounds."""
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+OP11_SQL = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS MATERIALIZED (
+  SELECT r, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')) AS term FROM docs),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+total AS MATERIALIZED (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM sizes),
+items AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, coalesce(text, '') AS text FROM benchmark),
+asked AS (
+  SELECT DISTINCT i, term FROM (
+    SELECT i, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')) AS term FROM items)),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term, nd),
+scored AS (
+  SELECT i, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // l))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (r), total GROUP BY i, r)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank, doc_id, score
+FROM scored JOIN docs USING (r) JOIN items USING (i) WHERE score > 0
+QUALIFY rank <= 50
+"""
+
 OP9_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -173,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat": op9_chat,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lexical": op11_lexical,
     "op12_centroids": op12_centroids,
 }
-SQL: dict[str, str] = {"op9_chat": OP9_SQL, "op12_centroids": op12_sql()}
+SQL: dict[str, str] = {"op9_chat": OP9_SQL, "op11_lexical": OP11_SQL, "op12_centroids": op12_sql()}
