@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann_forest, centroids, chat, langid, lexical, media, packing, quality, sentencepiece_scan, simhash, suffix_dedup, url_filter
+from corpusloom.llm import ann_forest, centroids, chat, langid, lexical, media, packing, quality, secret_scan, sentencepiece_scan, simhash, suffix_dedup, url_filter
 from corpusloom.llm.common import materialize
 
 
@@ -124,6 +124,15 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of all documents: by the base rules, and those that the learned formats add."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = F.concat("base", F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))))
+    base = F.sha2(secret_scan.written(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *(number(k) for k in secret_scan.KINDS), base, secret_scan.written(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 OP11_SQL = r"""
 WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 words AS MATERIALIZED (
@@ -200,5 +209,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_lexical": op11_lexical,
     "op12_centroids": op12_centroids,
+    "op13_secrets": op13_secrets,
 }
 SQL: dict[str, str] = {"op9_chat": OP9_SQL, "op11_lexical": OP11_SQL, "op12_centroids": op12_sql()}
