@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordered import Ordered, sum_before
+
 
 def first_by_key(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key; partial limits apply before the shuffle."""
@@ -41,28 +43,30 @@ def funnel(levels: list[DataFrame], group: list[str], key: str, parent: str, sco
     return out
 
 
-def budget_take(df: DataFrame, group: list[str], order: list[Column], text: str, budget: int, head: str | None = None, least: int = 500, marker: str = "\n[...truncated...]") -> DataFrame:
+def _keyed(df: DataFrame, group: list[str], order: list[Column], spread: bool | None) -> Ordered:
+    """df in order; what it is ordered by becomes columns _o0, _o1 and so on."""
+    return Ordered(df.withColumns({f"_o{i}": o for i, o in enumerate(order)}), group, [f"_o{i}" for i in range(len(order))], spread)
+
+
+def budget_take(df: DataFrame, group: list[str], order: list[Column], text: str, budget: int, head: str | None = None, least: int = 500, marker: str = "\n[...truncated...]", spread: bool | None = None) -> DataFrame:
     """Rows in order until heads and texts fill the budget of characters. The first that
     doesn't fit is cut so that it fills the budget with its head and a marker, if more than
     `least` of it are left; then no more. Empty texts are passed over."""
-    w = Window.partitionBy(*group).orderBy(*order)
     above = F.length(head) if head else F.lit(0)
     n = above + F.length(text)
-    before = F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = _keyed(df.where(F.length(text) > 0), group, order, spread).add(_before=sum_before(n))
     # the first overflow ends the list, so a later short text can't slip in
-    over = F.max(F.when(before + n > budget, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    held = df.where(F.length(text) > 0).withColumns({"_before": before, "_over": F.coalesce(over, F.lit(0))}).where("_over = 0")
+    rows = rows.add(_over=sum_before(F.when(F.col("_before") + n > budget, 1).otherwise(0))).done(*(f"_o{i}" for i in range(len(order))))
+    held = rows.where(F.col("_over") == 0)
     fits = F.col("_before") + n <= budget
     left = budget - F.col("_before") - above - len(marker)
     return held.where(fits | (left > least)).withColumn(text, F.when(fits, F.col(text)).otherwise(F.concat(F.substring(text, F.lit(1), left.cast("int")), F.lit(marker)))).drop("_before", "_over")
 
 
-def prefix_budget(df: DataFrame, group: list[str], order: list[Column], text: str, budget: int, out: str = "text") -> DataFrame:
+def prefix_budget(df: DataFrame, group: list[str], order: list[Column], text: str, budget: int, out: str = "text", spread: bool | None = None) -> DataFrame:
     """Texts of a group joined by newlines until the budget is passed, then cut to it: the
     text that crosses is still read."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    before = F.coalesce(F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = df.withColumns({"_before": before, "_n": F.row_number().over(w)}).where(F.col("_before") < budget)
+    rows = _keyed(df, group, order, spread).add(_before=sum_before(F.length(text)), _n=sum_before(F.lit(1))).done().where(F.col("_before") < budget)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(text).alias("t")))), lambda x: x["t"]), "\n")
     return rows.groupBy(*group).agg(F.substring(joined, 1, budget).alias(out))
 
