@@ -129,3 +129,20 @@ def test_nulls_and_empty(spark):
     labels = spark.createDataFrame([(1, True), (1, False), (2, True), (None, True), (77, False)], "doc_id long, good boolean")
     assert len(Q.resample(docs, Q.fit(docs, labels)).collect()) >= 1
     assert Q.resample(docs.limit(0), Q.fit(docs.limit(0), labels)).collect() == []
+
+
+def test_inclusion_follows_the_weights(spark):
+    """A fifth is drawn many times over: how often a document comes is what drawing one by one,
+    in proportion to the weights that are left, gives; a good share isn't among the heaviest."""
+    model = Q.RatioModel(np.append(np.random.default_rng(3).normal(0, 0.6, Q.KINDS * Q.BUCKETS), 0).astype(np.float32), -1.0)
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('w', id * 7919) AS text")
+    weight = {x["doc_id"]: x["log_weight"] for x in Q.score(docs, model).collect()}
+    runs = [{x["doc_id"] for x in Q.resample(docs, model, k=12, seed=s, temperature=1.0).collect()} for s in range(25)]
+    r, p = np.random.default_rng(1), np.exp(np.array([weight[i] for i in range(60)]))
+    want = np.zeros(60)
+    for _ in range(4000):
+        want[r.choice(60, 12, replace=False, p=p / p.sum())] += 1 / 4000
+    came = np.array([sum(i in d for d in runs) / 25 for i in range(60)])
+    assert abs(came - want).max() < 0.45 and np.corrcoef(came, want)[0, 1] > 0.5
+    heaviest = set(sorted(weight, key=lambda i: -weight[i])[:12])
+    assert np.mean([len(d - heaviest) for d in runs]) > 2
