@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +22,9 @@ CONCEPT_ALIASES = {
     "nyquist": ["nyquist criterion", "nyquist plot", "nyquist stability"],
     "root locus": ["root-locus", "rl"],
 }
-#: Keywords that one search may have.
-MOST_KEYWORDS = 10_000
+#: Characters of keywords that one automaton is made of, about; more go in blocks.
+BLOCK_CHARS = 4_000_000
+_AUTOMATA: dict[str, tuple] = {}
 
 
 def concept_aliases(spark: SparkSession) -> DataFrame:
@@ -39,15 +45,77 @@ def expand_keywords(keywords: DataFrame, aliases: DataFrame) -> DataFrame:
     return kw.unionByName(names.join(hit, "canonical", "left_semi").select(F.col("name").alias("keyword"))).distinct()
 
 
+def _automaton(shared: Broadcast) -> tuple:
+    """An automaton over the keywords, made once a worker, and whether one is empty."""
+    import ahocorasick
+
+    name, keywords = shared.value
+    if name not in _AUTOMATA:
+        made = ahocorasick.Automaton()
+        for k in keywords:
+            if k:
+                made.add_word(k, k)
+        made.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = (made if len(made) else None, "" in keywords)
+    return _AUTOMATA[name]
+
+
+def _blocks(keywords: DataFrame) -> list[list[str]]:
+    """The keywords, each once, in blocks of a bounded size."""
+    rows = keywords.where("keyword IS NOT NULL").select("keyword").distinct()
+    chars = rows.agg(F.sum(F.length("keyword") + 1)).first()[0] or 0
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    part = F.pmod(F.xxhash64("keyword"), F.lit(blocks))
+    return [sorted(r["keyword"] for r in rows.where(part == i).collect()) for i in range(blocks)]
+
+
+def _finder(shared: Broadcast, around: int) -> Callable[[Column, Column], Column]:
+    item = pa.struct([("keyword", pa.string()), ("line", pa.int64()), ("snippet", pa.string())])
+
+    @F.arrow_udf("array<struct<keyword: string, line: long, snippet: string>>")
+    def find(texts: pa.Array, lows: pa.Array) -> pa.Array:
+        (automaton, empty), found = _automaton(shared), []
+        for t, low in zip(texts, lows, strict=True):
+            low = low.as_py()
+            if low is None:
+                found.append([])
+                continue
+            first: dict[str, int] = {"": 0} if empty else {}
+            for end, k in automaton.iter(low) if automaton else ():
+                if k not in first:
+                    first[k] = end - len(k) + 1
+            hits, lines, at, n = [], None, 0, 1
+            for k, place in sorted(first.items(), key=lambda x: (x[1], x[0])):
+                n, at = n + low.count("\n", at, place), place
+                lines = t.as_py().split("\n") if lines is None else lines
+                hits.append({"keyword": k, "line": n, "snippet": None if "\n" in k else "\n".join(lines[max(n - 1 - around, 0) : n + around])})
+            found.append(hits)
+        return pa.array(found, pa.list_(item))
+
+    return find
+
+
+def keyword_lines(docs: DataFrame, keywords: DataFrame, text: str, around: int = 2) -> DataFrame:
+    """docs x the keywords that they hold, ignoring case, word ends or not, with `line` (of the
+    first hit, from 1) and `snippet` (that line with those around it; null if the keyword holds
+    a line's end). Repeated keywords count once; an empty one is in every text.
+
+    All keywords make one automaton, which reads a lower-cased text once, however many they
+    are. Keywords are collected and sent in blocks of BLOCK_CHARS, each of which reads the
+    texts again. Null texts hold nothing; columns `keyword`, `line` and `snippet` are replaced.
+    """
+    keep, out = [F.col(f"`{c}`") for c in docs.columns if c not in ("keyword", "line", "snippet")], None
+    for block in _blocks(keywords):
+        find = _finder(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block)), around)
+        rows = docs.select(*keep, find(F.col(text), F.lower(text)).alias("_hits")).select(*keep, F.explode("_hits").alias("_h")).select(*keep, "_h.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def keyword_hits(docs: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
-    """Documents x keywords that they hold, ignoring case, word ends or not; repeated keywords
-    count once. The keywords are a query's, so few: they come as one array (a scalar
-    subquery that fails beyond MOST_KEYWORDS), each text is lower-cased once and tried with
-    all of them, and only hits make rows. No join takes place."""
-    held = F.array_sort(F.collect_set("keyword"))
-    few = keywords.agg(F.when(F.size(held) > MOST_KEYWORDS, F.raise_error(F.lit(f"more than {MOST_KEYWORDS} keywords"))).otherwise(held)).scalar()
-    low = docs.withColumns({"_low": F.lower(text), "_few": few}).withColumn("_hits", F.filter("_few", lambda k: F.contains(F.col("_low"), k)))
-    return low.where(F.size("_hits") > 0).withColumn("keyword", F.explode("_hits")).drop("_low", "_few", "_hits")
+    """docs x keywords that they hold, as `keyword_lines` finds them."""
+    return keyword_lines(docs, keywords, text).drop("line", "snippet")
 
 
 def in_library(source: Column, library: str | None, math: str = "math_library") -> Column:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import records
-from corpusloom.operators import graph, interval, islands, mutate, rank, scans, search, tree
+from corpusloom.operators import graph, interval, islands, mutate, ordered, rank, scans, search, tree
 from corpusloom.plans import relevance, toc
 from corpusloom.sinks.files import folder_of
 from corpusloom.sources import files
-from corpusloom.streaming import chunks
+from corpusloom.streaming import chunks, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -502,7 +502,7 @@ SELECT doc_id, keyword, snippet, class, confidence::DOUBLE AS confidence, row_nu
 @query("jn08_win14_ord02_search", FLAGSHIP_SQL)
 def flagship(t):
     kw = search.expand_keywords(t.rows(WORDS, "keyword string"), t.rows(ALIASES, "canonical string, alias string"))
-    hits = search.keyword_hits(t.documents.select("doc_id", "text"), kw, "text").withColumn("snippet", search.snippet(F.col("text"), F.col("keyword"))).drop("text")
+    hits = search.keyword_lines(t.documents.select("doc_id", "text"), kw, "text").drop("text", "line")
     told = t.labels.select("doc_id", "quality", "toxic")
     classed = hits.join(told, "doc_id", "left").select("doc_id", "keyword", "snippet", F.when(F.col("quality") == 1, "EXPLAINS").otherwise("USES").alias("class"), F.when(F.col("quality").isNull(), 0.5).when(F.col("toxic") == 1, 0.1).otherwise(0.9).alias("confidence"))
     return rank.rank_classified(classed, "class", "confidence", "doc_id", group=["keyword"])
@@ -1076,3 +1076,82 @@ def _(t):
 def _(t):
     suffix = F.element_at(F.array(*map(F.lit, ("JPG", "png", "bmp"))), (F.col("p_partkey") % 3 + 1).cast("int"))
     return t.part.select("p_partkey", records.data_url(F.encode("p_name", "UTF-8"), suffix).alias("url"))
+
+
+# --- wide intervals, large groups, deep trees, streams ---
+
+
+@query("jn01_wide_intervals", "WITH p AS (SELECT o_orderkey, o_orderkey * 7919000003 AS page FROM orders), i AS (SELECT p_partkey AS sec, p_partkey * 3000000017 AS lo, p_partkey * 3000000017 + p_size * 20000000000 AS hi FROM part) SELECT o_orderkey, sec FROM (SELECT o_orderkey, sec, row_number() OVER (PARTITION BY o_orderkey ORDER BY lo, sec) AS n FROM p JOIN i ON page BETWEEN lo AND hi) WHERE n = 1")
+def _(t):
+    p = t.orders.select("o_orderkey", F.lit(0).alias("g"), (F.col("o_orderkey") * 7919000003).alias("page"))
+    i = t.part.select(F.lit(0).alias("g"), F.col("p_partkey").alias("sec"), (F.col("p_partkey") * 3000000017).alias("lo"), (F.col("p_partkey") * 3000000017 + F.col("p_size") * F.lit(20000000000)).alias("hi"))
+    return interval.assign_first(p, i, ["g"], "page", "lo", "hi", "sec").select("o_orderkey", "sec")
+
+
+@query("win04_one_group", "SELECT event_id, coalesce(first_value(CASE WHEN x > 0 THEN x END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), x) AS x FROM (SELECT event_id, CASE WHEN event_id % 7 < 5 THEN 0 ELSE event_id END AS x FROM events)")
+def _(t):
+    e = t.events.select("event_id", F.lit(0).alias("g"), F.when(F.col("event_id") % 7 < 5, 0).otherwise(F.col("event_id")).alias("x"))
+    return islands.backfill_positive(e, ["g"], ["event_id"], "x", spread=True).select("event_id", "x")
+
+
+@query("win06_one_group", "WITH f AS (SELECT event_id, event_type, CASE WHEN lag(event_type) OVER (ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS b FROM events) SELECT event_id, event_type, sum(b) OVER (ORDER BY event_id)::BIGINT AS island FROM f")
+def _(t):
+    return islands.key_islands(t.events.select("event_id", "event_type", F.lit(0).alias("g")), ["g"], ["event_id"], "event_type", spread=True).select("event_id", "event_type", "island")
+
+
+@query("win08_one_group", "SELECT doc_id, coalesce(sum(length(text)) OVER w, 0)::BIGINT AS before, lag(lang) OVER v AS prev, lead(lang) OVER v AS next FROM documents WINDOW v AS (ORDER BY doc_id), w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def _(t):
+    d = ordered.Ordered(t.documents.select("doc_id", "lang", F.length("text").alias("n"), F.lit(0).alias("g")), ["g"], ["doc_id"], spread=True)
+    d.add(before=ordered.sum_before(F.col("n")), _p=ordered.previous(F.col("lang")), _f=ordered.following(F.col("lang")))
+    return d.done().select("doc_id", "before", F.col("_p.v").alias("prev"), F.col("_f.v").alias("next"))
+
+
+CHAIN_SQL = """
+WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 97 <> 0 THEN lag(o_orderkey) OVER (ORDER BY o_orderkey) END AS up FROM orders)
+SELECT id, row_number() OVER (PARTITION BY g ORDER BY id) AS depth FROM (SELECT id, count(*) FILTER (up IS NULL) OVER (ORDER BY id) AS g FROM t)
+"""
+
+
+@query("jn06_deep_chains", CHAIN_SQL)
+def _(t):
+    o = ordered.Ordered(t.orders.select(F.col("o_orderkey").alias("id"), F.lit(0).alias("g")), ["g"], ["id"], spread=True).add(_p=ordered.previous(F.col("id"))).done()
+    return tree.depths(o.select("id", F.when(F.col("id") % 97 != 0, F.col("_p.v")).alias("up")), "id", "up")
+
+
+LAYERS_SQL = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 'p' || l_partkey AS s, 's' || l_suppkey AS t FROM lineitem
+  UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0 UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+  UNION SELECT 'p' || p_partkey, 'r' || (p_partkey % 5) FROM part),
+v AS (SELECT s AS k FROM e UNION SELECT t FROM e),
+w(k, layer) AS (SELECT k, 0 FROM v WHERE k NOT IN (SELECT t FROM e) UNION SELECT e.t, w.layer + 1 FROM w JOIN e ON e.s = w.k)
+SELECT k, max(layer)::INTEGER AS layer FROM w GROUP BY k
+"""
+
+
+@query("prj16_layers", LAYERS_SQL)
+def _(t):
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    e = t.lineitem.select(named("p", "l_partkey").alias("s"), named("s", "l_suppkey").alias("t"))
+    e = e.unionByName(t.supplier.where("s_suppkey % 3 <> 0").select(named("s", "s_suppkey").alias("s"), named("n", "s_nationkey").alias("t")))
+    e = e.unionByName(t.nation.select(named("n", "n_nationkey").alias("s"), named("r", "n_regionkey").alias("t")))
+    e = e.unionByName(t.part.select(named("p", "p_partkey").alias("s"), F.concat(F.lit("r"), (F.col("p_partkey") % 5).cast("string")).alias("t")))
+    return tree.layers(e.select(F.col("s").alias("k")).union(e.select("t")), e, "k", "s", "t")
+
+
+@query("src31_streamed_chunks", "SELECT conv_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn, role, text) AS message, true AS closed FROM conversations GROUP BY conv_id")
+def _(t):
+    whole = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("text"))
+    cut = whole.select("conv_id", F.posexplode(F.concat(T.chunks_fixed(F.col("text"), 400), F.array(F.lit(chunks.DONE)))).alias("seq", "chunk"))
+    # a restarted stream repeats some chunks, and files hold them out of order
+    sent = cut.unionByName(cut.where("seq % 3 = 1")).withColumn("seq", F.col("seq").cast("long"))
+    once = state.drained(state.in_order(state.replayed(sent), "conv_id", "seq", "chunk"))
+    told = chunks.join_chunks(once.where("NOT closed"), "conv_id", "seq", "chunk")
+    return told.join(once.where("closed").select("conv_id", "closed"), "conv_id")
+
+
+@query("snk23_ring_buffer", "SELECT user_id, position, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::BIGINT AS position FROM events) WHERE position <= 5")
+def _(t):
+    e = t.events.select("user_id", F.unix_micros("ts").alias("at") if dict(t.events.dtypes)["ts"] == "timestamp" else F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
+    kept = state.ring(state.replayed(e), "user_id", F.col("at"), F.col("event_id"), F.col("event_type"), 5)
+    return state.newest(state.drained(kept), "user_id").select("user_id", "position", F.col("tie").alias("event_id"), F.col("payload").alias("event_type"))
