@@ -134,8 +134,8 @@ def test_nulls_and_empty(spark):
 def test_inclusion_follows_the_weights(spark):
     """A fifth is drawn many times over: how often a document comes is what drawing one by one,
     in proportion to the weights that are left, gives; a good share isn't among the heaviest."""
-    model = Q.RatioModel(np.append(np.random.default_rng(3).normal(0, 0.6, Q.KINDS * Q.BUCKETS), 0).astype(np.float32), -1.0)
-    docs = spark.range(60).selectExpr("id AS doc_id", "concat('w', id * 7919) AS text")
+    model = Q.RatioModel(np.append(np.random.default_rng(3).normal(-1.5, 1.5, Q.KINDS * Q.BUCKETS), 0).astype(np.float32), -1.0)
+    docs = spark.range(60).selectExpr("id AS doc_id", "translate(id * 7919 + 100000, '0123456789', 'abcdefghij') AS text")  # digits are all equal
     weight = {x["doc_id"]: x["log_weight"] for x in Q.score(docs, model).collect()}
     runs = [{x["doc_id"] for x in Q.resample(docs, model, k=12, seed=s, temperature=1.0).collect()} for s in range(25)]
     r, p = np.random.default_rng(1), np.exp(np.array([weight[i] for i in range(60)]))
