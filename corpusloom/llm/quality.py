@@ -143,6 +143,8 @@ def count_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     every, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
     at = sums.column("bucket").to_numpy()
     every[at], target[at] = sums.column("n").to_numpy(), sums.column("t").to_numpy()
+    del sums, at
+    pa.default_memory_pool().release_unused()  # up to 60 MB that the driver needs no more
     return every, target
 
 
