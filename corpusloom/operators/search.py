@@ -10,6 +10,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.tables import discard, written
+
 # Names of concepts and other names for them.
 CONCEPT_ALIASES = {
     "z-transform": ["z transform", "zt", "z-domain", "z domain"],
@@ -63,11 +65,13 @@ def _automaton(shared: Broadcast) -> tuple:
 
 def _blocks(keywords: DataFrame) -> list[list[str]]:
     """The keywords, each once, in blocks of a bounded size."""
-    rows = keywords.where("keyword IS NOT NULL").select("keyword").distinct()
+    rows = written(keywords.where("keyword IS NOT NULL").select("keyword").distinct(), "keywords")
     chars = rows.agg(F.sum(F.length("keyword") + 1)).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     part = F.pmod(F.xxhash64("keyword"), F.lit(blocks))
-    return [sorted(r["keyword"] for r in rows.where(part == i).collect()) for i in range(blocks)]
+    found = [sorted(r["keyword"] for r in rows.where(part == i).collect()) for i in range(blocks)]
+    discard(rows)
+    return found
 
 
 def _finder(shared: Broadcast, around: int) -> Callable[[Column, Column], Column]:
