@@ -4,7 +4,8 @@ Host labels and path tokens are split into words by a unigram Viterbi search ove
 of all words in the visible text of all pages; a multinomial naive Bayes model, counted over
 the tokens of all urls that a rule decides, judges the rest. Word counts are a count-min
 sketch, tokens are hashed: both are of a fixed size whatever the corpus, so they can be
-broadcast, and no word or token is left out. Each task splits a repeated name once.
+broadcast, and no word or token is left out, however long. Each task splits a repeated name
+once. Pages are read from left to right once, whatever tags they leave open.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from pyspark.sql import functions as F
 #: buckets, never under its count, and over it by 2.8 / WORD_BUCKETS of all words with a chance
 #: of 0.14 at most. Buckets of the tokens.
 WORD_BUCKETS, ROWS, TOKEN_BUCKETS = 1 << 21, 2, 1 << 20
-#: Characters of the longest word that a name is searched for.
-LONGEST = 64
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -88,6 +87,7 @@ class Lexicon:
 
     counts: np.ndarray  # the sketch, rows one after the other
     total: int
+    lengths: tuple[int, ...] = ()  # of the words that occur, the longest first
     memo: dict[str, tuple[str, ...]] = field(default_factory=dict)
     costs: dict[str, float | None] = field(default_factory=dict)
 
@@ -110,13 +110,12 @@ class Lexicon:
         n = len(name)
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST), j):
-                c = self.cost(name[i:j])
-                if c is None:
-                    if j - i > 1:
-                        continue
-                    c = self.unknown
-                if best[i] + c > best[j]:
+            for size in (*self.lengths, 1):
+                i = j - size
+                if i < 0:
+                    continue
+                c = self.unknown if size == 1 else self.cost(name[i:j])
+                if c is not None and best[i] + c > best[j]:
                     best[j], back[j] = best[i] + c, i
         words, j = [], n
         while j:
@@ -134,25 +133,49 @@ class Lexicon:
         return self.memo[name]
 
 
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>")
+_ENDS = re.compile(r"(?i)</(script|style)\s*>")
+_STARTS = re.compile(r"(?i)<(script|style)\b")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
+def visible_text(page: str) -> str:
+    """The page with a space for each tag, and for each script or style with all that is in it.
+    A `<` that no `>` follows is text; a script without an end is a tag, its content text."""
+    ends: dict[str, list[tuple[int, int]]] = {"script": [], "style": []}
+    for m in _ENDS.finditer(page):
+        ends[m[1].lower()].append(m.span())
+    for spans in ends.values():
+        spans.reverse()  # the next one is the last of the list
+    out, at, last = [], 0, page.rfind(">")
+    while 0 <= (start := page.find("<", at)) < last:
+        out.append(page[at:start])
+        at = 0
+        if m := _STARTS.match(page, start):
+            spans = ends[m[1].lower()]
+            while spans and spans[-1][0] < m.end():
+                spans.pop()
+            at = spans[-1][1] if spans else 0
+        at = at or page.find(">", start) + 1
+    return " ".join([*out, page[at:]])
+
+
 def page_words(page: str) -> list[str]:
     """Words of a page's visible text: runs of two or more letters, in lower case."""
-    return [w for w in _WORD.findall(html.unescape(_HIDDEN.sub(" ", page)).lower()) if len(w) <= LONGEST]
+    return _WORD.findall(html.unescape(visible_text(page)).lower())
 
 
 def fit_lexicon(pages: DataFrame, html_col: str = "html") -> Lexicon:
-    """Counts of all words in the visible text of all pages. At most ROWS * WORD_BUCKETS rows
-    reach the driver."""
+    """Counts of all words in the visible text of all pages, and the lengths that occur. At most
+    ROWS * WORD_BUCKETS rows and one a length reach the driver; a page has no more lengths
+    than the root of twice its characters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(ROWS * WORD_BUCKETS, np.int64), Counter()
+        counts, seen, lengths = np.zeros(ROWS * WORD_BUCKETS, np.int64), Counter(), set()
 
         def add() -> None:
             for w, n in seen.items():
                 counts[word_buckets(w)] += n
+                lengths.add(len(w))
             seen.clear()
 
         for b in batches:
@@ -165,11 +188,14 @@ def fit_lexicon(pages: DataFrame, html_col: str = "html") -> Lexicon:
         for s in range(0, len(at), 100_000):
             w = at[s : s + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(counts[w])], names=["bucket", "n"])
+        if lengths:  # under zero, beside the buckets
+            yield pa.RecordBatch.from_arrays([pa.array([-n for n in lengths], pa.int32()), pa.array([1] * len(lengths), pa.int64())], names=["bucket", "n"])
 
     sums = pages.select(F.col(html_col).cast("string").alias("html")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(ROWS * WORD_BUCKETS, np.int64)
-    counts[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
-    return Lexicon(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), int(counts[:WORD_BUCKETS].sum()))
+    at, n = sums.column("bucket").to_numpy(), sums.column("n").to_numpy()
+    counts[at[at >= 0]] = n[at >= 0]
+    return Lexicon(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32), int(counts[:WORD_BUCKETS].sum()), tuple(int(-b) for b in np.sort(at[at < 0])))
 
 
 _TOKEN = re.compile(r"[^\W_]+")

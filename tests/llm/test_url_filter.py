@@ -1,6 +1,8 @@
 import itertools
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -34,7 +36,7 @@ def test_parts_and_rules(spark):
 
 
 def lexicon(counts, total=1000):
-    lex = U.Lexicon(np.zeros(U.ROWS * U.WORD_BUCKETS, np.int64), total)
+    lex = U.Lexicon(np.zeros(U.ROWS * U.WORD_BUCKETS, np.int64), total, tuple(sorted({len(w) for w in counts if len(w) > 1}, reverse=True)))
     for w, n in counts.items():
         lex.counts[U.word_buckets(w)] += n
     return lex
@@ -64,9 +66,30 @@ def test_split_matches_all_splits():
 
 def test_words_are_those_of_the_visible_text(spark):
     page = "<html><TITLE>Größe A of</TITLE><script>var hidden='<b>'</script><style>p{}</style><p class=secret>of two&amp;more 12ab</p>" + "z" * 70
-    assert U.page_words(page) == ["größe", "of", "of", "two", "more", "ab"]
+    assert U.page_words(page) == ["größe", "of", "of", "two", "more", "ab", "z" * 70]
     lex = U.fit_lexicon(spark.createDataFrame([(page,), (page,), (None,), ("",)], "html string").repartition(3))
-    assert lex.total == 12 and [min(lex.counts[U.word_buckets(w)]) for w in ("of", "größe", "hidden", "secret")] == [4, 2, 0, 0]
+    assert lex.total == 14 and lex.lengths == (70, 5, 4, 3, 2) and [min(lex.counts[U.word_buckets(w)]) for w in ("of", "größe", "hidden", "secret")] == [4, 2, 0, 0]
+
+
+HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>")
+
+
+def test_visible_text_is_that_of_the_plain_pattern():
+    random.seed(5)
+    parts = ["<script", "<STYLE>", "</script>", "</script", "</Style  >", "<b>", "<", ">", " ", "a", "word", "<scripts>", "\n", "<style/", "</"]
+    for _ in range(4000):
+        page = "".join(random.choices(parts, k=random.randint(0, 14)))
+        assert U.visible_text(page) == HIDDEN.sub(" ", page), page
+
+
+def test_open_tags_and_long_words_take_linear_time():
+    for page in ("<script>" * 130_000, "<" * 1_000_000, "<style>a" * 120_000 + ">", "</script" * 120_000):
+        began = time.time()
+        U.page_words(page)
+        assert time.time() - began < 3
+    long = "x" * 200 + "y"
+    lex = lexicon({long: 5, "ab": 9})
+    assert lex.split("ab" + long + "ab") == ("ab", long, "ab")
 
 
 def test_many_rules_longest_wins():
