@@ -23,6 +23,13 @@ def _first(rows: DataFrame, key: list[str]) -> DataFrame:
     return first_by_key(rows, [F.col(k) for k in key], [F.col(c) for c in rows.columns])
 
 
+def _beside(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with the other columns of others of their key, or nulls; null keys are equal."""
+    named = others.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(key)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    return rows.join(named, same, "left").drop(*(f"_k{i}" for i in range(len(key))))
+
+
 def without(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not among those of others; null keys are equal."""
     keys = others.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key))).distinct()
@@ -44,9 +51,10 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str], order: list[str] |
 
 
 def upsert_keep_id(table: DataFrame, rows: DataFrame, key: list[str], id_col: str = "id") -> DataFrame:
-    """As upsert, but a row that was there keeps its id."""
-    old = table.select(*key, F.col(id_col).alias("_old"))
-    new = rows.join(old, key, "left").withColumn(id_col, F.coalesce("_old", id_col)).drop("_old")
+    """As upsert, but a row that was there keeps its id, with a null key too; of several rows
+    with one key in the table the smallest id."""
+    old = table.groupBy(*key).agg(F.min(id_col).alias("_old"))
+    new = _beside(_first(rows, key), old, key).withColumn(id_col, F.coalesce("_old", id_col)).drop("_old")
     return upsert(table, new, key)
 
 
@@ -60,10 +68,10 @@ def set_where(table: DataFrame, match: Column, values: dict[str, Column]) -> Dat
 
 
 def patch(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """Non-null values of changes replace those of the row with the key; nulls change
-    nothing. One change a key."""
+    """Non-null values of changes replace those of the rows with the key, null keys too; nulls
+    change nothing. Of several changes with one key the first by all columns counts."""
     cols = [c for c in changes.columns if c not in key]
-    joined = table.alias("t").join(changes.select(*key, *(F.col(c).alias(f"_{c}") for c in cols)), key, "left")
+    joined = _beside(table, _first(changes, key).select(*key, *(F.col(c).alias(f"_{c}") for c in cols)), key)
     return joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in cols else F.col(c) for c in table.columns))
 
 

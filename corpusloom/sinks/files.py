@@ -1,12 +1,11 @@
-"""File sinks: descriptions as Markdown, content by type, JSON log lines."""
+"""File sinks: descriptions as Markdown, chapters and entries as files, JSON log lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.mutate import without
-from corpusloom.operators.rank import first_by_key
+from corpusloom.sinks.row_files import write_files
 
 # Folders of the kinds of material.
 CATEGORIES = {"lecture_slides": "lectures", "tutorial_questions": "tutorials", "tutorial_solutions": "tutorials/solutions", "past_exam_papers": "exams", "lab_manual": "labs", "reference_notes": "notes", "other": "other"}
@@ -60,19 +59,23 @@ def description_from_md(text: Column) -> Column:
 
 
 def write_content(entries: DataFrame, folder: str) -> None:
-    """Entries by chapter and content type."""
-    entries.write.mode("append").partitionBy("chapter_id", "content_type").parquet(folder)
+    """Entries (book, chapter, index, content_type, content): a file each, by type and index in
+    the content folder of the chapter; entries without a type are left out. Again is as once."""
+    name = F.concat_ws("/", "book", F.lit("chapters"), F.col("chapter").cast("string"), F.lit("content"), F.concat_ws("_", "content_type", F.col("index").cast("string")))
+    write_files(entries.where("content_type IS NOT NULL").select(F.concat(name, F.lit(".md")).alias("name"), "content"), folder)
 
 
-def write_new_files(files: DataFrame, there: DataFrame, folder: str) -> None:
-    """Files (name, category, content) by folder, but none whose name is there; of several
-    with one name the first by category, then content."""
-    without(first_by_key(files, [F.col("name")], [F.col("category"), F.col("content")]), there, ["name"]).withColumn("folder", folder_of(F.col("category"))).write.mode("append").partitionBy("folder").parquet(folder)
+def write_new_files(files: DataFrame, folder: str) -> None:
+    """Files (name, category, content) by folder of their category, but none that is there; of
+    several with one name and folder the first by content."""
+    write_files(files.select(F.concat_ws("/", folder_of(F.col("category")), "name").alias("name"), "content"), folder, keep=True)
 
 
 def write_chapters(chapters: DataFrame, folder: str) -> None:
-    """Chapters (book, number, content): a text file each, in a folder of book and number."""
-    chapters.select("book", "number", "content").repartition("book", "number").write.mode("append").partitionBy("book", "number").option("lineSep", "\n").text(folder)
+    """Chapters (book, number, content): a text file each, by number in the chapters folder of
+    the book. Again is as once."""
+    name = F.concat(F.concat_ws("/", F.col("book").cast("string"), F.lit("chapters"), F.col("number").cast("string")), F.lit(".txt"))
+    write_files(chapters.select(name.alias("name"), "content"), folder)
 
 
 def log_lines(rows: DataFrame) -> DataFrame:

@@ -19,13 +19,27 @@ SUPPORTED = ("pdf", "pptx", "docx", "txt", "md", "xlsx")
 LINKED = ("pdf", "pptx", "docx")
 
 
+def file_path() -> Column:
+    """The path of the file that a row is read from, as it is named there (not as in a URI)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def whole_texts(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """(path, source, chapter, content) of every file under a folder: the folder above is the
-    source, the stem the chapter. Read where Spark reads; each file is a row."""
+    source, the stem the chapter. Read where Spark reads; each file is a row, but Spark leaves
+    out files without a byte."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    path = F.col("_metadata.file_path")
-    parts = F.split(path, "/")
-    return files.select(path.alias("path"), F.element_at(parts, -2).alias("source"), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]+$", "").alias("chapter"), F.col("value").alias("content"))
+    parts = F.split("path", "/")
+    named = files.select(file_path().alias("path"), F.col("value").alias("content"))
+    return named.select("path", F.element_at(parts, -2).alias("source"), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]+$", "").alias("chapter"), "content")
+
+
+def chapter_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(book, chapter, position, content) of the text files in `chapters` folders; the position
+    goes by name, so 10 comes before 2."""
+    texts = whole_texts(spark, folder, "*.txt").where("source = 'chapters'")
+    by_name = Window.partitionBy("book").orderBy("chapter", "path")
+    return texts.withColumn("book", F.element_at(F.split("path", "/"), -3)).select("book", "chapter", F.row_number().over(by_name).cast("long").alias("position"), "content")
 
 
 def chapter_text(chapters: DataFrame, texts: DataFrame, key: str) -> DataFrame:
@@ -36,7 +50,7 @@ def chapter_text(chapters: DataFrame, texts: DataFrame, key: str) -> DataFrame:
 def layout(spark: SparkSession, path: str) -> DataFrame:
     """Entries of layout JSON files (an array each), with the file and the place in it."""
     fields = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in LAYOUT.split(", "))
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.from_json("value", f"array<struct<{fields}>>")).alias("pos", "e"))
+    raw = spark.read.text(path, wholetext=True).select(file_path().alias("path"), F.posexplode(F.from_json("value", f"array<struct<{fields}>>")).alias("pos", "e"))
     return raw.select("path", "pos", "e.*")
 
 
@@ -62,18 +76,29 @@ def entry_title(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"title": F.when(fig, caption), "content": F.when(fig, parts).otherwise(F.coalesce("text", F.lit("")))})
 
 
+def without_tags(c: Column) -> Column:
+    """Without `<...>`. A `<` that nothing closes stays; only the part up to the last `>` is
+    searched, so that each `<` there ends and no text is read twice."""
+    tail = F.substring_index(c, ">", -1)
+    head = F.substring(c, F.lit(1), F.length(c) - F.length(tail))
+    return F.concat(F.regexp_replace(head, r"<[^>]*>", ""), tail)
+
+
 def html_links(pages: DataFrame, keep: list[str], html: str = "html", suffixes: tuple[str, ...] | None = LINKED) -> DataFrame:
     """(keep..., href, title, file_type): links of each page whose path has one of the
-    suffixes (None: any), each href once, the first; a blank title becomes the file's stem."""
-    pattern = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
-    text = F.col(html)
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2), lambda a, b: F.struct(a.alias("href"), b.alias("text")))
-    rows = pages.select(*keep, F.posexplode(pairs).alias("pos", "l")).select(*keep, "pos", "l.href", "l.text").withColumn("file_type", url_suffix(F.col("href")))
-    rows = rows.where(F.col("href") != "")
+    suffixes (None: any), each href once, the first; a blank title becomes the file's stem.
+
+    A page is cut once where a link's tag opens; a link ends at its end tag, where the next one
+    opens, or with the page. Each piece is read once, so broken pages cost no more than others.
+    """
+    piece = F.slice(F.split(html, r"(?i)<a(?=\s)"), 2, 1 << 30)
+    rows = pages.select(*keep, F.posexplode(piece).alias("pos", "piece"))
+    rows = rows.select(*keep, "pos", F.regexp_extract("piece", r"""(?i)^[^>]*?\shref\s*+=\s*+["']([^"']*+)["']""", 1).alias("href"), F.regexp_extract("piece", r"""(?is)^[^>]*?\shref\s*+=\s*+["'][^"']*+["'][^>]*+>(.*)$""", 1).alias("rest"))
+    rows = rows.where("href <> ''").withColumn("file_type", url_suffix(F.col("href")))
     if suffixes is not None:
         rows = rows.where(F.col("file_type").isin(*suffixes))
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keep, "href").orderBy("pos"))).where("_n = 1")
-    label = strip(F.regexp_replace("text", "<[^>]*>", ""))
+    label = strip(without_tags(F.split("rest", r"(?i)</a\s*>", 2)[0]))
     return first.select(*keep, "href", F.when(label != "", label).otherwise(url_stem(F.col("href"))).alias("title"), "file_type")
 
 

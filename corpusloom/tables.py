@@ -38,3 +38,14 @@ def discard(table: DataFrame) -> None:
     for file in table.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
         folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own, not made yet, in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of scratch() that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

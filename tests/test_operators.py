@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import latex
 from corpusloom.functions import text as T
 from corpusloom.operators import graph, interval, islands, mutate, rank, search, tree
 from corpusloom.plans import relevance, schemas, toc
@@ -217,7 +218,7 @@ def test_variables(spark, eq, want):
 
 
 def test_text_functions(spark):
-    assert one(spark, r"$$\omega$$", T.clean_latex) == r"\omega"
+    assert one(spark, r"$$\omega$$", latex.clean_latex) == r"\omega"
     assert one(spark, "  a b\n", T.strip) == "a b"
     assert one(spark, "sk-abcdd4c7", T.mask) == "****...d4c7" and one(spark, "abcd", T.mask) == "abcd"
     assert one(spark, '```json\n{"a": 1}\n```', T.strip_fence) == '{"a": 1}'

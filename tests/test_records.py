@@ -3,14 +3,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import records
 from corpusloom.operators import interval, islands, mutate, scans, search
-from corpusloom.sinks import files
-
-
-def test_chapter_files(spark, tmp_path):
-    df = spark.createDataFrame([("b", 1, "one\ntwo"), ("b", 2, ""), ("c", 10, "x")], "book string, number int, content string")
-    files.write_chapters(df, f"{tmp_path}/out")
-    got = spark.read.text(f"{tmp_path}/out", wholetext=True).collect()
-    assert sorted((r["book"], r["number"], r["value"].strip()) for r in got if r["value"].strip()) == [("b", 1, "one\ntwo"), ("c", 10, "x")]
 
 
 def test_readers(spark):
@@ -84,3 +76,12 @@ def test_guard_and_lookup(spark):
     assert [r["rejected"] for r in scans.guard(df, "s", "a").orderBy("k").collect()] == [None, "expected a, is none"]
     assert scans.lookup(df, k=None, s="a").count() == 1 and scans.lookup(df).count() == 2
     assert [r["k"] for r in df.where(scans.differs(F.col("s"), "a")).collect()] == [2]
+
+
+def test_null_keys_keep_their_id_and_are_patched(spark):
+    table = spark.createDataFrame([(1, "i1", "a", "x"), (None, "i2", "b", "y"), (3, "i3", "c", None)], "k long, id string, v string, w string")
+    rows = spark.createDataFrame([(None, "n1", "B", "Y"), (1, "n2", "A", "X"), (4, "n4", "D", "Z")], "k long, id string, v string, w string")
+    assert {(r["k"], r["id"], r["v"]) for r in mutate.upsert_keep_id(table, rows, ["k"]).collect()} == {(None, "i2", "B"), (1, "i1", "A"), (3, "i3", "c"), (4, "n4", "D")}
+    changes = spark.createDataFrame([(None, "B"), (1, None), (3, "q"), (3, "p"), (9, "z")], "k long, v string").repartition(3)
+    assert {(r["k"], r["id"], r["v"], r["w"]) for r in mutate.patch(table, changes, ["k"]).collect()} == {(None, "i2", "B", "y"), (1, "i1", "a", "x"), (3, "i3", "p", None)}
+    assert mutate.patch(table, changes, ["k"]).count() == 3
