@@ -86,26 +86,17 @@ def path_title(c: Column) -> Column:
 
 
 def chunks_fixed(c: Column, size: int) -> Column:
-    """Windows of `size` characters; an empty text has none."""
-    n = F.ceil(F.length(c) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """Windows of `size` characters; an empty text has none. The text is read once."""
+    return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{size}}}"), 0)
 
 
 def chunks_paragraphs(c: Column, size: int) -> Column:
-    """Chunks of at most `size` characters that end at the last blank line inside, if there is
-    one; a chunk starts where the last one ended. Empty texts have none."""
-
-    def add(acc: Column, _: Column) -> Column:
-        rest = F.substring(c, acc["at"] + 1, F.lit(size))
-        cut = F.length(rest) - F.length(F.element_at(F.split(rest, "\n\n"), -1))
-        n = F.when((F.length(rest) < size) | (cut <= 2), F.length(rest)).otherwise(cut)
-        piece = F.substring(rest, F.lit(1), n)
-        return F.when(n > 0, F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(acc)
-
-    # a chunk that ends at a blank line holds three characters at least
-    most = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(c, "\n\n")) + F.ceil(F.length(c) / size).cast("int")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(most, zero, add, lambda a: a["out"])
+    """Chunks of at most `size` characters: what is left if it is no longer; else up to the last
+    blank line that lies inside, if something stands before it; else `size` characters. A chunk
+    starts where the last one ended. Empty texts have none; a text is read once, and each of
+    its windows at most twice more."""
+    before_blank = [rf".{{1,{size - 2}}}(?=\n\n)"] if size > 2 else []
+    return F.regexp_extract_all(c, F.lit("(?s)" + "|".join([rf".{{1,{size}}}\z", *before_blank, f".{{1,{size}}}"])), 0)
 
 
 def parse_equation(c: Column) -> Column:

@@ -1324,6 +1324,41 @@ def _(t):
     return by_files(t, "src26", lambda folder: write_files(paper, folder, unique=True), lambda folder: files.doc_sections(files.doc_paragraphs(t._spark, folder)).select(k, "number", "title", "text"))
 
 
+# --- chunks and aliases ---
+
+
+PARAGRAPHS_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents WHERE text <> ''),
+c AS (
+  SELECT doc_id, 0 AS pos, ''::VARCHAR AS chunk, t AS rest FROM d
+  UNION ALL SELECT doc_id, pos + 1, substr(rest, 1, n), substr(rest, n + 1) FROM (
+    SELECT *, CASE WHEN length(rest) <= 1000 THEN length(rest) WHEN back BETWEEN 1 AND 998 THEN 999 - back ELSE 1000 END AS n
+    FROM (SELECT *, strpos(reverse(substr(rest, 1, 1000)), chr(10) || chr(10)) AS back FROM c WHERE rest <> '')))
+SELECT doc_id, (pos - 1)::BIGINT AS pos, sha256(chunk) AS chunk_sha256 FROM c WHERE pos > 0
+"""
+
+
+@query("win13_chunk_paragraphs", PARAGRAPHS_SQL)
+def _(t):
+    cut = T.chunks_paragraphs(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")), 1000)
+    return t.documents.select("doc_id", F.posexplode(cut).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2("chunk", 256).alias("chunk_sha256"))
+
+
+TABLE_ALIASES_SQL = """
+WITH al AS (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS c, lower(p_name || ' ' || p_partkey) AS a FROM part),
+n AS (SELECT c, a AS name FROM al UNION SELECT c, c FROM al),
+kw AS (SELECT lower(p_name || ' ' || p_partkey) AS k FROM part WHERE p_size < 3 UNION SELECT lower(p_name || ' ' || p_brand) FROM part WHERE p_size = 3 UNION SELECT lower(p_type) FROM part)
+SELECT k AS keyword FROM kw UNION SELECT name FROM n WHERE c IN (SELECT c FROM kw JOIN n ON k = name)
+"""
+
+
+@query("jn15_set05_table_aliases", TABLE_ALIASES_SQL)
+def _(t):
+    brand, part = F.concat_ws(" ", "p_name", "p_brand"), F.concat_ws(" ", "p_name", "p_partkey")
+    asked = t.part.where("p_size < 3").select(part.alias("keyword")).union(t.part.where("p_size = 3").select(brand)).union(t.part.select("p_type"))
+    return search.expand_keywords(asked, t.part.select(brand.alias("canonical"), part.alias("alias")))
+
+
 # --- catalog ---
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import latex
+from corpusloom.functions import text as T
 from corpusloom.plans import catalog, schemas
 from corpusloom.sinks import files as sinks
 from corpusloom.sinks.row_files import write_files
@@ -157,6 +158,26 @@ def test_variables_are_those_that_the_parts_were_made_of():
         assert latex.variables_of(eq) == [n for n in dict.fromkeys(want) if n.lower() not in stop], eq
 
 
+def test_chunks_against_a_loop(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["a", "bc", "\n", "\n\n", "\U0001f600", " "], k=rng.randint(1, 60))) for _ in range(400)] + ["x" * 10, "x" * 11, "", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for size in (1, 2, 3, 10):
+        for (t,), got, fixed in zip(df.collect(), [r[0] for r in df.select(T.chunks_paragraphs(F.col("t"), size)).collect()], [r[0] for r in df.select(T.chunks_fixed(F.col("t"), size)).collect()], strict=True):
+            want, rest = [], t
+            while rest:
+                blank = rest.rfind("\n\n", 0, size) if len(rest) > size else -1
+                n = blank if blank > 0 else size
+                want.append(rest[:n])
+                rest = rest[n:]
+            assert got == (None if t is None else want), (t, size)
+            assert fixed == (None if t is None else [t[i : i + size] for i in range(0, len(t), size)])
+    long = spark.range(1).select(F.repeat(F.lit("ab\n\ncdé "), 1_000_000).alias("t"))
+    began = time.time()
+    assert long.select(F.size(T.chunks_paragraphs(F.col("t"), 200_000)), F.size(T.chunks_fixed(F.col("t"), 1000))).first()[1] == 8000
+    assert time.time() - began < 20
+
+
 def test_cleaning(spark):
     for eq, want in [("  a  $$ b\n\tc ", "a b c"), (r"\ \ x", "\\x"), (r"\\\\alpha", r"\alpha"), (r"\llap{a}b\marginpar  {c d}", "b"), (r"\llap{open", r"\llap{open"), ("", ""), ("$$", "")]:
         assert latex.cleaned(eq) == want
