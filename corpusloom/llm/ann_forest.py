@@ -3,9 +3,9 @@
 The trees are fitted on a bounded sample; every row lies in one leaf of each tree. A query
 walks all trees through one shared priority queue, nearest cells first, until the leaves it
 has reached should hold a share of all rows, and never enters a cell whose planes prove that
-nothing in it can be among its k nearest. Rows are dealt out to blocks, each of which meets
-the queries' blocks: there, the rows that lie in a leaf a query has reached, in any tree, are
-ranked exactly, once, and only the best k of a block leave it.
+nothing in it can be among its k nearest. Rows and queries meet by leaf: a row travels to its
+leaf of each tree, if any query has reached that, a query to each leaf it has reached. There,
+rows are ranked exactly, and only the best k of a leaf leave it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,10 @@ LEAVES, LEAF_ROWS = 128, (8, 256)
 #: once a tree). Vectors without structure need as large a share of a large table as of a
 #: small one: see the README's table of recall.
 SEARCH_SHARE = 0.96
-#: Rows and queries that meet in one group.
+#: Rows and queries that meet in one group; larger leaves are dealt out to several.
 ROW_BLOCK, QUERY_BLOCK = 16_384, 4096
-#: Lengths of vectors that one table may hold; each is searched apart.
+#: Lengths of vectors that have a forest of their own, the commonest ones; vectors of other
+#: lengths are compared exactly with all of their length.
 MOST_LENGTHS = 16
 
 
@@ -150,53 +152,79 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, search_share: floa
     distance in double precision, itself left out; ties go to the smaller id.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part,
-    nor do null ids. Vectors of different lengths are never near each other (MOST_LENGTHS of
-    them at most). A search_share of `trees` or more is exact. Of rows with one vector only
-    the k + 1 smallest ids can be among k nearest, so only those are indexed; repeated rows
-    count once. Fewer rows give fewer neighbours, empty tables none. Other columns aren't
-    read, so their names can't clash.
+    nor do null ids. Vectors of different lengths are never near each other; there may be any
+    number of lengths. A search_share of `trees` or more is exact. Of rows with one vector only
+    the k + 1 smallest ids can be among k nearest, so only those are indexed; repeated rows and
+    repeated queries count once. An id with several vectors, of a query or a row, is as near as
+    the nearest of them. Fewer rows give fewer neighbours, empty tables none. Other columns
+    aren't read, so their names can't clash.
     """
     spark = rows.sparkSession
     kind = rows.schema[id_col].dataType.simpleString()
     whole = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("query_id").isNotNull() & usable(F.col("vec")))
-    lengths = whole.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy("d").limit(MOST_LENGTHS + 1).collect()
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    asked = asked.dropDuplicates(["query_id", "vec"])
+    size = F.size("vec")
+    lengths = whole.groupBy(size.alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(MOST_LENGTHS + 1).collect()
     if not lengths:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    found = None
-    for r in lengths:
-        some = _nearest(whole.where(F.size("vec") == r["d"]), asked.where(F.size("vec") == r["d"]), r["n"], k, search_share, trees, kind)
-        found = some if found is None else found.unionByName(some)
+    own = [r["d"] for r in lengths[:MOST_LENGTHS]]
+    found = [_by_forest(whole.where(size == d), asked.where(size == d), k, search_share, trees, kind) for d in own]
+    if len(lengths) > MOST_LENGTHS:
+        rest = materialize(_indexed(whole.where(~size.isin(own)), k).select(size.alias("cell"), "id", "vec"), "vectors")
+        found.append(_meet(rest, asked.where(~size.isin(own)).select(size.alias("cell"), "query_id", "vec"), k, kind))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    once = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    once = reduce(DataFrame.unionByName, found).groupBy("query_id", "id").agg(F.min("score").alias("score"))
     return once.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _nearest(whole: DataFrame, asked: DataFrame, n: int, k: int, search_share: float, trees: int, kind: str) -> DataFrame:
-    """(query_id, id, score): for vectors of one length, the k nearest of each block of rows."""
-    kept = whole.dropDuplicates(["vec", "id"]).withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
-    kept = materialize(kept, "vectors")
+def _indexed(rows: DataFrame, k: int) -> DataFrame:
+    """Of each vector, the k + 1 smallest ids."""
+    return rows.dropDuplicates(["vec", "id"]).withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
+
+
+def _by_forest(whole: DataFrame, asked: DataFrame, k: int, search_share: float, trees: int, kind: str) -> DataFrame:
+    """(query_id, id, score): for vectors of one length, the k nearest in each leaf reached."""
+    kept = materialize(_indexed(whole, k), "vectors")
     n = kept.count()
     forest = whole.sparkSession.sparkContext.broadcast(fit(kept, n, trees))
-    blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = forest.value
+        for b in batches:
+            if b.num_rows:
+                cell = leaves(f, _matrix(pa.chunked_array([b.column(1)]))) + np.arange(len(f.normals)) * (1 << f.depth)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(f.normals), pa.int32()), pa.array(cell.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*b.columns, cells], names=["id", "vec", "cells"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
         for b in batches:
             if b.num_rows:
-                cells = [np.packbits(probe(f, v, search_share * n, k)).tobytes() for v in _matrix(pa.chunked_array([b.column(1)]))]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.binary())], names=["query_id", "vec", "cells"])
+                cells = [np.flatnonzero(probe(f, v, search_share * n, k)).astype(np.int32) for v in _matrix(pa.chunked_array([b.column(1)]))]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=["query_id", "vec", "cells"])
+
+    placed = kept.mapInArrow(place, f"id {kind}, vec array<double>, cells array<int>").select(F.explode("cells").alias("cell"), "id", "vec")
+    probes = materialize(asked.mapInArrow(walk, f"query_id {kind}, vec array<double>, cells array<int>"), "probes")
+    # sizes of at most trees x leaves cells
+    return _meet(placed, probes.select(F.explode("cells").alias("cell"), "query_id", "vec"), k, kind, small=True)
+
+
+def _meet(rows: DataFrame, asked: DataFrame, k: int, kind: str, small: bool = False) -> DataFrame:
+    """(query_id, id, score): rows (cell, id, vec) meet the queries (cell, query_id, vec) of
+    their cell, in groups of about ROW_BLOCK rows and QUERY_BLOCK queries; the k nearest of
+    each group. Rows of cells without a query stay where they are. small: the cells are few
+    enough to broadcast their sizes."""
+    count = lambda t, block, name: t.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = count(rows, ROW_BLOCK, "blocks").join(count(asked, QUERY_BLOCK, "parts"), "cell")
+    sizes = F.broadcast(materialize(sizes, "cells")) if small else materialize(sizes, "cells")
 
     def rank(some: pa.Table, ask: pa.Table) -> pa.Table:
-        f, out = forest.value, []
+        out = []
         if some.num_rows and ask.num_rows:
             ids, x = some.column("id").to_numpy(), _matrix(some.column("vec"))
-            leaf = leaves(f, x) + np.arange(len(f.normals)) * (1 << f.depth)
-            for q, v, cells in zip(ask.column("query_id").to_pylist(), _matrix(ask.column("vec")), ask.column("cells").to_pylist(), strict=True):
-                entered = np.unpackbits(np.frombuffer(cells, np.uint8)).astype(bool)
-                at = np.flatnonzero(entered[leaf].any(axis=1) & (ids != q))
+            for q, v in zip(ask.column("query_id").to_pylist(), _matrix(ask.column("vec")), strict=True):
+                at = np.flatnonzero(ids != q)
                 score = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
                 if len(at) > k:
                     near = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
@@ -206,7 +234,8 @@ def _nearest(whole: DataFrame, asked: DataFrame, n: int, k: int, search_share: f
         none = pa.table({"query_id": ask.column("query_id").slice(0, 0), "id": some.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
         return pa.concat_tables(out or [none])
 
-    probes = asked.mapInArrow(walk, f"query_id {kind}, vec array<double>, cells binary")
-    placed = kept.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "id", "vec")
-    dealt = probes.select(F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", "vec", "cells")
-    return placed.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(rank, f"query_id {kind}, id {kind}, score double")
+    deal = lambda key, most: F.pmod(F.xxhash64(key), F.col(most)).cast("int")
+    every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+    placed = rows.join(sizes, "cell").select("cell", deal("id", "blocks").alias("block"), every("parts").alias("part"), "id", "vec")
+    dealt = asked.join(sizes, "cell").select("cell", every("blocks").alias("block"), deal("query_id", "parts").alias("part"), "query_id", "vec")
+    return placed.groupBy("cell", "block", "part").cogroup(dealt.groupBy("cell", "block", "part")).applyInArrow(rank, f"query_id {kind}, id {kind}, score double")

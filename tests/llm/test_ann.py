@@ -94,3 +94,46 @@ def test_recall_holds_as_the_table_grows(spark, tmp_path):
         hit = sum(len({i for i, _ in exact(np.arange(n), x.astype(float), q, x[q].astype(float), 10)} & set(got[got.query_id == q].vec_id)) for q in asked)
         print(n, hit / (10 * len(asked)))
         assert hit / (10 * len(asked)) >= 0.9
+
+
+def test_any_number_of_lengths(spark, monkeypatch):
+    """Lengths beyond the commonest are searched too, exactly."""
+    monkeypatch.setattr(A, "MOST_LENGTHS", 2)
+    monkeypatch.setattr(A, "ROW_BLOCK", 3)
+    monkeypatch.setattr(A, "QUERY_BLOCK", 2)
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=1 + i % 19).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = A.nearest(df, df.where("vec_id < 60"), k=4, search_share=A.TREES).collect()
+    for q in range(60):
+        like = [i for i in range(200) if i % 19 == q % 19]
+        x = np.array([rows[i][1] for i in like])
+        assert sorted((m["rank"], m["vec_id"]) for m in got if m["query_id"] == q) == [(n + 1, i) for n, (i, _) in enumerate(exact(np.array(like), x, q, np.array(rows[q][1]), 4))]
+
+
+def test_repeated_queries_and_ids_with_several_vectors(spark):
+    rows = [(1, [0.0, 1.0]), (2, [0.0, 5.0]), (2, [9.0, 9.0]), (3, [8.0, 9.0]), (4, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id in (1, 2)")
+    got = A.nearest(df, asked.unionByName(asked), k=2).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 4, 2.0), (1, 2, 2, 4.0), (2, 1, 3, 1.0), (2, 2, 4, 2.0)]
+
+
+def test_rows_travel_only_to_leaves_that_are_reached(spark, monkeypatch):
+    """Queries from one of 40 clusters: few of the other clusters' rows are dealt out."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(40, 16)) * 20
+    x = centres[np.arange(4000) % 40] + r.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    met = []
+    meet = A._meet
+
+    def counted(rows, asked, *more, **named):
+        met.append(rows.join(asked.select("cell").distinct(), "cell").count() / rows.count())
+        return meet(rows, asked, *more, **named)
+
+    monkeypatch.setattr(A, "_meet", counted)
+    got = A.nearest(df, df.where("vec_id % 400 = 0"), k=5).toPandas()
+    assert met[0] < 0.5
+    hit = sum(len({i for i, _ in exact(np.arange(4000), x, q, x[q], 5)} & set(got[got.query_id == q].vec_id)) for q in range(0, 4000, 400))
+    assert hit / 50 >= 0.9
