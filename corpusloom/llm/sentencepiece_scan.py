@@ -308,8 +308,11 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(id, keep..., ids binary, score double): pieces of each whole text, as little-endian
-    uint16. Null and empty texts have none and score 0. Repeated rows stay. A literal word
-    mark in a text decodes to a space, as in the library."""
+    uint16. Null and empty texts have none and score 0; an empty table gives none. Repeated rows
+    and null ids stay. Of paths with equal scores the one whose last pieces start earliest is
+    taken, in chunks as in whole texts. A literal word mark in a text decodes to a space, as in
+    the library. Columns of docs that keep doesn't name aren't read, so any name may occur;
+    those it names are called other than ids, score, _text and _row."""
     if chunk < 64:
         raise ValueError("chunks of 64 characters at least")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(id_col, *keep).schema)
@@ -329,13 +332,29 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, id_col: str = "doc_i
 
 def _encode_giants(docs: DataFrame, model: str, chunk: int, keep: list[str]) -> DataFrame:
     giants = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "giants")
-    size = F.length("_text") + 1
-    marked = F.concat(F.lit(MARK), F.translate("_text", " ", MARK))
-    count = F.ceil(size / chunk).cast("int")
     look = 64  # at least the longest piece
-    cut = giants.select("_row", marked.alias("m"), count.alias("n"), size.alias("size"))
-    cut = cut.select("_row", "n", "size", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"))
-    chunks = materialize(cut.select("_row", "c", (F.col("c") == F.col("n") - 1).alias("last"), F.least(F.lit(chunk), F.col("size") - F.col("c") * chunk).cast("int").alias("n"), F.substring("m", F.col("c") * chunk + 1, F.lit(chunk + look)).alias("text")).repartition("_row", "c"), "giant-chunks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of each text, 64 a batch: a text is read once, from left to right."""
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                m = mark(text.as_py())
+                size = -(-len(m) // chunk)
+                for i in range(0, size, 64):
+                    at = range(i, min(i + 64, size))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row] * len(at), pa.int64()),
+                            pa.array(at, pa.int32()),
+                            pa.array([c == size - 1 for c in at]),
+                            pa.array([min(chunk, len(m) - c * chunk) for c in at], pa.int32()),
+                            pa.array([m[c * chunk : (c + 1) * chunk + look] for c in at]),
+                        ],
+                        names=["_row", "c", "last", "n", "text"],
+                    )
+
+    pieces = giants.select("_row", "_text").mapInArrow(cut, "_row long, c int, last boolean, n int, text string")
+    chunks = materialize(pieces.repartition("_row", "c"), "giant-chunks")
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from corpusloom.llm import sentencepiece_scan as S
 
@@ -74,3 +75,16 @@ def test_chunks_match_whole(spark, chunk):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.encode(docs, PATH).collect() == []
+
+
+def test_giants_with_the_default_chunk_and_clashing_names(spark):
+    v = S.vocabulary(PATH)
+    long = " ".join(texts(9, 4000)) * 3
+    assert len(long) > 3 * S.CHUNK
+    rows = [(1, long, "a", 1, 2), (1, long, "b", 1, 2), (None, "x" * S.CHUNK, "c", 1, 2), (2, "é " * S.CHUNK, "d", 1, 2), (3, "short", "e", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string, ids int, _row int").withColumns({"score": F.lit(0), "_text": F.lit("no")})
+    got = S.encode(docs, PATH, keep=["name"]).collect()
+    assert sorted(r["name"] for r in got) == list("abcde")
+    for r in got:
+        text = next(t for _, t, n, *_ in rows if n == r["name"])
+        assert (bytes(r["ids"]), r["score"]) == v.encode_marked(S.mark(text))
