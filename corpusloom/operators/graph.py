@@ -20,15 +20,20 @@ def incidence(edges: DataFrame, node, src: str, dst: str) -> DataFrame:
     return edges.where(F.col(src) == node).withColumn("direction", F.lit("outgoing")).unionByName(edges.where(F.col(dst) == node).withColumn("direction", F.lit("incoming")))
 
 
-def co_occurrence(members: DataFrame, item: str, shared: str) -> DataFrame:
-    """Pairs (a < b) of items that share something, and how many things.
+def co_occurrence(members: DataFrame, item: str, shared: str, block: int = 2048) -> DataFrame:
+    """Pairs (a < b) of items that share something, and how many things. Nulls share nothing.
 
     Grows with the square of an item list; meant for short lists of things such as the
-    variables of equations or the lines of an order.
+    variables of equations or the lines of an order. A list of over `block` items is dealt out
+    to blocks; each pair of blocks meets by itself, so that no list is squared in one task.
     """
-    m = members.select(item, shared).distinct()
-    a, b = m.select(F.col(item).alias("a"), shared), m.select(F.col(item).alias("b"), shared)
-    return a.join(b, shared).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    m = members.select(F.col(item).alias("i"), F.col(shared).alias("s")).where("i IS NOT NULL AND s IS NOT NULL").distinct()
+    long = m.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = m.join(long, "s", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine, every = F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = dealt.select("s", mine.alias("x"), every.alias("y"), F.col("i").alias("a"))
+    b = dealt.select("s", every.alias("x"), mine.alias("y"), F.col("i").alias("b"))
+    return a.join(b, ["s", "x", "y"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def title_ids(nodes: DataFrame, title: str, key: str, order: str, scope: list[str] | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 """Intervals of any width, groups of any size and trees of any depth, against plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import interval, islands, ordered, rank, tree
+from corpusloom.operators import graph, interval, islands, ordered, rank, tree
 
 
 @pytest.fixture
@@ -140,3 +141,23 @@ def test_layers(spark):
     layer |= {v: None for v in range(70, 75)}
     got = tree.layers(spark.createDataFrame([(v,) for v in names], "id int"), spark.createDataFrame(edges, "a int, b int"), "id", "a", "b").collect()
     assert {x["id"]: x["layer"] for x in got} == layer
+
+
+def test_a_long_list_is_not_squared_in_one_task(spark):
+    """One thing shared by 600 items, many by few: blocks of 50 give what no blocks give."""
+    rng = random.Random(12)
+    rows = [(i, 0) for i in range(600)] + [(rng.randrange(700), rng.randrange(1, 200)) for _ in range(900)] + [(1, None), (None, 1), (5, 0), (5, 0)]
+    df = spark.createDataFrame(rows, "b long, n long")
+    want = Counter()
+    by = {}
+    for i, s in set(rows):
+        if i is not None and s is not None:
+            by.setdefault(s, []).append(i)
+    for items in by.values():
+        want.update((x, y) for x in items for y in items if x < y)
+    for block in (50, 2048):
+        pairs = graph.co_occurrence(df, "b", "n", block)
+        assert {(r["a"], r["b"]): r["n"] for r in pairs.collect()} == want
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert graph.co_occurrence(df.limit(0), "b", "n").collect() == []
