@@ -35,6 +35,8 @@ LEAVES, LEAF_ROWS = 128, (8, 256)
 SEARCH_SHARE = 0.96
 #: Rows and queries that meet in one group; larger leaves are dealt out to several.
 ROW_BLOCK, QUERY_BLOCK = 16_384, 4096
+#: Components of differences that are held at once; at least those of one query in a group.
+COMPARED = 1 << 20
 #: Lengths of vectors that have a forest of their own, the commonest ones; vectors of other
 #: lengths are compared exactly with all of their length.
 MOST_LENGTHS = 16
@@ -142,9 +144,9 @@ def probe(forest: Forest, x: np.ndarray, search_rows: float, k: int) -> np.ndarr
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Arrow lists of doubles, all of one length, as rows."""
+    """Arrow lists of floats or doubles, all of one length, as rows of doubles."""
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, search_share: float = SEARCH_SHARE, trees: int = TREES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -161,8 +163,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, search_share: floa
     """
     spark = rows.sparkSession
     kind = rows.schema[id_col].dataType.simpleString()
-    whole = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("query_id").isNotNull() & usable(F.col("vec")))
+    # floats travel as such and become doubles where they are compared
+    vec = "array<float>" if {t.schema[vec_col].dataType.simpleString() for t in (rows, queries)} == {"array<float>"} else "array<double>"
+    whole = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast(vec).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast(vec).alias("vec")).where(F.col("query_id").isNotNull() & usable(F.col("vec")))
     asked = asked.dropDuplicates(["query_id", "vec"])
     size = F.size("vec")
     lengths = whole.groupBy(size.alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(MOST_LENGTHS + 1).collect()
@@ -186,7 +190,7 @@ def _indexed(rows: DataFrame, k: int) -> DataFrame:
 def _by_forest(whole: DataFrame, asked: DataFrame, k: int, search_share: float, trees: int, kind: str) -> DataFrame:
     """(query_id, id, score): for vectors of one length, the k nearest in each leaf reached."""
     kept = materialize(_indexed(whole, k), "vectors")
-    n = kept.count()
+    n, vec = kept.count(), whole.schema["vec"].dataType.simpleString()
     forest = whole.sparkSession.sparkContext.broadcast(fit(kept, n, trees))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +208,8 @@ def _by_forest(whole: DataFrame, asked: DataFrame, k: int, search_share: float,
                 cells = [np.flatnonzero(probe(f, v, search_share * n, k)).astype(np.int32) for v in _matrix(pa.chunked_array([b.column(1)]))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=["query_id", "vec", "cells"])
 
-    placed = kept.mapInArrow(place, f"id {kind}, vec array<double>, cells array<int>").select(F.explode("cells").alias("cell"), "id", "vec")
-    probes = materialize(asked.mapInArrow(walk, f"query_id {kind}, vec array<double>, cells array<int>"), "probes")
+    placed = kept.mapInArrow(place, f"id {kind}, vec {vec}, cells array<int>").select(F.explode("cells").alias("cell"), "id", "vec")
+    probes = materialize(asked.mapInArrow(walk, f"query_id {kind}, vec {vec}, cells array<int>"), "probes")
     # sizes of at most trees x leaves cells
     return _meet(placed, probes.select(F.explode("cells").alias("cell"), "query_id", "vec"), k, kind, small=True)
 
@@ -220,19 +224,25 @@ def _meet(rows: DataFrame, asked: DataFrame, k: int, kind: str, small: bool = Fa
     sizes = F.broadcast(materialize(sizes, "cells")) if small else materialize(sizes, "cells")
 
     def rank(some: pa.Table, ask: pa.Table) -> pa.Table:
-        out = []
-        if some.num_rows and ask.num_rows:
-            ids, x = some.column("id").to_numpy(), _matrix(some.column("vec"))
-            for q, v in zip(ask.column("query_id").to_pylist(), _matrix(ask.column("vec")), strict=True):
-                at = np.flatnonzero(ids != q)
-                score = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
-                if len(at) > k:
-                    near = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
-                    at, score = at[near], score[near]
-                best = np.lexsort((ids[at], score))[:k]
-                out.append(pa.table({"query_id": pa.array([q] * len(best), ask.schema.field("query_id").type), "id": some.column("id").take(pa.array(at[best])), "score": pa.array(score[best])}))
-        none = pa.table({"query_id": ask.column("query_id").slice(0, 0), "id": some.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
-        return pa.concat_tables(out or [none])
+        ids, qids = some.column("id").to_numpy(), ask.column("query_id").to_numpy()
+        asking, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(ids) and len(qids):
+            x, v, order = _matrix(some.column("vec")), _matrix(ask.column("vec")), np.unique(ids, return_inverse=True)[1]
+            step = max(1, COMPARED // x.size)
+            for i in range(0, len(v), step):
+                score = np.sqrt(((x[None] - v[i : i + step, None]) ** 2).sum(axis=2))
+                own = ids[None] == qids[i : i + step, None]
+                score[own] = np.inf
+                last = np.partition(score, k - 1, axis=1)[:, k - 1 : k] if len(ids) > k else np.inf
+                q, at = np.nonzero((score <= last) & ~own)
+                by = np.lexsort((order[at], score[q, at], q))
+                q, at = q[by], at[by]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, at = q[best], at[best]
+                asking.append(q + i)
+                found.append(at)
+                scores.append(score[q, at])
+        return pa.table({"query_id": ask.column("query_id").take(pa.array(np.concatenate(asking))), "id": some.column("id").take(pa.array(np.concatenate(found))), "score": pa.array(np.concatenate(scores))})
 
     deal = lambda key, most: F.pmod(F.xxhash64(key), F.col(most)).cast("int")
     every = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
