@@ -209,7 +209,9 @@ def _by_forest(whole: DataFrame, asked: DataFrame, k: int, search_share: float,
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int32()))], names=["query_id", "vec", "cells"])
 
     placed = kept.mapInArrow(place, f"id {kind}, vec {vec}, cells array<int>").select(F.explode("cells").alias("cell"), "id", "vec")
-    probes = materialize(asked.mapInArrow(walk, f"query_id {kind}, vec {vec}, cells array<int>"), "probes")
+    # a walk takes milliseconds and a query few bytes, so tasks go by queries, not by bytes
+    tasks = max(whole.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // QUERY_BLOCK))
+    probes = materialize(asked.repartition(tasks, "query_id", "vec").mapInArrow(walk, f"query_id {kind}, vec {vec}, cells array<int>"), "probes")
     # sizes of at most trees x leaves cells
     return _meet(placed, probes.select(F.explode("cells").alias("cell"), "query_id", "vec"), k, kind, small=True)
 
