@@ -121,38 +121,40 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     more, by doubling; and the values of neighbours' common prefixes below 8 (else -1)."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64)
     order = np.argsort(key)
     sorted_key = key[order]
     diff = sorted_key[1:] ^ sorted_key[:-1]
     lcp = np.full(n + 1, -1, np.int16)
     lcp[0] = lcp[n] = 0
     new = np.concatenate(([True], diff != 0))
-    apart = np.flatnonzero(diff)
-    lcp[1 + apart] = 7 - np.searchsorted(np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64), diff[apart], side="right")
-    rank = np.empty(n, np.int64)
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = start
-    reach = 8
+    shared = np.zeros(n - 1, np.int16)
+    for k in range(8, 64, 8):
+        shared += diff < np.uint64(1 << k)
+    lcp[1:n] = np.where(new[1:], shared, -1)
+    rank = np.empty(n + 1, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank[n] = -1  # what lies beyond the end
+    bits, reach = n.bit_length(), 8
     while reach < depth:
         head = np.concatenate((new, [True]))
         tied = np.flatnonzero(~(head[:-1] & head[1:]))
         if not len(tied):
             break
         who = order[tied]
-        nxt = who + reach
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
-        again = np.argsort(rank[who] * (n + 1) + second)
-        who, second = who[again], second[again]
+        g, second = rank[who], rank[np.minimum(who + reach, n)] + 1
+        if 3 * bits < 64:  # rank, next rank and place in one number: sorting values is faster than sorting places
+            both = np.sort(g << (2 * bits) | second << bits | who)
+            who, pair = both & ((1 << bits) - 1), both >> bits
+        else:
+            pair = g * (n + 1) + second
+            again = np.argsort(pair)
+            who, pair = who[again], pair[again]
         order[tied] = who
-        g = rank[who]
-        apart = np.concatenate(([True], (g[1:] != g[:-1]) | (second[1:] != second[:-1])))
+        apart = np.concatenate(([True], pair[1:] != pair[:-1]))
         new = np.ones(n, bool)
         new[tied] = apart
-        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[order[tied]] = start[tied]
+        rank[who] = np.maximum.accumulate(np.where(apart, tied, 0))
         reach *= 2
     return order, lcp
 
@@ -179,18 +181,22 @@ def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
         if not len(left):
             break
         size = right - left
-        total = np.cumsum(size)
-        place = np.arange(total[-1]) - np.repeat(total - size - left, size)
-        to = step[place]
-        sym = before[place]
-        inside = np.repeat(np.arange(len(left)), size)
-        if len(to) > len(left):
-            by = np.argsort(inside * 256 + sym, kind="stable")
-            to, sym, inside = to[by], sym[by], inside[by]
-        first = np.concatenate(([True], (sym[1:] != sym[:-1]) | (inside[1:] != inside[:-1])))
-        low = to[first]
-        high = to[np.concatenate((np.flatnonzero(first)[1:] - 1, [len(to) - 1]))] + 1
-        keep = (sym[first] > 0) & (lcp[high] < 0)
+        one = size == 1  # of one place, so of one symbol
+        single = left[one]
+        low, sym = step[single], before[single]
+        high = low + 1
+        if len(single) < len(left):
+            left, size = left[~one], size[~one]
+            total = np.cumsum(size)
+            place = np.arange(total[-1]) - np.repeat(total - size - left, size)
+            part = np.repeat(np.arange(len(left)) << 8, size) | before[place]
+            by = np.argsort(part, kind="stable")
+            to, part = step[place[by]], part[by]
+            edge = np.flatnonzero(part[1:] != part[:-1])
+            low = np.concatenate((low, to[:1], to[edge + 1]))
+            high = np.concatenate((high, to[edge] + 1, to[-1:] + 1))
+            sym = np.concatenate((sym, part[:1] & 255, part[edge + 1] & 255))
+        keep = (sym > 0) & (lcp[high] < 0)
         low, high = low[keep], high[keep]
         lcp[high] = level
         left, right = low, high
@@ -203,7 +209,7 @@ def repeated(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, length:
     sizes = np.array([len(c) for c in contexts], np.int64)
     joined = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     off = np.cumsum(sizes + 1) - (sizes + 1)
-    seen = np.unique(joined)
+    seen = np.flatnonzero(np.bincount(joined, minlength=256))
     code = np.zeros(256, np.uint8)
     code[seen] = np.arange(1, len(seen) + 1) if len(seen) < 256 else seen
     text = code[joined]

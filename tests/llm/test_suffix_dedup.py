@@ -189,3 +189,18 @@ def test_text_of_20_mib(spark):
     df = spark.createDataFrame([(1, raw.tobytes().decode()), (2, raw[19_000_000:19_000_500].tobytes().decode())], "doc_id long, text string")
     got = {r["doc_id"]: r["_spans"] for r in S.drop_repeats(df).select("doc_id", "_spans").collect()}
     assert [(s["from"], s["to"]) for s in got[1]] == [(17_000_000, 17_100_000)] and [(s["from"], s["to"]) for s in got[2]] == [(0, 500)]
+
+
+def test_suffix_order_of_ties_and_repeats():
+    rng = np.random.default_rng(8)
+    copies = np.concatenate([np.tile(rng.integers(1, 4, 150).astype(np.uint8), 3), np.zeros(1, np.uint8)])
+    for text in (copies, np.ones(300, np.uint8), np.array([1], np.uint8), np.array([255, 255, 0, 255], np.uint8)):
+        order, lcp = S.suffix_order(text, 100)
+        raw = text.tobytes()
+        assert sorted(order.tolist()) == list(range(len(text)))
+        kept = [raw[i : i + 100] for i in order]
+        assert kept == sorted(kept)
+        for i in range(1, len(text)):
+            a, b = raw[order[i - 1] :].ljust(8, b"\0")[:8], raw[order[i] :].ljust(8, b"\0")[:8]
+            same = next((k for k in range(8) if a[k] != b[k]), 8)
+            assert lcp[i] == (same if same < 8 else -1)
