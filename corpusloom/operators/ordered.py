@@ -23,8 +23,8 @@ _PART = "_part"
 
 @dataclass
 class Step:
-    """One value a row: `kind` is sum (of all rows before), last (the last non-null value
-    before) or next (the first non-null value after)."""
+    """One value a row: `kind` is sum or max (of all rows before), last (the last non-null
+    value before) or next (the first non-null value after)."""
 
     kind: str
     value: Column
@@ -32,21 +32,27 @@ class Step:
     def near(self, w: WindowSpec, back: WindowSpec) -> Column:
         """Within the rows of a window; `back` is the window from the end."""
         rows = (back if self.kind == "next" else w).rowsBetween(Window.unboundedPreceding, -1)
-        return F.sum(self.value).over(rows) if self.kind == "sum" else F.last(self.value, ignorenulls=True).over(rows)
+        return self._over(self.value, rows)
+
+    def _over(self, value: Column, rows: WindowSpec) -> Column:
+        made = {"sum": F.sum, "max": F.max}.get(self.kind)
+        return (made(value) if made else F.last(value, ignorenulls=True)).over(rows)
 
     def whole(self, order: list[Column]) -> Column:
         """Of all rows of a partition, as an aggregate: a struct that isn't null if it says
         something."""
-        if self.kind == "sum":
-            return F.struct(F.sum(self.value).alias("v"))
+        if self.kind in ("sum", "max"):
+            return F.struct((F.sum if self.kind == "sum" else F.max)(self.value).alias("v"))
         keyed = F.when(self.value.isNotNull(), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), self.value.alias("v")))
         return F.max(keyed) if self.kind == "last" else F.min(keyed)
 
     def carried(self, c: str, parts: WindowSpec, back: WindowSpec) -> Column:
         rows = (back if self.kind == "next" else parts).rowsBetween(Window.unboundedPreceding, -1)
-        return F.sum(F.col(f"{c}.v")).over(rows) if self.kind == "sum" else F.last(F.col(f"{c}.v"), ignorenulls=True).over(rows)
+        return self._over(F.col(f"{c}.v"), rows)
 
     def joined(self, here: Column, carry: Column) -> Column:
+        if self.kind == "max":
+            return F.greatest(here, carry)
         return F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0)) if self.kind == "sum" else F.coalesce(here, carry)
 
 
@@ -55,6 +61,11 @@ def sum_before(value: Column) -> Step:
     return Step("sum", value)
 
 
+def max_before(value: Column) -> Step:
+    """The greatest of all rows before; null for the first."""
+    return Step("max", value)
+
+
 def last_before(value: Column) -> Step:
     return Step("last", value)
 

@@ -161,3 +161,20 @@ def test_a_long_list_is_not_squared_in_one_task(spark):
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert graph.co_occurrence(df.limit(0), "b", "n").collect() == []
+
+
+def test_first_interval_takes_no_row_a_level(spark):
+    """Each page and each interval comes once, however wide intervals are, and none is broadcast."""
+    r = random.Random(4)
+    i = [(g, n, lo, lo + r.choice([0, 3, 10**6, 10**12, -5])) for g in (1, 2, None) for n, lo in enumerate(r.choices(range(-50, 400), k=80))] + [(1, 900, None, 5), (1, 901, 5, None)]
+    p = [(g, x) for g in (1, 2, 3, None) for x in [*range(-60, 420, 7), 10**11, None]]
+    points, intervals = spark.createDataFrame(p, "g int, page long"), spark.createDataFrame(i, "g int, sec long, lo long, hi long")
+    want = []
+    for g, x in p:
+        holds = [(lo, n) for h, n, lo, hi in i if g is not None and h == g and None not in (x, lo, hi) and lo <= x <= hi]
+        want += [(g, x, min(holds)[1])] if holds else []
+    for spread in (False, True):
+        found = interval.assign_first(points, intervals, ["g"], "page", "lo", "hi", "sec", spread=spread)
+        assert sorted(tuple(x) for x in found.select("g", "page", "sec").collect()) == sorted(want)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan
