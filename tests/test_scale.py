@@ -178,3 +178,16 @@ def test_first_interval_takes_no_row_a_level(spark):
         assert sorted(tuple(x) for x in found.select("g", "page", "sec").collect()) == sorted(want)
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan
+
+
+def test_range_children_are_dealt_to_as_many_tasks_as_the_pairs_need(spark, monkeypatch):
+    monkeypatch.setattr("corpusloom.tables.ROWS_A_TASK", 5_000)
+    monkeypatch.setattr(interval, "BLOCK", 16)
+    up = spark.createDataFrame([(0, n, n % 7, n % 7 + 4) for n in range(200)], "g int, parent long, lo long, hi long")
+    low = spark.createDataFrame([(0, n, n % 9) for n in range(300)] + [(0, 1, 1)], "g int, child long, page long")
+    found = interval.range_children(up, low, ["g"], "lo", "hi", "page", "parent")
+    pairs = found.select("parent", "child", F.spark_partition_id().alias("at")).collect()
+    want = sorted((a, b) for a in range(200) for b in [*range(300), 1] if a % 7 <= b % 9 <= a % 7 + 4)
+    assert sorted((x["parent"], x["child"]) for x in pairs) == want
+    sizes = Counter(x["at"] for x in pairs)
+    assert len(sizes) > 3 and max(sizes.values()) < len(want) / 2
