@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.rank import first_by_key
+from corpusloom.tables import tasks_for, written
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame, types: list[str] | None = None, src: str = "source_node_id", dst: str = "target_node_id", kind: str = "relationship_type", key: str = "id") -> DataFrame:
@@ -26,14 +27,21 @@ def co_occurrence(members: DataFrame, item: str, shared: str, block: int = 2048)
     Grows with the square of an item list; meant for short lists of things such as the
     variables of equations or the lines of an order. A list of over `block` items is dealt out
     to blocks; each pair of blocks meets by itself, so that no list is squared in one task.
+    Meetings are counted first, and there are as many tasks as they need.
     """
-    m = members.select(F.col(item).alias("i"), F.col(shared).alias("s")).where("i IS NOT NULL AND s IS NOT NULL").distinct()
-    long = m.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    m = written(members.select(F.col(item).alias("i"), F.col(shared).alias("s")).where("i IS NOT NULL AND s IS NOT NULL").distinct(), "members")
+    lists = m.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    long = lists.select("s", F.ceil(F.col("n") / block).cast("int").alias("blocks")).where("blocks > 1")
     dealt = m.join(long, "s", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine, every = F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a = dealt.select("s", mine.alias("x"), every.alias("y"), F.col("i").alias("a"))
     b = dealt.select("s", every.alias("x"), mine.alias("y"), F.col("i").alias("b"))
-    return a.join(b, ["s", "x", "y"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    meetings, items = lists.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0, m.agg(F.approx_count_distinct("i")).first()[0]
+    n, on = tasks_for(meetings), ["s", "x", "y"]
+    met = a.repartition(n, *on).join(b.repartition(n, *on).hint("merge"), on).where("a < b").select("a", "b")
+    if meetings < 4 * items * items:  # few pairs come again, so rows travel as they are, to as many tasks
+        met = met.repartition(n, "a", "b")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def title_ids(nodes: DataFrame, title: str, key: str, order: str, scope: list[str] | None = None) -> DataFrame:

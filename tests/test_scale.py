@@ -191,3 +191,14 @@ def test_range_children_are_dealt_to_as_many_tasks_as_the_pairs_need(spark, monk
     assert sorted((x["parent"], x["child"]) for x in pairs) == want
     sizes = Counter(x["at"] for x in pairs)
     assert len(sizes) > 3 and max(sizes.values()) < len(want) / 2
+
+
+def test_co_occurrence_is_dealt_to_as_many_tasks_as_the_meetings_need(spark, monkeypatch):
+    monkeypatch.setattr("corpusloom.tables.ROWS_A_TASK", 2_000)
+    lists = {s: random.Random(s).sample(range(3000), 30) for s in range(60)}
+    m = spark.createDataFrame([(i, s) for s, xs in lists.items() for i in xs], "i int, s int")
+    rows = graph.co_occurrence(m, "i", "s").withColumn("at", F.spark_partition_id()).collect()
+    want = Counter((a, b) for xs in lists.values() for a in xs for b in xs if a < b)
+    assert {(r["a"], r["b"]): r["n"] for r in rows} == want
+    sizes = Counter(r["at"] for r in rows)
+    assert len(sizes) > 10 and max(sizes.values()) < 3_000
