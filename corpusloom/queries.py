@@ -1284,7 +1284,7 @@ def _(t):
         F.concat(F.lit("About "), name, F.lit(".")).alias("summary"), F.array(concept(name, F.array(F.lit("x"), F.lit("y")), "EXPLAINS", "main"), concept(kind, none, "USES", "aux")).alias("key_concepts"),
         F.when(key % 2 == 0, F.array(kind, F.lit("algebra"))).otherwise(none).alias("prerequisites"), none.alias("mathematical_content"), (key % 3 == 0).alias("has_figures"), none.alias("figure_descriptions"),
     )
-    made = t.part.select(F.concat(F.lit("b/chapter_"), key.cast("string"), F.lit(".md")).alias("name"), sinks.description_md(d).alias("content"))
+    made = t.part.select(F.concat(F.col("p_brand"), F.lit("/chapter_"), key.cast("string"), F.lit(".md")).alias("name"), sinks.description_md(d).alias("content"))
 
     def read(folder: str) -> DataFrame:
         back = files.whole_texts(t._spark, folder).select(sinks.description_from_md(F.col("content")).alias("d")).select("d.*")

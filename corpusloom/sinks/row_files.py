@@ -22,6 +22,9 @@ from pyspark.sql.types import StructType
 
 from corpusloom.operators.rank import first_by_key
 
+#: Files that a task writes, about.
+FILES_A_TASK = 20_000
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -66,7 +69,7 @@ class RowFilesWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = filesystem(self.path)
-        staged = f"{root}/_temporary/{self.job}"
+        staged = f"{root}/_temporary/{self.job}/{uuid.uuid4().hex}"  # a folder of its own: tasks wait for each other in a shared one
         system.create_dir(staged, recursive=True)
         made, done = set(), Written(0, 0)
         for batch in iterator:
@@ -106,10 +109,12 @@ class RowFilesWriter(DataSourceArrowWriter):
 def write_files(files: DataFrame, folder: str, name: str = "name", content: str = "content", keep: bool = False, unique: bool = False) -> None:
     """Writes each row's content (text or bytes; null: an empty file) as a file of that name
     under the folder, which all executors share. Of rows with one name the first by content;
-    unique: the caller knows that names don't repeat, and rows stay where they are. keep: files
-    that are there stay as they are. An empty table writes `_SUCCESS` alone."""
+    unique: the caller knows that names don't repeat. keep: files that are there stay as they
+    are. An empty table writes `_SUCCESS` alone. Rows are counted and dealt to tasks of FILES_A_TASK
+    files: what takes time is the number of files, which Spark, going by bytes, leaves in few tasks."""
     files.sparkSession.dataSource.register(RowFiles)
     rows = files.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"))
+    rows = rows.repartition(max(1, -(-files.count() // FILES_A_TASK)), "name")
     if not unique:
         rows = first_by_key(rows, [F.col("name")], [F.col("content")])
     rows.write.format("row_files").option("existing", "keep" if keep else "replace").mode("append").save(folder)

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip, url_stem, url_suffix
+from corpusloom.sinks.row_files import filesystem
+from corpusloom.tables import written
 
 LAYOUT = "type string, text string, text_format string, img_path string, image_caption array<string>, image_footnote array<string>, table_body string, page_idx int"
 SUPPORTED = ("pdf", "pptx", "docx", "txt", "md", "xlsx")
 LINKED = ("pdf", "pptx", "docx")
+#: Tasks that list folders at once; files that a task reads, and bytes of them in a batch.
+LISTERS, READ_FILES, READ_BYTES = 200, 20_000, 1 << 22
 
 
 def file_path() -> Column:
@@ -24,13 +33,76 @@ def file_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, bytes) of the files under a folder whose name fits the pattern, also in folders
+    of any depth; names that begin with `_` or `.` are left out. Each round lists all folders of
+    one depth in tasks, so the driver holds no names; it counts the folders that come next."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = filesystem(folder)
+        for b in batches:
+            for top in b.column(0).to_pylist():
+                rows = ((x.base_name, x.type == fs.FileType.Directory, x.size) for x in _entries(system, root + top[len(folder) :]))
+                kept = ((f"{top}/{n}", d, z) for n, d, z in rows if not n.startswith(("_", ".")) and (d or fnmatchcase(n, pattern)))
+                while some := list(islice(kept, 10_000)):
+                    path, down, size = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(down, pa.bool_()), pa.array(size, pa.int64())], names=["path", "down", "bytes"])
+
+    folder = folder.rstrip("/")
+    found, level = [], spark.createDataFrame([(folder,)], "path string")
+    while True:
+        seen = written(level.mapInArrow(look, "path string, down boolean, bytes long"), "listing")
+        found.append(seen.where("NOT down").select("path", "bytes"))
+        below = seen.where("down").select("path")
+        if not (n := below.count()):
+            break
+        level = below.repartition(min(n, LISTERS))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _entries(system: fs.FileSystem, root: str) -> Iterator:
+    """What lies in a folder. A local folder of any size is read a name at a time."""
+    if not isinstance(system, fs.LocalFileSystem):
+        yield from system.get_file_info(fs.FileSelector(root))
+        return
+    with os.scandir(root) as names:
+        for x in names:
+            down = x.is_dir()
+            yield fs.FileInfo(x.path, fs.FileType.Directory if down else fs.FileType.File, size=None if down else x.stat().st_size)
+
+
+def contents(files: DataFrame, folder: str) -> DataFrame:
+    """(path, raw) of files listed under the folder, read in tasks of READ_FILES files each. A batch of files
+    ends at READ_BYTES."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, raws, size = [], [], 0
+        system, root = filesystem(folder)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with system.open_input_stream(root + path[len(folder) :]) as f:
+                    raws.append(f.read())
+                paths.append(path)
+                size += len(raws[-1])
+                if size >= READ_BYTES or len(paths) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raws, pa.binary())], names=["path", "raw"])
+                    paths, raws, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raws, pa.binary())], names=["path", "raw"])
+
+    return files.select("path").repartition(max(1, -(-files.count() // READ_FILES)), "path").mapInArrow(read, "path string, raw binary")
+
+
 def whole_texts(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """(path, source, chapter, content) of every file under a folder: the folder above is the
-    source, the stem the chapter. Read where Spark reads; each file is a row, but Spark leaves
-    out files without a byte."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    source, the stem the chapter. Names and texts are read in tasks, so many small files cost
+    the driver nothing; each file is a row, but those without a byte are left out."""
+    files = contents(listed(spark, folder, pattern).where("bytes > 0"), folder.rstrip("/"))
     parts = F.split("path", "/")
-    named = files.select(file_path().alias("path"), F.col("value").alias("content"))
+    named = files.select("path", F.col("raw").cast("string").alias("content"))
     return named.select("path", F.element_at(parts, -2).alias("source"), F.regexp_replace(F.element_at(parts, -1), r"\.[^.]+$", "").alias("chapter"), "content")
 
 

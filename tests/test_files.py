@@ -189,3 +189,18 @@ def test_cleaning(spark):
     assert got == ["x", None]
     names = spark.sql("SELECT array('x', 'Sin', 'E', 'omega') AS n").select(latex.real_variables(F.col("n"))).first()[0]
     assert names == ["x", "omega"]
+
+
+def test_files_are_written_listed_and_read_in_many_tasks(spark, tmp_path, monkeypatch):
+    """Tasks go by the number of files, and no name passes the driver's file index."""
+    monkeypatch.setattr("corpusloom.sinks.row_files.FILES_A_TASK", 20)
+    monkeypatch.setattr(files, "READ_FILES", 20)
+    want = {(f"d{n % 3}/e", f"{n} +%é"): f"text {n}\n" for n in range(100)}
+    rows = spark.createDataFrame([(f"{d}/{n}.md", text) for (d, n), text in want.items()] + [("d0/empty.md", ""), ("top.txt", "no")], "name string, content string").coalesce(1)
+    write_files(rows, f"{tmp_path}/out", unique=True)
+    for root in (f"{tmp_path}/out", f"file://{tmp_path}/out"):
+        found = files.whole_texts(spark, root)
+        back = found.withColumn("at", F.spark_partition_id()).collect()
+        assert {(r["path"].removeprefix(f"{root}/").rpartition("/")[0], r["chapter"]): r["content"] for r in back} == want
+        assert len(back) == 100 and len({r["at"] for r in back}) > 3
+        assert "FileScan text" not in found._jdf.queryExecution().executedPlan().toString()
