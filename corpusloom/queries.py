@@ -21,7 +21,7 @@ from corpusloom.sinks.files import folder_of
 from corpusloom.sinks.row_files import write_files
 from corpusloom.sources import files
 from corpusloom.streaming import chunks, state
-from corpusloom.tables import drop_folder, scratch, written
+from corpusloom.tables import drop_folder, scratch, tasks_for, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -658,7 +658,10 @@ def _(t):
 
 @query("win02_lead_in_parent", "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) - 1, o_custkey + 100000) AS page_end FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def _(t):
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + 100000).alias("_end")), "l_orderkey")
+    lines, n = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), tasks_for(t.lineitem.count())
+    ends = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + 100000).alias("_end"))
+    # the join and the window keep this layout, so a task sorts as many rows whatever the table
+    rows = lines.repartition(n, "l_orderkey").join(ends.repartition(n, "l_orderkey"), "l_orderkey")
     return interval.lead_intervals(rows, ["l_orderkey"], "l_partkey", "l_linenumber", F.col("_end")).select("l_orderkey", "l_linenumber", "l_partkey", "page_end")
 
 
