@@ -118,8 +118,27 @@ def keyword_lines(docs: DataFrame, keywords: DataFrame, text: str, around: int =
 
 
 def keyword_hits(docs: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
-    """docs x keywords that they hold, as `keyword_lines` finds them."""
-    return keyword_lines(docs, keywords, text).drop("line", "snippet")
+    """docs x keywords that they hold, as `keyword_lines` finds them. Only lower-cased texts
+    go to Python and only keywords come back."""
+    keep, out = [F.col(f"`{c}`") for c in docs.columns if c not in ("keyword", "line", "snippet")], None
+    for block in _blocks(keywords):
+        find = _names(docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block)))
+        rows = docs.select(*keep, F.explode(find(F.lower(text))).alias("keyword"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _names(shared: Broadcast) -> Callable[[Column], Column]:
+    @F.arrow_udf("array<string>")
+    def find(lows: pa.Array) -> pa.Array:
+        (automaton, empty), found = _automaton(shared), []
+        for low in lows:
+            low = low.as_py()
+            names = {k for _, k in automaton.iter(low)} if automaton and low is not None else set()
+            found.append(sorted(names | {""} if empty and low is not None else names))
+        return pa.array(found, pa.list_(pa.string()))
+
+    return find
 
 
 def in_library(source: Column, library: str | None, math: str = "math_library") -> Column:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, interval, islands, ordered, rank, tree
+from corpusloom.operators import graph, interval, islands, ordered, rank, search, tree
 
 
 @pytest.fixture
@@ -202,3 +202,11 @@ def test_co_occurrence_is_dealt_to_as_many_tasks_as_the_meetings_need(spark, mon
     assert {(r["a"], r["b"]): r["n"] for r in rows} == want
     sizes = Counter(r["at"] for r in rows)
     assert len(sizes) > 10 and max(sizes.values()) < 3_000
+
+
+def test_keyword_hits_send_lower_cased_texts_alone(spark):
+    docs = spark.createDataFrame([(1, "The THE\nq"), (2, None), (3, "")], "d int, text string")
+    kw = spark.createDataFrame([("the",), ("",), ("q",), ("zz",)], "keyword string")
+    found = search.keyword_hits(docs, kw, "text").select("d", "keyword")
+    assert sorted(tuple(x) for x in found.collect()) == [(1, ""), (1, "q"), (1, "the"), (3, "")]
+    assert "snippet" not in found._jdf.queryExecution().optimizedPlan().toString()
