@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.ordered import Ordered, sum_before
 
+from corpusloom.operators.ordered import Ordered, sum_before
+
 
 def first_by_key(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key; partial limits apply before the shuffle."""
@@ -80,8 +82,11 @@ def recent_distinct(df: DataFrame, group: list[str], key: str, order: list[str],
 def rank_classified(df: DataFrame, label: str, confidence: str, tie: str, first: str = "EXPLAINS", least: float = 0.3, group: list[str] | None = None) -> DataFrame:
     """Rows of enough confidence, those of the first class in front, then by confidence;
     with their position (within each group, if any is named)."""
-    order = [F.when(F.col(label) == first, 0).otherwise(1), F.desc(confidence), F.col(tie)]
-    return df.where(F.col(confidence) >= least).withColumn("position", F.row_number().over(Window.partitionBy(*(group or [])).orderBy(*order)).cast("long"))
+    # the greatest confidence has the least number, NaN above all
+    falling = F.when(F.isnan(confidence), F.lit(float("-inf"))).otherwise(-F.col(confidence))
+    rows = df.where(F.col(confidence) >= least).withColumns({"_class": F.when(F.col(label) == first, 0).otherwise(1), "_falling": falling})
+    placed = Ordered(rows, group or [], ["_class", "_falling", tie]).add(_before=sum_before(F.lit(1))).done("_class", "_falling")
+    return placed.withColumn("position", (F.col("_before") + 1).cast("long")).drop("_before")
 
 
 def score_bands(df: DataFrame, group: list[str], score: str, high: float = 0.7, low: float = 0.4) -> DataFrame:

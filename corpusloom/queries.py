@@ -510,7 +510,10 @@ def flagship(t):
     hits = search.keyword_lines(t.documents.select("doc_id", "text"), kw, "text").drop("text", "line")
     told = t.labels.select("doc_id", "quality", "toxic")
     classed = hits.join(told, "doc_id", "left").select("doc_id", "keyword", "snippet", F.when(F.col("quality") == 1, "EXPLAINS").otherwise("USES").alias("class"), F.when(F.col("quality").isNull(), 0.5).when(F.col("toxic") == 1, 0.1).otherwise(0.9).alias("confidence"))
-    return rank.rank_classified(classed, "class", "confidence", "doc_id", group=["keyword"])
+    # snippets stay behind while rows are put in order
+    rows = written(classed.withColumn("_row", F.monotonically_increasing_id()), "hits")
+    ranked = rank.rank_classified(rows.drop("snippet"), "class", "confidence", "doc_id", group=["keyword"])
+    return ranked.join(rows.select("_row", "snippet").hint("merge"), "_row").select("doc_id", "keyword", "snippet", "class", "confidence", "position")
 
 
 @query("jn16_jn17_positional", "SELECT conv_id, turn, role, CASE turn WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE 0.0 END::DOUBLE AS score FROM conversations")

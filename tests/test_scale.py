@@ -210,3 +210,16 @@ def test_keyword_hits_send_lower_cased_texts_alone(spark):
     found = search.keyword_hits(docs, kw, "text").select("d", "keyword")
     assert sorted(tuple(x) for x in found.collect()) == [(1, ""), (1, "q"), (1, "the"), (3, "")]
     assert "snippet" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_classified_rows_are_ranked_across_tasks(spark, monkeypatch, many_partitions):
+    monkeypatch.setattr(ordered, "LARGE_GROUP", 50)
+    r = random.Random(9)
+    rows = [("k", i, r.choice(["EXPLAINS", "USES"]), r.choice([0.1, 0.3, 0.5, 0.9, float("nan")])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, id int, label string, c double")
+    found = rank.rank_classified(df, "label", "c", "id", group=["g"])
+    most = lambda c: float("inf") if c != c else c
+    want = sorted((x for x in rows if most(x[3]) >= 0.3), key=lambda x: (x[2] != "EXPLAINS", -most(x[3]), x[1]))
+    assert [x["id"] for x in found.orderBy("position").collect()] == [x[1] for x in want]
+    assert [x["position"] for x in found.orderBy("position").collect()] == list(range(1, len(want) + 1))
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
