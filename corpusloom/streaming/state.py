@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +15,41 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corpusloom.streaming.chunks import DONE, ERROR
 from corpusloom.tables import shared_dir
 
+#: States that keys are dealt to by hash, and new rows that a ring's state takes in at once.
+STATES, CUT_ROWS = 256, 100_000
+
+
+def _load(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_all().to_pandas()
+
+
+def _pack(frame: pd.DataFrame) -> bytes:
+    table, out = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _share(key: Column, states: int) -> Column:
+    """The state that holds a key, by its hash; keys that are null have one of their own."""
+    return F.when(key.isNotNull(), F.pmod(F.hash(key), F.lit(states)))
+
+
+def _numbers(known: pd.Series | None, new: pd.Series, null: bool) -> tuple[np.ndarray, pd.Series]:
+    """The place of each of `new` among the keys, and all keys: `known` in its order, then others."""
+    if null:
+        return np.zeros(len(new), "int64"), pd.Series([None], dtype=object)
+    codes, keys = pd.factorize(new if known is None else pd.concat([known, new]), use_na_sentinel=False)
+    return codes[0 if known is None else len(known) :], pd.Series(keys)
+
+
+def _grown(values: np.ndarray | pd.Series | None, n: int, kind: str) -> np.ndarray:
+    """values, and zeros behind them up to n."""
+    out = np.zeros(n, kind)
+    if values is not None:
+        out[: len(values)] = values
+    return out
+
 
 def in_order(chunks: DataFrame, stream: str, seq: str, chunk: str, idle_ms: int | None = None) -> DataFrame:
     """(stream, seq, chunk, closed): each chunk once and in order, from chunks that come late,
@@ -62,29 +99,44 @@ def in_order(chunks: DataFrame, stream: str, seq: str, chunk: str, idle_ms: int
     return done.withColumnRenamed("stream", stream).withColumnRenamed("seq", seq).withColumnRenamed("chunk", chunk)
 
 
-def ring(rows: DataFrame, key: str, at: Column, tie: Column, payload: Column, n: int) -> DataFrame:
+def ring(rows: DataFrame, key: str, at: Column, tie: Column, payload: Column, n: int, states: int = STATES) -> DataFrame:
     """(key, version, position, at, tie, payload): the last n rows of each key by (at, tie),
     newest first, whatever the micro-batches. Each batch that touches a key gives its whole
     buffer again under the next version; `newest` keeps the last. The state holds n rows a key.
 
     at and tie are longs without nulls that tell a key's rows apart (repeated ones count once);
-    payload is a string.
+    payload is a string. Keys (of a simple type) are dealt to `states` states by their hash, since a
+    call of Python costs some milliseconds; `states` must stay what it was while a checkpoint is used.
     """
     kind = rows.schema[key].dataType.simpleString()
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version, at, tie, load = state.get if state.exists else (0, [], [], [])
-        have = dict(zip(zip(list(at), list(tie), strict=True), list(load), strict=True))
-        for part in parts:
-            have |= dict(zip(zip(part["at"].tolist(), part["tie"].tolist(), strict=True), part["payload"].tolist(), strict=True))
-            have = {x: have[x] for x in sorted(have, reverse=True)[:n]}
-        last = sorted(have, reverse=True)
-        state.update((version + 1, [a for a, _ in last], [t for _, t in last], [have[x] for x in last]))
-        yield pd.DataFrame([(k[0], version + 1, i + 1, a, t, have[a, t]) for i, (a, t) in enumerate(last)], columns=["key", "version", "position", "at", "tie", "payload"])
+        # keys: a row a key; have: its last rows, `nr` being the key's place in keys
+        keys, have = map(_load, state.get) if state.exists else (None, None)
+        known = None if keys is None else keys["key"]
+        version, touched, more = _grown(None if keys is None else keys["version"], len(keys) if keys is not None else 0, "int64"), np.zeros(0, "bool"), []
+
+        def cut(have: pd.DataFrame | None, more: list[pd.DataFrame]) -> pd.DataFrame:
+            all_ = pd.concat(([] if have is None else [have]) + more, ignore_index=True).drop_duplicates(["nr", "at", "tie"], keep="last")
+            all_ = all_.sort_values(["nr", "at", "tie"], ascending=[True, False, False])
+            return all_[all_.groupby("nr").cumcount() < n]
 
-    few = rows.select(F.col(key).alias("key"), at.cast("long").alias("at"), tie.cast("long").alias("tie"), payload.alias("payload"))
+        for part in parts:
+            nr, known = _numbers(known, part["key"], k[0] is None)
+            touched = _grown(touched, len(known), "bool")
+            touched[nr] = True
+            more.append(pd.DataFrame({"nr": nr, "at": part["at"], "tie": part["tie"], "payload": part["payload"]}))
+            if sum(map(len, more)) >= max(CUT_ROWS, 0 if have is None else len(have)):
+                have, more = cut(have, more), []
+        have = cut(have, more) if more else have
+        version = _grown(version, len(known), "int64") + _grown(touched, len(known), "int64")
+        state.update((_pack(pd.DataFrame({"key": known, "version": version})), _pack(have)))
+        told = have[_grown(touched, len(known), "bool")[have["nr"]]]
+        yield pd.DataFrame({"key": known.take(told["nr"]).to_numpy(), "version": version[told["nr"]], "position": told.groupby("nr").cumcount().to_numpy() + 1, "at": told["at"].to_numpy(), "tie": told["tie"].to_numpy(), "payload": told["payload"].to_numpy()})
+
+    few = rows.select(F.col(key).alias("key"), at.cast("long").alias("at"), tie.cast("long").alias("tie"), payload.alias("payload")).withColumn("_state", _share(F.col("key"), states))
     schema = f"key {kind}, version long, position long, at long, tie long, payload string"
-    return few.groupBy("key").applyInPandasWithState(step, schema, "version long, at array<long>, tie array<long>, payload array<string>", "append", GroupStateTimeout.NoTimeout).withColumnRenamed("key", key)
+    return few.groupBy("_state").applyInPandasWithState(step, schema, "keys binary, have binary", "append", GroupStateTimeout.NoTimeout).withColumnRenamed("key", key)
 
 
 def newest(buffers: DataFrame, key: str) -> DataFrame:
@@ -94,11 +146,12 @@ def newest(buffers: DataFrame, key: str) -> DataFrame:
 
 
 def replayed(table: DataFrame, files: int = 4, batch_files: int = 1) -> DataFrame:
-    """table as a stream: written as `files` files, of which a micro-batch reads a few."""
+    """table as a stream: written as `files` lots, of which a micro-batch reads a few. A lot is
+    as many files as the session has cores, so that none waits for one task."""
     spark = table.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    table.repartition(files).write.parquet(path)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", batch_files).parquet(path)
+    path, each = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", spark.sparkContext.defaultParallelism
+    table.repartition(files * each).write.parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", batch_files * each).parquet(path)
 
 
 def drained(stream: DataFrame) -> DataFrame:

@@ -56,6 +56,32 @@ def test_ring_buffer_over_batches(spark):
         assert {(x["k"], x["position"]): (x["at"], x["tie"], x["payload"]) for x in got} == want
 
 
+def test_ring_keys_share_states(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    rows = [(f"k{r.randint(0, 2000)}", r.randint(0, 9), i, r.choice([None, f"p{i}"])) for i in range(9000)]
+    df = spark.createDataFrame([*rows, *rows[:500], (None, 1, 2, "n")], "k string, a long, i long, p string")
+    want = {(None, 1): (1, 2, "n")}
+    for k in {x[0] for x in rows}:
+        last = sorted(((a, i, p) for h, a, i, p in rows if h == k), key=lambda x: x[:2], reverse=True)[:3]
+        want |= {(k, n + 1): x for n, x in enumerate(last)}
+    for cut in (state.CUT_ROWS, 5):
+        monkeypatch.setattr(state, "CUT_ROWS", cut)
+        run = state.ring(state.replayed(df, 3), "k", F.col("a"), F.col("i"), F.col("p"), 3).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c{cut}").trigger(availableNow=True).start(f"{tmp_path}/o{cut}")
+        run.awaitTermination()
+        # not a state, and so a call of Python, for each of 2,001 keys
+        assert 1 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= state.STATES + 1
+        got = state.newest(spark.read.parquet(f"{tmp_path}/o{cut}"), "k").collect()
+        assert {(x["k"], x["position"]): (x["at"], x["tie"], x["payload"]) for x in got} == want and len(got) == len(want)
+
+
+def test_replayed_lots_have_files_for_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    seen = []
+    run = state.replayed(spark.range(1000), 4).writeStream.foreachBatch(lambda df, n: seen.append((df.select(F.input_file_name()).distinct().count(), df.count()))).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert cores > 1 and [x for x, _ in seen] == [cores] * 4 and sum(x for _, x in seen) == 1000
+
+
 def test_keyword_automaton(spark, monkeypatch):
     r = random.Random(3)
     words = ["ab", "b", "abc", "", "É", "x\ny", "c b", "ABC", None, "zzz"]
