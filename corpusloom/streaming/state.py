@@ -51,7 +51,7 @@ def _grown(values: np.ndarray | pd.Series | None, n: int, kind: str) -> np.ndarr
     return out
 
 
-def in_order(chunks: DataFrame, stream: str, seq: str, chunk: str, idle_ms: int | None = None) -> DataFrame:
+def in_order(chunks: DataFrame, stream: str, seq: str, chunk: str, idle_ms: int | None = None, states: int = STATES) -> DataFrame:
     """(stream, seq, chunk, closed): each chunk once and in order, from chunks that come late,
     out of order or again after a restart.
 
@@ -64,38 +64,59 @@ def in_order(chunks: DataFrame, stream: str, seq: str, chunk: str, idle_ms: int
     row without a number. Such a timer never lets a run over what is there now come to its end,
     so it is for streams that go on. Without, a stream's next number stays for good. Chunks
     without a stream, a number or a text are left out.
+
+    Streams are dealt to `states` states by the hash of their ids (of a simple type), since a
+    call of Python costs some milliseconds; `states` must stay what it was while a checkpoint is used.
     """
     kind = chunks.schema[stream].dataType.simpleString()
     out = ["stream", "seq", "chunk", "closed"]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        then, over, seqs, texts = state.get if state.exists else (0, False, [], [])
-        waiting, rows = dict(zip(list(seqs), list(texts), strict=True)), []
-        if state.hasTimedOut:
-            if not over:
-                rows = [(key[0], s, waiting[s], False) for s in sorted(waiting)] + [(key[0], None, None, True)]
-            state.remove()
+        # heads: a row a stream; waits: what came early, `at` being the stream's place in heads
+        heads, waits = map(_load, state.get) if state.exists else (None, None)
+        new = [] if state.hasTimedOut else [p[["stream", "seq", "chunk"]] for p in parts]
+        now, said, rows = state.getCurrentProcessingTimeMs() if idle_ms is not None else 0, [], waits
+        if new:
+            new = pd.concat(new, ignore_index=True)
+            at, streams = _numbers(None if heads is None else heads["stream"], new["stream"], False)
+            then, over, seen = (_grown(None if heads is None else heads[c], len(streams), k) for c, k in (("then", "int64"), ("over", "bool"), ("seen", "int64")))
+            seen[at] = now
+            rows = pd.concat(([] if waits is None or waits.empty else [waits]) + [pd.DataFrame({"at": at, "seq": new["seq"], "chunk": new["chunk"]})], ignore_index=True)
+            rows = rows[(rows["seq"].to_numpy() >= then[rows["at"]]) & ~over[rows["at"]]].drop_duplicates()
+            if (twice := rows.duplicated(["at", "seq"], keep=False)).any():  # one number with several texts: the least
+                rows = pd.concat([rows[~twice], rows[twice].sort_values("chunk").drop_duplicates(["at", "seq"])])
+            rows = rows.sort_values(["at", "seq"], ignore_index=True)
+            due = rows["seq"].to_numpy() == then[rows["at"]] + rows.groupby("at").cumcount().to_numpy()
+            go, rows = rows[due], rows[~due]
+            end = go["chunk"].str.startswith((DONE, ERROR)).astype("bool")
+            before = end.astype("int64").groupby(go["at"]).cumsum() - end
+            go, end = go[before == 0], end[before == 0]
+            then += np.bincount(go["at"], minlength=len(then))
+            over[go["at"][end]] = True
+            rows = rows[~over[rows["at"]]]
+            said = [pd.DataFrame({"stream": streams.take(go["at"]).to_numpy(), "seq": go["seq"].to_numpy(), "chunk": go["chunk"].astype(object).where(~end, None).to_numpy(), "closed": end.to_numpy()}, columns=out)]
+            heads = pd.DataFrame({"stream": streams, "then": then, "over": over, "seen": seen})
+        if idle_ms is not None and heads is not None:
+            gone = heads["seen"].to_numpy() + idle_ms <= now
+            broken = gone & ~heads["over"].to_numpy()
+            if broken.any():
+                late = rows[broken[rows["at"]]].sort_values(["at", "seq"])
+                said += [pd.DataFrame({"stream": heads["stream"].take(late["at"]).to_numpy(), "seq": late["seq"].to_numpy(), "chunk": late["chunk"].to_numpy(), "closed": False}), pd.DataFrame({"stream": heads["stream"][broken].to_numpy(), "seq": None, "chunk": None, "closed": True})]
+            rows = rows[~gone[rows["at"]]]
+            rows, heads = rows.assign(at=(np.cumsum(~gone) - 1)[rows["at"]]), heads[~gone]
+        if heads is None or heads.empty:
+            if state.exists:
+                state.remove()
         else:
-            for part in parts:
-                for s, text in zip(part["seq"].tolist(), part["chunk"].tolist(), strict=True):
-                    if s >= then and not over:
-                        waiting[s] = min(text, waiting.get(s, text))
-            while not over and then in waiting:
-                text = waiting.pop(then)
-                over = text.startswith((DONE, ERROR))
-                rows.append((key[0], then, None if over else text, over))
-                then += 1
-            if over:
-                waiting = {}
-            order = sorted(waiting)
-            state.update((then, over, order, [waiting[s] for s in order]))
+            state.update((_pack(heads), _pack(rows)))
             if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        if rows:
-            yield pd.DataFrame(rows, columns=out).astype({"seq": "Int64", "closed": "bool"})
+                state.setTimeoutDuration(int(max(1, heads["seen"].min() + idle_ms - now)))
+        for x in said:
+            if len(x):
+                yield x.astype({"seq": "Int64", "closed": "bool"})
 
-    rows = chunks.select(F.col(stream).alias("stream"), F.col(seq).cast("long").alias("seq"), F.col(chunk).alias("chunk")).na.drop()
-    done = rows.groupBy("stream").applyInPandasWithState(step, f"stream {kind}, seq long, chunk string, closed boolean", "next long, closed boolean, seqs array<long>, chunks array<string>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    rows = chunks.select(F.col(stream).alias("stream"), F.col(seq).cast("long").alias("seq"), F.col(chunk).alias("chunk")).na.drop().withColumn("_state", _share(F.col("stream"), states))
+    done = rows.groupBy("_state").applyInPandasWithState(step, f"stream {kind}, seq long, chunk string, closed boolean", "heads binary, waits binary", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
     return done.withColumnRenamed("stream", stream).withColumnRenamed("seq", seq).withColumnRenamed("chunk", chunk)
 
 

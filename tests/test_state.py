@@ -82,6 +82,62 @@ def test_replayed_lots_have_files_for_all_cores(spark):
     assert cores > 1 and [x for x, _ in seen] == [cores] * 4 and sum(x for _, x in seen) == 1000
 
 
+def test_streams_share_states(spark, tmp_path):
+    r = random.Random(5)
+    sent, want = [], set()
+    for k in range(1500):
+        n = r.randint(0, 4)
+        sent += [(f"s{k}", i, f"{k}.{i};") for i in range(n)] + [(f"s{k}", n, "[DONE]"), (f"s{k}", n + 1, "late")]
+        want |= {(f"s{k}", i, f"{k}.{i};", False) for i in range(n)} | {(f"s{k}", n, None, True)}
+    sent += r.sample(sent, 700)
+    r.shuffle(sent)
+    df = spark.createDataFrame(sent, "s string, i long, t string")
+    run = state.in_order(state.replayed(df, 3), "s", "i", "t").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/o")
+    run.awaitTermination()
+    # not a state, and so a call of Python, for each of 1,500 streams
+    assert 1 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= state.STATES
+    got = [tuple(x) for x in spark.read.parquet(f"{tmp_path}/o").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_streams_of_one_state(spark):
+    """Of texts under one number the least goes out, if none went out before; numbers below 0 don't count."""
+    sent = [(1, 1, "y"), (1, 1, "x"), (1, 1, "x"), (1, 0, "b"), (1, 0, "a"), (1, 3, "d"), (1, -1, "n"), (2, 1, "[DONE]"), (2, 0, "c"), (2, 0, "c"), (3, 1, "[DONE]"), (4, 0, "[ERROR]"), (4, 0, "[DONE]"), (4, 1, "e")]
+    df = spark.createDataFrame(sent, "s int, i long, t string").coalesce(1)
+    for states in (1, 2):
+        got = [tuple(x) for x in state.drained(state.in_order(state.replayed(df, 1), "s", "i", "t", states=states)).collect()]
+        assert sorted(got, key=str) == sorted([(1, 0, "a", False), (1, 1, "x", False), (2, 0, "c", False), (2, 1, None, True), (4, 0, None, True)], key=str)
+
+
+def test_idle_streams_of_one_state(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    put = lambda rows: spark.createDataFrame(rows, "s int, i long, t string").coalesce(1).write.mode("append").parquet(folder)
+    put([(1, 0, "a"), (1, 2, "c"), (2, 0, "x"), (2, 1, "[DONE]"), (3, 0, "p"), (3, 2, "r")])
+    chunks = spark.readStream.schema("s int, i long, t string").parquet(folder)
+    run = state.in_order(chunks, "s", "i", "t", idle_ms=8000, states=1).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").start(f"{tmp_path}/o")
+    read = lambda: [] if not run.lastProgress else [tuple(x) for x in spark.read.schema("s int, i long, t string, closed boolean").parquet(f"{tmp_path}/o").collect()]
+
+    def wait(n):
+        for _ in range(80):
+            if len(got := read()) >= n:
+                break
+            time.sleep(0.5)
+        return sorted(got, key=str)
+
+    first = [(1, 0, "a", False), (2, 0, "x", False), (2, 1, None, True), (3, 0, "p", False)]
+    try:
+        assert wait(4) == sorted(first, key=str)
+        put([(3, 1, "q")])  # 3 goes on and waits anew; 1 runs out
+        second = first + [(3, 1, "q", False), (3, 2, "r", False)]
+        assert set(wait(6)) >= set(second)
+        last = second + [(1, 2, "c", False), (1, None, None, True), (3, None, None, True)]
+        assert wait(9) == sorted(last, key=str)
+        put([(1, 0, "again"), (2, 0, "anew")])  # their state went
+        assert wait(11) == sorted([*last, (1, 0, "again", False), (2, 0, "anew", False)], key=str)
+    finally:
+        run.stop()
+
+
 def test_keyword_automaton(spark, monkeypatch):
     r = random.Random(3)
     words = ["ab", "b", "abc", "", "É", "x\ny", "c b", "ABC", None, "zzz"]
