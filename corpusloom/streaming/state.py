@@ -35,12 +35,22 @@ def _share(key: Column, states: int) -> Column:
     return F.when(key.isNotNull(), F.pmod(F.hash(key), F.lit(states)))
 
 
+def _plain(value: object) -> object:
+    """value so that it can be hashed."""
+    if isinstance(value, dict):
+        return tuple((k, _plain(x)) for k, x in value.items())
+    return tuple(map(_plain, value)) if isinstance(value, list | tuple | np.ndarray) else value
+
+
 def _numbers(known: pd.Series | None, new: pd.Series, null: bool) -> tuple[np.ndarray, pd.Series]:
     """The place of each of `new` among the keys, and all keys: `known` in its order, then others."""
     if null:
         return np.zeros(len(new), "int64"), pd.Series([None], dtype=object)
-    codes, keys = pd.factorize(new if known is None else pd.concat([known, new]), use_na_sentinel=False)
-    return codes[0 if known is None else len(known) :], pd.Series(keys)
+    every = new if known is None else pd.concat([known, new])
+    nested = isinstance(every.iloc[0], dict | list | tuple | np.ndarray)
+    codes = pd.factorize(every.map(_plain) if nested else every, use_na_sentinel=False)[0]
+    first = np.unique(codes, return_index=True)[1]
+    return codes[0 if known is None else len(known) :], every.take(first).reset_index(drop=True)
 
 
 def _grown(values: np.ndarray | pd.Series | None, n: int, kind: str) -> np.ndarray:
@@ -65,7 +75,7 @@ def in_order(chunks: DataFrame, stream: str, seq: str, chunk: str, idle_ms: int
     so it is for streams that go on. Without, a stream's next number stays for good. Chunks
     without a stream, a number or a text are left out.
 
-    Streams are dealt to `states` states by the hash of their ids (of a simple type), since a
+    Streams are dealt to `states` states by the hash of their ids (not maps), since a
     call of Python costs some milliseconds; `states` must stay what it was while a checkpoint is used.
     """
     kind = chunks.schema[stream].dataType.simpleString()
@@ -126,7 +136,7 @@ def ring(rows: DataFrame, key: str, at: Column, tie: Column, payload: Column, n:
     buffer again under the next version; `newest` keeps the last. The state holds n rows a key.
 
     at and tie are longs without nulls that tell a key's rows apart (repeated ones count once);
-    payload is a string. Keys (of a simple type) are dealt to `states` states by their hash, since a
+    payload is a string. Keys (not maps) are dealt to `states` states by their hash, since a
     call of Python costs some milliseconds; `states` must stay what it was while a checkpoint is used.
     """
     kind = rows.schema[key].dataType.simpleString()

@@ -3,6 +3,7 @@
 import random
 import time
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import search
@@ -138,6 +139,19 @@ def test_idle_streams_of_one_state(spark, tmp_path):
         run.stop()
 
 
+def test_keys_of_many_types_share_a_state(spark):
+    kinds = {"DOUBLE": "IF(g = 1, -0.0D, IF(g = 2, 0.0D, g / 3))", "STRUCT": "IF(g = 0, NULL, struct(g % 3 AS x, array('a', CAST(g AS STRING)) AS y))", "DATE": "IF(g = 0, NULL, DATE'2024-01-01' + CAST(g AS INT))", "LONG": "IF(g = 0, NULL, 9007199254740993 + g)"}
+    base = spark.range(200).selectExpr("id % 7 AS g", "id % 5 AS a", "id", "concat('p', id) AS p")
+    for kind in kinds.values():
+        rows = base.select(F.expr(kind).alias("k"), "a", "id", "p")
+        got = state.newest(state.drained(state.ring(state.replayed(rows, 2), "k", F.col("a"), F.col("id"), F.col("p"), 4, states=2)), "k").select("k", "position", "at", "tie", "payload")
+        want = rows.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("a"), F.desc("id"))).cast("long")).where("r <= 4").select("k", "r", "a", "id", "p")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        parts = rows.where("k IS NOT NULL").select("k", (F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1).cast("long").alias("nr"), "p")
+        out = state.drained(state.in_order(state.replayed(parts.union(parts), 2), "k", "nr", "p", states=2)).select("k", "nr", "p")
+        assert out.exceptAll(parts).isEmpty() and parts.exceptAll(out).isEmpty()
+
+
 def test_keyword_automaton(spark, monkeypatch):
     r = random.Random(3)
     words = ["ab", "b", "abc", "", "É", "x\ny", "c b", "ABC", None, "zzz"]
