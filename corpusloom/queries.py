@@ -21,7 +21,7 @@ from corpusloom.sinks.files import folder_of
 from corpusloom.sinks.row_files import write_files
 from corpusloom.sources import files
 from corpusloom.streaming import chunks, state
-from corpusloom.tables import drop_folder, scratch, tasks_for, written
+from corpusloom.tables import scratch, tasks_for, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1198,7 +1198,7 @@ def by_files(t: Tables, name: str, write: Callable[[str], None], read: Callable[
     folder = scratch(t._spark, name)
     write(folder)
     rows = written(read(folder), f"{name}-rows")
-    drop_folder(t._spark, folder)
+    files.delete_files(t._spark, folder)
     return rows
 
 

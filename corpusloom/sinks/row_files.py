@@ -1,6 +1,6 @@
 """A sink that writes a file for each row.
 
-Every file is written under `_temporary` and renamed to its name when it is whole, so a reader
+Every file is written under `_temporary` and takes its name when it is whole, so a reader
 never sees half a file. A task that runs again, or a job that is killed and repeated, puts the
 same files in the same places. `_SUCCESS` is taken away when a job begins and written, with the
 number of files, when all tasks are done. The driver gets one small message a task.
@@ -9,6 +9,7 @@ number of files, when all tasks are done. The driver gets one small message a ta
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +48,28 @@ def checked(name: str | None) -> str:
     return "/".join(parts)
 
 
+def placed(system: fs.FileSystem, part: str, target: str, keep: bool) -> bool:
+    """Gives a whole file its name; keep: unless there is one, then false. A local file system lets
+    only one rename between folders pass at a time, so there a file is linked, which tasks do
+    side by side and which fails where a file is."""
+    if not isinstance(system, fs.LocalFileSystem):
+        system.move(part, target)
+        return True
+    try:
+        os.link(part, target)
+    except FileExistsError:
+        if not keep:
+            os.replace(part, target)
+            return True
+        os.unlink(part)
+        return False
+    except OSError:  # no links there
+        os.replace(part, target)
+        return True
+    os.unlink(part)
+    return True
+
+
 class RowFiles(DataSource):
     """Options: path, and existing: `replace` (default) or `keep` files that are there."""
 
@@ -82,11 +105,13 @@ class RowFilesWriter(DataSourceArrowWriter):
                 if folder not in made:
                     system.create_dir(folder, recursive=True)
                     made.add(folder)
-                part = f"{staged}/{uuid.uuid4().hex}"
+                part = f"{staged}/{done.files + done.kept}"
                 with system.open_output_stream(part) as out:
                     out.write(content.as_buffer() or b"")
-                system.move(part, target)
-                done.files += 1
+                if placed(system, part, target, self.keep):
+                    done.files += 1
+                else:
+                    done.kept += 1
         return done
 
     def _clear(self) -> tuple[fs.FileSystem, str]:
@@ -106,6 +131,15 @@ class RowFilesWriter(DataSourceArrowWriter):
         self._clear()
 
 
+def files_told(folder: str) -> int:
+    """Files that the last job put or found in the folder, by its `_SUCCESS`; 0 without one."""
+    system, root = filesystem(folder.rstrip("/"))
+    if system.get_file_info(f"{root}/_SUCCESS").type == fs.FileType.NotFound:
+        return 0
+    with system.open_input_stream(f"{root}/_SUCCESS") as f:
+        return sum(json.loads(f.read()).values())
+
+
 def write_files(files: DataFrame, folder: str, name: str = "name", content: str = "content", keep: bool = False, unique: bool = False) -> None:
     """Writes each row's content (text or bytes; null: an empty file) as a file of that name
     under the folder, which all executors share. Of rows with one name the first by content;

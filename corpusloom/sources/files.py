@@ -7,6 +7,7 @@ import os
 import re
 import zipfile
 from collections.abc import Iterator
+from contextlib import suppress
 from fnmatch import fnmatchcase
 from itertools import islice
 from xml.etree import ElementTree
@@ -18,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip, url_stem, url_suffix
-from corpusloom.sinks.row_files import filesystem
-from corpusloom.tables import written
+from corpusloom.sinks.row_files import files_told, filesystem
+from corpusloom.tables import drop_folder, written
 
 LAYOUT = "type string, text string, text_format string, img_path string, image_caption array<string>, image_footnote array<string>, table_body string, page_idx int"
 SUPPORTED = ("pdf", "pptx", "docx", "txt", "md", "xlsx")
@@ -42,8 +43,7 @@ def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
         system, root = filesystem(folder)
         for b in batches:
             for top in b.column(0).to_pylist():
-                rows = ((x.base_name, x.type == fs.FileType.Directory, x.size) for x in _entries(system, root + top[len(folder) :]))
-                kept = ((f"{top}/{n}", d, z) for n, d, z in rows if not n.startswith(("_", ".")) and (d or fnmatchcase(n, pattern)))
+                kept = ((f"{top}/{n}", d, z) for n, d, z in _entries(system, root + top[len(folder) :]) if not n.startswith(("_", ".")) and (d or fnmatchcase(n, pattern)))
                 while some := list(islice(kept, 10_000)):
                     path, down, size = zip(*some, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(down, pa.bool_()), pa.array(size, pa.int64())], names=["path", "down", "bytes"])
@@ -64,14 +64,39 @@ def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 
 def _entries(system: fs.FileSystem, root: str) -> Iterator:
-    """What lies in a folder. A local folder of any size is read a name at a time."""
+    """(name, whether a folder, bytes) of what lies in a folder. A local folder of any size is
+    read a name at a time."""
     if not isinstance(system, fs.LocalFileSystem):
-        yield from system.get_file_info(fs.FileSelector(root))
+        yield from ((x.base_name, x.type == fs.FileType.Directory, x.size) for x in system.get_file_info(fs.FileSelector(root)))
         return
     with os.scandir(root) as names:
         for x in names:
             down = x.is_dir()
-            yield fs.FileInfo(x.path, fs.FileType.Directory if down else fs.FileType.File, size=None if down else x.stat().st_size)
+            yield x.name, down, None if down else x.stat().st_size
+
+
+def delete_files(spark: SparkSession, folder: str) -> int:
+    """Deletes a folder that nothing reads any more, its files in tasks of READ_FILES; how many
+    these were. Few files go from the driver at once, and aren't counted."""
+    gone = 0
+    if files_told(folder) > READ_FILES:
+
+        def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            system, root = filesystem(folder)
+            for b in batches:
+                n = 0
+                for path in b.column(0).to_pylist():
+                    with suppress(FileNotFoundError):  # a task that ran before this one
+                        system.delete_file(root + path[len(folder) :])
+                    n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+        folder = folder.rstrip("/")
+        there = listed(spark, folder, "*").select("path")
+        dealt = there.repartition(max(1, -(-there.count() // READ_FILES)), "path")
+        gone = dealt.mapInArrow(delete, "files long").agg(F.sum("files")).first()[0] or 0
+    drop_folder(spark, folder)
+    return gone
 
 
 def contents(files: DataFrame, folder: str) -> DataFrame:

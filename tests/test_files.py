@@ -12,7 +12,7 @@ from corpusloom.functions import latex
 from corpusloom.functions import text as T
 from corpusloom.plans import catalog, schemas
 from corpusloom.sinks import files as sinks
-from corpusloom.sinks.row_files import write_files
+from corpusloom.sinks.row_files import filesystem, placed, write_files
 from corpusloom.sources import files
 
 
@@ -63,6 +63,27 @@ def test_files_that_are_there_stay(spark, tmp_path):
     assert json.loads(found.pop("_SUCCESS")) == {"files": 2, "kept": 1} and found == {"other/a.md": "1", "labs/a.md": "3", "other/b.md": "4"}
 
 
+def test_a_file_that_comes_meanwhile_stays(tmp_path):
+    system, root = filesystem(f"{tmp_path}")
+    for keep, want in ((True, "there"), (False, "new")):
+        (tmp_path / "part").write_text("new")
+        (tmp_path / "a").write_text("there")
+        assert placed(system, f"{root}/part", f"{root}/a", keep) is (not keep)
+        assert there(tmp_path) == {"a": want}
+    (tmp_path / "part").write_text("x")
+    assert placed(system, f"{root}/part", f"{root}/b", True) and there(tmp_path) == {"a": "new", "b": "x"}
+
+
+def test_a_folder_of_many_files_is_deleted_in_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "READ_FILES", 10)
+    (tmp_path / "beside").write_text("x")
+    rows = spark.range(35).select(F.concat(F.lit("c %+"), F.col("id") % 3, F.lit("/d/"), "id", F.lit(".md")).alias("name"), F.lit("x").alias("content"))
+    write_files(rows, f"{tmp_path}/o", unique=True)
+    assert files.delete_files(spark, f"{tmp_path}/o/") == 35 and there(tmp_path) == {"beside": "x"} and not (tmp_path / "o").exists()
+    write_files(rows.limit(9), f"{tmp_path}/o", unique=True)
+    assert files.delete_files(spark, f"{tmp_path}/o") == 0 and not (tmp_path / "o").exists()
+
+
 @pytest.mark.parametrize("name", ["../x", "a//b", "/x", "", None, "a/../../b", "."])
 def test_names_stay_under_the_folder(spark, tmp_path, name):
     with pytest.raises(Exception, match="not a file name"):
