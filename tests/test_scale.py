@@ -63,6 +63,18 @@ def test_interval_joins(spark, top):
         assert {x["id"]: x["k"] for x in near} == best
 
 
+def test_pairs_of_large_cells_go_in_blocks(spark, monkeypatch):
+    for name, n in (("PARENTS", 6), ("CHILDREN", 4), ("PAIRS_A_TASK", 500), ("ROWS_TO_CUT", 25)):
+        monkeypatch.setattr(interval, name, n)
+    r = random.Random(8)
+    ups = [(r.choice(["a", "b", None]), i, *r.choice([(1, 3), (2, 2), (0, 9), (4, 1), (None, 3)])) for i in range(90)]
+    lows = [(r.choice(["a", "a", "b", None]), r.choice([1, 2, 2, 7, None]), {"m": 1}) for _ in range(120)]  # equal rows too
+    got = interval.range_children(spark.createDataFrame(ups, "g string, k int, lo int, hi int"), spark.createDataFrame(lows, "g string, page int, m map<string, int>"), ["g"], "lo", "hi", "page", "k")
+    want = sorted((g, p, k) for g, k, lo, hi in ups for h, p, _ in lows if g and g == h and None not in (p, lo, hi) and lo <= p <= hi)
+    assert got.columns == ["g", "page", "m", "k"] and sorted((x["g"], x["page"], x["k"]) for x in got.collect()) == want
+    assert all(x["m"] == {"m": 1} for x in got.collect()) and got.rdd.getNumPartitions() >= -(-len(want) // 500) > 2
+
+
 def test_ordered_steps_across_partitions(spark, many_partitions):
     r = random.Random(3)
     rows = [(g, i, r.choice([None, r.randint(-3, 9)])) for g in ("a", None) for i in range(400)] + [(f"s{i}", 1, i) for i in range(30)]
